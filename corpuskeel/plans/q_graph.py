@@ -1 +1,307 @@
-"""Queries."""
+"""Queries: dependence graphs (GR), group ids (AG4-AG6), whole-group splits (WN10)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import bounds as B
+from ..operators import allocate as A
+from ..operators import dedup, graph, stats
+from ..operators.skew import digest_tree, member_digest
+from ..session import cut
+from .q_joins import SQL_FINGERPRINTS, document_fingerprints
+from .registry import query, table
+from .views import SQL_NODES, nodes, sql_text_digest
+
+_KINDS = ("raw", "canonical", "prompt_group", "prompt_seed_group", "producer_group", "unknown_producer_quarantine")
+_COLUMNS = ("raw_sha256", "canonical_pixel_sha256", "prompt_group", "prompt_seed_group", "producer_group",
+            f"CASE WHEN producer_status = '{K.STATUS_UNKNOWN_PRODUCER}' THEN '{K.UNKNOWN_COHORT_KEY}' END")
+
+
+def _keys_sql(n: int) -> str:
+    return "keys AS (" + " UNION ALL ".join(
+        f"SELECT id, '{k}' AS kind, {c} AS key FROM nodes WHERE {c} IS NOT NULL" for k, c in list(zip(_KINDS, _COLUMNS))[:n]
+    ) + ")"
+
+
+SQL_KEYS = _keys_sql(6)
+SQL_CONTENT_KEYS = _keys_sql(4)
+_STARS = "stars AS (SELECT k.id AS src, f.dst, k.kind FROM keys k JOIN (SELECT kind, key, min(id) AS dst FROM keys GROUP BY 1, 2) f USING (kind, key) WHERE k.id <> f.dst)"
+
+
+def _components_sql(edges: str) -> str:
+    """Transitive closure over `edges` (src, dst); the component is the smallest reachable id."""
+    return f"""both_ways AS (SELECT src, dst FROM ({edges}) UNION SELECT dst, src FROM ({edges})),
+reach AS (SELECT id AS src, id AS dst FROM nodes UNION SELECT r.src, b.dst FROM reach r JOIN both_ways b ON r.dst = b.src),
+comp AS (SELECT src AS id, min(dst) AS component FROM reach GROUP BY 1)"""
+
+
+def _named_sql(tag: str) -> str:
+    body = sql_text_digest(tag, r"string_agg(id, chr(10) ORDER BY id)")
+    return f"named AS (SELECT component, {body} AS group_id, count(*) AS n_members FROM comp GROUP BY 1)"
+
+
+def frame_nodes(spark, folder):
+    return cut(nodes(spark, folder), "nodes")
+
+
+@query("gr1_star_edges", f"WITH {SQL_NODES}, {SQL_KEYS}, {_STARS} SELECT src, dst, kind FROM stars")
+def gr1(spark, folder):
+    return graph.star_edges(graph.leakage_keys(frame_nodes(spark, folder)))
+
+
+@query(
+    "gr1_edge_counts",
+    f"WITH {SQL_NODES}, {SQL_KEYS}, c AS (SELECT kind, key, count(*) - 1 AS n FROM keys GROUP BY 1, 2) SELECT kind, CAST(sum(n) AS BIGINT) AS n_edges FROM c GROUP BY 1 HAVING sum(n) > 0",
+)
+def gr1_counts(spark, folder):
+    return graph.edge_counts(graph.leakage_keys(frame_nodes(spark, folder)))
+
+
+@query(
+    "gr2_unknown_cohort",
+    f"""WITH RECURSIVE {SQL_NODES}, {SQL_KEYS}, {_STARS}, {_components_sql('SELECT src, dst FROM stars')}
+       SELECT n.id, c.component FROM nodes n JOIN comp c USING (id) WHERE producer_status = '{K.STATUS_UNKNOWN_PRODUCER}'""",
+)
+def gr2(spark, folder):
+    rows = frame_nodes(spark, folder)
+    members = graph.connected_components(rows, graph.star_edges(graph.leakage_keys(rows)))
+    unknown = rows.filter(F.col("producer_status") == K.STATUS_UNKNOWN_PRODUCER).select("id")
+    return members.join(unknown, "id", "left_semi")
+
+
+@query(
+    "gr3_components",
+    f"WITH RECURSIVE {SQL_NODES}, {SQL_CONTENT_KEYS}, {_STARS}, {_components_sql('SELECT src, dst FROM stars')} SELECT id, component FROM comp",
+)
+def gr3(spark, folder):
+    rows = frame_nodes(spark, folder)
+    return graph.connected_components(rows, graph.star_edges(graph.leakage_keys(rows, producers=False)))
+
+
+_ORDER_EDGES = "SELECT l_orderkey AS o, l_suppkey AS s FROM lineitem"
+
+
+@query(
+    "gr3_supplier_components",
+    """WITH RECURSIVE pairs AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+       firsts AS (SELECT p, min(s) AS m FROM pairs GROUP BY 1), edges AS (SELECT DISTINCT s AS src, m AS dst FROM pairs JOIN firsts USING (p) WHERE s <> m),
+       two AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+       reach AS (SELECT s_suppkey AS src, s_suppkey AS dst FROM supplier UNION SELECT r.src, t.dst FROM reach r JOIN two t ON r.dst = t.src)
+       SELECT src AS id, min(dst) AS component FROM reach GROUP BY 1""",
+)
+def gr3_suppliers(spark, folder):
+    """Suppliers linked by a part they both deliver: few nodes under many key rows."""
+    lines = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").cast("string").alias("key")).distinct()
+    suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"))
+    return graph.connected_components(suppliers, graph.star_edges(lines.withColumn("kind", F.lit("part"))))
+
+
+_NEAR_EDGES = """SELECT src, dst FROM stars UNION SELECT CAST(right_id AS VARCHAR), CAST(left_id AS VARCHAR) FROM near
+  UNION SELECT CAST(p.id AS VARCHAR), CAST(c.id AS VARCHAR) FROM prints p JOIN classes c USING (fhi, flo, width) WHERE p.id <> c.id"""
+
+
+def leakage_groups(spark, folder):
+    """(rows, groups): the whole leakage frame with key edges, near pairs and equal fingerprints."""
+    rows = frame_nodes(spark, folder)
+    prints = cut(document_fingerprints(spark, folder).withColumn("id", F.col("id").cast("string")), "prints")
+    classes = cut(dedup.fingerprint_classes(prints, "fp", ("width", "height")), "classes")
+    pairs = dedup.near_class_pairs(classes, condition=dedup.near_condition(aspect=True)).select("left_id", "right_id")
+    same = graph.class_edges(prints, "fp", ("width", "height"))
+    return rows, graph.group_frame(rows, graph.leakage_keys(rows, producers=False), pairs.unionByName(same))
+
+
+SQL_GROUPS = f"{SQL_NODES}, {SQL_CONTENT_KEYS}, {_STARS}, {SQL_FINGERPRINTS}, {_components_sql(_NEAR_EDGES)}, {_named_sql(K.TAG_LEAKAGE_GROUP)}"
+
+
+@query("gr4_leakage_frame", f"WITH RECURSIVE {SQL_GROUPS} SELECT id, group_id, n_members FROM comp JOIN named USING (component)")
+def gr4(spark, folder):
+    return leakage_groups(spark, folder)[1]
+
+
+def _content_groups(spark, folder, tag=K.TAG_COMPONENT):
+    rows = frame_nodes(spark, folder)
+    return rows, cut(graph.group_frame(rows, graph.leakage_keys(rows, producers=False), tag=tag), "content-groups")
+
+
+_CONTENT = f"{SQL_NODES}, {SQL_CONTENT_KEYS}, {_STARS}, {_components_sql('SELECT src, dst FROM stars')}, {_named_sql(K.TAG_COMPONENT)}"
+_SELECTED = """chosen AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 0 AS is_reserved FROM labels)"""
+
+
+@query(
+    "gr5_restricted_groups",
+    f"""WITH RECURSIVE {_CONTENT}, {_SELECTED} SELECT id, group_id, n_members, is_reserved FROM comp JOIN named USING (component) JOIN chosen USING (id)""",
+)
+def gr5(spark, folder):
+    _, groups = _content_groups(spark, folder)
+    selected = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+    return graph.restrict_groups(groups, selected, selected.filter("quality = 0"))
+
+
+@query(
+    "gr5_holdout_closure",
+    f"""WITH RECURSIVE {_CONTENT}, g AS (SELECT id, group_id FROM comp JOIN named USING (component))
+       SELECT id, group_id FROM g WHERE group_id IN (SELECT group_id FROM g JOIN labels ON id = CAST(doc_id AS VARCHAR) WHERE toxic = 1)""",
+)
+def gr5_holdout(spark, folder):
+    _, groups = _content_groups(spark, folder)
+    holdout = table(spark, folder, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
+    return graph.holdout_closure(groups, holdout)
+
+
+_TASKS = "task AS (SELECT s_suppkey AS id, CAST(s_acctbal AS BIGINT) AS pref, s_suppkey // 4 AS coarse FROM supplier)"
+_EDGES = "edge AS (SELECT id, id // 2 AS parent FROM task WHERE id > 0 UNION SELECT id, id // 3 FROM task WHERE id > 0)"
+
+
+def _tasks(spark, folder):
+    tasks = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("long").alias("pref"))
+    edges = tasks.filter("id > 0").select("id", F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("parent"))
+    return tasks, edges.distinct()
+
+
+_LEVELS = "lv AS (SELECT id, 0 AS level FROM task WHERE id NOT IN (SELECT id FROM edge) UNION SELECT e.id, l.level + 1 FROM lv l JOIN edge e ON e.parent = l.id)"
+
+
+@query(
+    "gr6_task_levels",
+    f"WITH RECURSIVE {_TASKS}, {_EDGES}, {_LEVELS} SELECT id, CAST(max(level) AS BIGINT) AS level FROM lv GROUP BY 1",
+)
+def gr6(spark, folder):
+    return graph.task_levels(*_tasks(spark, folder), "pref").select("id", "level")
+
+
+@query(
+    "gr7_contracted_graph",
+    f"WITH {_TASKS}, {_EDGES} SELECT DISTINCT a.coarse AS id, b.coarse AS parent FROM edge e JOIN task a ON a.id = e.id JOIN task b ON b.id = e.parent WHERE a.coarse <> b.coarse",
+)
+def gr7(spark, folder):
+    tasks, edges = _tasks(spark, folder)
+    return graph.contract_graph(edges, tasks.select("id", F.floor(F.col("id") / 4).alias("coarse")))
+
+
+@query(
+    "ag4_group_ids",
+    f"""WITH m AS (SELECT prompt_group, id FROM nodes_view), g AS (SELECT prompt_group, {sql_text_digest(K.TAG_BYTE_TEXT_COMPONENT, 'string_agg(id, chr(10) ORDER BY id)')} AS group_id,
+         count(*) AS n_members FROM m GROUP BY 1) SELECT * FROM g""".replace("WITH m AS", f"WITH {SQL_NODES}, m AS").replace("nodes_view", "nodes"),
+)
+def ag4(spark, folder):
+    return member_digest(nodes(spark, folder), "prompt_group", "id", K.TAG_BYTE_TEXT_COMPONENT)
+
+
+_TREE = """unique_rows AS (SELECT g, d, count(*) AS n FROM hashed GROUP BY 1, 2),
+l0 AS (SELECT g, substr(d, 1, 4) AS p, d || ':' || n AS d, n FROM unique_rows),
+l1 AS (SELECT g, substr(p, 1, 4) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l0 GROUP BY 1, 2),
+l2 AS (SELECT g, substr(p, 1, 2) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l1 GROUP BY 1, 2),
+l3 AS (SELECT g, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l2 GROUP BY 1)"""
+
+
+@query(
+    "ag4_digest_tree",
+    f"WITH hashed AS (SELECT l_returnflag AS g, sha256(l_orderkey || ':' || l_linenumber) AS d FROM lineitem), {_TREE} SELECT g, d AS tree_sha256, CAST(n AS BIGINT) AS n_members FROM l3",
+)
+def ag4_tree(spark, folder):
+    """Ids of groups far too large for one member list: a third of lineitem each."""
+    hashed = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("g"), F.sha2(F.concat_ws(":", "l_orderkey", "l_linenumber"), 256).alias("d")
+    )
+    return digest_tree(hashed, ["g"], "d")
+
+
+@query(
+    "ag5_size_histogram",
+    f"""WITH RECURSIVE {_CONTENT}, {_SELECTED}, s AS (SELECT group_id, count(*) AS size FROM comp JOIN named USING (component) JOIN chosen USING (id) GROUP BY 1)
+       SELECT size, count(*) AS n_groups FROM s GROUP BY 1""",
+)
+def ag5(spark, folder):
+    _, groups = _content_groups(spark, folder)
+    selected = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"))
+    return stats.size_histogram(graph.restrict_groups(groups, selected, selected.limit(0)), "group_id")
+
+
+# --- splits -----------------------------------------------------------------------------------
+
+
+def split_rows(spark, folder):
+    """Leakage groups of all documents, ready to be split by language."""
+    rows, groups = leakage_groups(spark, folder)
+    return cut(
+        groups.join(rows.select("id", "domain", "status"), "id").select(
+            "id", "group_id", "domain", "status", F.lit(False).alias("is_reserved"), F.lit(False).alias("is_holdout")
+        ),
+        "split-rows",
+    )
+
+
+def document_splits(spark, folder):
+    rows = split_rows(spark, folder)
+    budgets = A.proportional_budgets(rows)
+    return A.allocate(rows, budgets), budgets
+
+
+_S = K.SPLITS
+_FIT = lambda s: f"l_{s} >= n_members"
+_TIE = lambda s: sql_text_digest(K.TAG_SPLIT_TIE, f"group_id || ':' || '{s}'")
+
+
+def _better(a: str, b: str) -> str:
+    """Split a beats split b for the group at hand: larger remaining fraction, then larger tie digest."""
+    left = f"l_{a}::HUGEINT * b_{b}"
+    right = f"l_{b}::HUGEINT * b_{a}"
+    return f"(NOT {_FIT(b)} OR {left} > {right} OR ({left} = {right} AND {_TIE(a)} > {_TIE(b)}))"
+
+
+_PICK = "CASE " + " ".join(
+    f"WHEN {_FIT(s)} AND " + " AND ".join(_better(s, o) for o in _S if o != s) + f" THEN '{s}'" for s in _S
+) + " END"
+# The serial rule, one group per step and language; groups of several languages do not occur here.
+SQL_SPLITS = f"""{SQL_GROUPS}, sized AS (SELECT id, group_id, domain, status FROM comp JOIN named USING (component) JOIN nodes USING (id)),
+budget AS (SELECT domain, count(*) - 2 * (count(*) * 2 // 10) AS b_{_S[0]}, count(*) * 2 // 10 AS b_{_S[1]}, count(*) * 2 // 10 AS b_{_S[2]} FROM sized GROUP BY 1),
+grp AS (SELECT group_id, any_value(domain) AS domain, count(*) AS n_members FROM sized GROUP BY 1),
+seq AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n_members DESC, {sql_text_digest(K.TAG_SPLIT_RANK, 'group_id')}) AS step FROM grp),
+walk AS (
+  SELECT domain, 0::BIGINT AS step, NULL::VARCHAR AS group_id, NULL::VARCHAR AS split, b_{_S[0]}::BIGINT AS l_{_S[0]}, b_{_S[1]}::BIGINT AS l_{_S[1]}, b_{_S[2]}::BIGINT AS l_{_S[2]} FROM budget
+  UNION ALL
+  SELECT domain, step, group_id, split, {', '.join(f"l_{s} - CASE WHEN split = '{s}' THEN n_members ELSE 0 END" for s in _S)} FROM (
+    SELECT q.domain, q.step, q.group_id, q.n_members, {_PICK} AS split, {', '.join(f'l_{s}' for s in _S)}
+    FROM walk w JOIN seq q ON q.domain = w.domain AND q.step = w.step + 1 JOIN budget b ON b.domain = w.domain)),
+splits AS (SELECT s.id, s.group_id, s.domain, s.status, w.split FROM sized s JOIN walk w USING (group_id)),
+reps AS (SELECT group_id, domain, arg_min(id, {sql_text_digest(K.TAG_REPRESENTATIVE, "group_id || ':' || id")}) AS rep FROM splits GROUP BY 1, 2)"""
+
+
+@query(
+    "wn10_allocate",
+    f"""WITH RECURSIVE {SQL_SPLITS} SELECT s.id, s.group_id, s.domain, s.split, s.id = r.rep AS is_representative FROM splits s JOIN reps r USING (group_id, domain)""",
+)
+def wn10(spark, folder):
+    splits, _ = document_splits(spark, folder)
+    return splits.select("id", "group_id", "domain", "split", "is_representative")
+
+
+@query(
+    "ag6_cell_report",
+    f"""WITH RECURSIVE {SQL_SPLITS}, g AS (SELECT domain, split, group_id, count(*) AS n, max(CASE WHEN status <> '{K.STATUS_PASS}' THEN 1 ELSE 0 END) AS u FROM splits GROUP BY 1, 2, 3)
+       SELECT domain, split, CAST(sum(n) AS BIGINT) AS n_images, count(*) AS n_groups, CAST(sum(u) AS BIGINT) AS n_unresolved, CAST(count(*) - sum(u) AS BIGINT) AS n_candidates,
+         CAST(sum(n) - count(*) + sum(u) AS BIGINT) AS shortfall, CAST(sum(n) AS BIGINT) AS target,
+         round({B.Z_95} / (2 * sqrt(count(*) - sum(u) + {B.Z_95 * B.Z_95})), 6) AS wilson FROM g GROUP BY 1, 2""",
+)
+def ag6(spark, folder):
+    splits, budgets = document_splits(spark, folder)
+    report = A.cell_report(splits, budgets, F.col("status") != K.STATUS_PASS)
+    return report.withColumn("wilson", F.round(B.wilson_half_width("n_candidates"), 6))
+
+
+@query(
+    "wn10_source_splits",
+    f"""SELECT source AS domain, count(*) - 2 * (count(*) * 2 // 10) AS {_S[0]}, count(*) * 2 // 10 AS {_S[1]}, count(*) * 2 // 10 AS {_S[2]},
+       0::BIGINT AS n_leaking FROM documents GROUP BY 1""",
+)
+def wn10_sources(spark, folder):
+    """Splits by source, where groups do span domains: quotas are met and no group leaks."""
+    documents = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("domain"))
+    _, groups = _content_groups(spark, folder, K.TAG_LEAKAGE_GROUP)
+    rows = cut(groups.join(documents, "id").select("id", "group_id", "domain", F.lit(False).alias("is_reserved"), F.lit(False).alias("is_holdout")), "split-rows")
+    splits = cut(A.allocate(rows, A.proportional_budgets(rows)), "splits")
+    leaking = splits.groupBy("group_id").agg((F.min("split") != F.max("split")).cast("long").alias("leak")).agg(F.sum("leak").alias("n_leaking"))
+    counts = splits.groupBy("domain").agg(*[F.count_if(F.col("split") == s).alias(s) for s in K.SPLITS])
+    return counts.crossJoin(F.broadcast(leaking))  # one row

@@ -129,7 +129,7 @@ def sf8(spark, folder):
 
 
 _HEX_DISTANCE = " + ".join(
-    f"bit_count(xor(CAST(('0x' || substr(a.key_hex, {i}, 8)) AS BIGINT), CAST(('0x' || substr(b.key_hex, {i}, 8)) AS BIGINT)))"
+    f"CAST(bit_count(xor(CAST(('0x' || substr(a.key_hex, {i}, 8)) AS BIGINT), CAST(('0x' || substr(b.key_hex, {i}, 8)) AS BIGINT))) AS INTEGER)"
     for i in range(1, 65, 8)
 )
 
