@@ -63,10 +63,15 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 
 def _with_minimum(edges: DataFrame, hot_rows: int) -> DataFrame:
-    """Edges (src, dst) with the least neighbour of `src` (itself included) as `low`."""
+    """Edges (src, dst) with the least neighbour of `src` (itself included) as `low`.
+
+    `hot_rows` = 0 says that the table is too small for any hub to be hot.
+    """
     lows = edges.groupBy("src").agg(
         F.least(F.min("dst"), F.first("src")).alias("low"), F.count(F.lit(1)).alias("degree")
     )
+    if not hot_rows:
+        return edges.join(lows, "src")
     return join_per_key(edges, lows, ["src"], "degree", hot_rows)
 
 
@@ -88,13 +93,14 @@ def connected_components(
         if state[0] == 0:
             break
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        hot = hot_rows if 2 * state[0] > hot_rows else 0
         large = (
-            _with_minimum(both, hot_rows)
+            _with_minimum(both, hot)
             .filter((F.col("dst") > F.col("src")) & (F.col("dst") != F.col("low")))
             .select(F.col("dst").alias("src"), F.col("low").alias("dst"))
             .distinct()
         )
-        downward = _with_minimum(large, hot_rows)
+        downward = _with_minimum(large, hot)
         small = downward.select(
             F.explode(
                 F.array(

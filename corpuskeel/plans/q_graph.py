@@ -240,32 +240,27 @@ def document_splits(spark, folder):
 
 
 _S = K.SPLITS
-_FIT = lambda s: f"l_{s} >= n_members"
-_TIE = lambda s: sql_text_digest(K.TAG_SPLIT_TIE, f"group_id || ':' || '{s}'")
-
-
-def _better(a: str, b: str) -> str:
-    """Split a beats split b for the group at hand: larger remaining fraction, then larger tie digest."""
-    left = f"l_{a}::HUGEINT * b_{b}"
-    right = f"l_{b}::HUGEINT * b_{a}"
-    return f"(NOT {_FIT(b)} OR {left} > {right} OR ({left} = {right} AND {_TIE(a)} > {_TIE(b)}))"
-
-
-_PICK = "CASE " + " ".join(
-    f"WHEN {_FIT(s)} AND " + " AND ".join(_better(s, o) for o in _S if o != s) + f" THEN '{s}'" for s in _S
-) + " END"
-# The serial rule, one group per step and language; groups of several languages do not occur here.
+_LANGS = ("de", "en", "es", "fr")
+_FRACTION = """list_min(list_transform(list_filter([1, 2, 3, 4], lambda d: c[d] > 0), lambda d: l[(d - 1) * 3 + s]::DOUBLE / b[(d - 1) * 3 + s]))"""
+_FITS = "len(list_filter([1, 2, 3, 4], lambda d: c[d] > l[(d - 1) * 3 + s])) = 0"
+_TIE = sql_text_digest(K.TAG_SPLIT_TIE, f"q.group_id || ':' || {list(_S)}[s]")
+# The serial rule, one group per step, over the remaining quotas l of (language, split). Fractions are
+# compared as doubles, which keeps equal fractions equal and is exact for counts of this size.
 SQL_SPLITS = f"""{SQL_GROUPS}, sized AS (SELECT id, group_id, domain, status FROM comp JOIN named USING (component) JOIN nodes USING (id)),
-budget AS (SELECT domain, count(*) - 2 * (count(*) * 2 // 10) AS b_{_S[0]}, count(*) * 2 // 10 AS b_{_S[1]}, count(*) * 2 // 10 AS b_{_S[2]} FROM sized GROUP BY 1),
-grp AS (SELECT group_id, any_value(domain) AS domain, count(*) AS n_members FROM sized GROUP BY 1),
-seq AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n_members DESC, {sql_text_digest(K.TAG_SPLIT_RANK, 'group_id')}) AS step FROM grp),
+quota AS (SELECT domain, count(*) AS n, count(*) * 2 // 10 AS fifth FROM sized GROUP BY 1),
+budget AS (SELECT list_concat({', '.join(f"(SELECT [n - 2 * fifth, fifth, fifth] FROM quota WHERE domain = '{d}')" for d in _LANGS[:2])}) AS b1,
+  list_concat({', '.join(f"(SELECT [n - 2 * fifth, fifth, fifth] FROM quota WHERE domain = '{d}')" for d in _LANGS[2:])}) AS b2),
+total AS (SELECT CAST(list_concat(b1, b2) AS BIGINT[]) AS b FROM budget),
+grp AS (SELECT group_id, count(*) AS n_members, count(DISTINCT domain) AS n_domains, [{', '.join(f"count(*) FILTER (domain = '{d}')" for d in _LANGS)}] AS c FROM sized GROUP BY 1),
+seq AS (SELECT *, row_number() OVER (ORDER BY n_domains DESC, n_members DESC, {sql_text_digest(K.TAG_SPLIT_RANK, 'group_id')}) AS step FROM grp),
 walk AS (
-  SELECT domain, 0::BIGINT AS step, NULL::VARCHAR AS group_id, NULL::VARCHAR AS split, b_{_S[0]}::BIGINT AS l_{_S[0]}, b_{_S[1]}::BIGINT AS l_{_S[1]}, b_{_S[2]}::BIGINT AS l_{_S[2]} FROM budget
+  SELECT 0::BIGINT AS step, NULL::VARCHAR AS group_id, NULL::INTEGER AS pick, b AS l, b FROM total
   UNION ALL
-  SELECT domain, step, group_id, split, {', '.join(f"l_{s} - CASE WHEN split = '{s}' THEN n_members ELSE 0 END" for s in _S)} FROM (
-    SELECT q.domain, q.step, q.group_id, q.n_members, {_PICK} AS split, {', '.join(f'l_{s}' for s in _S)}
-    FROM walk w JOIN seq q ON q.domain = w.domain AND q.step = w.step + 1 JOIN budget b ON b.domain = w.domain)),
-splits AS (SELECT s.id, s.group_id, s.domain, s.status, w.split FROM sized s JOIN walk w USING (group_id)),
+  SELECT step, group_id, pick, list_transform(l, lambda x, i: x - CASE WHEN (i - 1) % 3 + 1 = pick THEN c[((i - 1) // 3) + 1] ELSE 0 END), b FROM (
+    SELECT q.step, q.group_id, q.c, w.l, w.b,
+      list_max(list_transform(list_filter([1, 2, 3], lambda s: {_FITS}), lambda s: {{'f': {_FRACTION}, 't': {_TIE}, 's': CAST(s AS INTEGER)}})).s AS pick
+    FROM walk w JOIN seq q ON q.step = w.step + 1)),
+splits AS (SELECT s.id, s.group_id, s.domain, s.status, {list(_S)}[w.pick] AS split FROM sized s JOIN walk w USING (group_id)),
 reps AS (SELECT group_id, domain, arg_min(id, {sql_text_digest(K.TAG_REPRESENTATIVE, "group_id || ':' || id")}) AS rep FROM splits GROUP BY 1, 2)"""
 
 
