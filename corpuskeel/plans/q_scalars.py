@@ -10,7 +10,7 @@ from ..functions import codes as C
 from ..functions import keys as X
 from ..operators.skew import exact_quantiles
 from .registry import query, table
-from .views import sql_digest, sql_fold, sql_text_digest, sql_text_group, sql_uint
+from .views import sql_bounds, sql_digest, sql_fold, sql_text_digest, sql_text_group, sql_uint
 
 DIMENSION = 64
 _ZERO_SEED = bytes(32)
@@ -183,9 +183,11 @@ def sf11(spark, folder):
     )
 
 
-# The oracle takes the tail at the bound: it has to return alpha. A bound b of x successes in n solves
-# sum_{k in tail} C(n,k) b^k (1-b)^(n-k) = alpha, so the query reports the bounds' tails as well.
-@query("sf12_exact_bounds")
+@query(
+    "sf12_exact_bounds",
+    f"""WITH RECURSIVE cells AS (SELECT source, lang, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS x FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2),
+       {sql_bounds('cells', 'source, lang')} SELECT source, lang, n, x, round(lower_bound, 6) AS lower_bound, round(upper_bound, 6) AS upper_bound FROM bounds""",
+)
 def sf12(spark, folder):
     cells = table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id").groupBy("source", "lang").agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("x")

@@ -9,7 +9,7 @@ from .. import constants as K
 from ..operators import detect
 from ..session import cut
 from .registry import query
-from .views import SQL_SCORES, scores
+from .views import SQL_SCORES, scores, sql_bounds
 
 _TAU_S, _TAU_I = 0.1, 0.05
 _PER_Q = f"perq AS (SELECT domain, uid, condition, q, max(s) AS s, max(i) AS i FROM scores GROUP BY 1, 2, 3, 4)"
@@ -68,13 +68,24 @@ def _chosen_cells(spark, folder):
     return counts.join(F.broadcast(at), ["js", "ji"]).join(F.broadcast(planned), "domain")
 
 
-@query("ag16_objective_cells")
+_CELLS = f"""at AS (SELECT domain, condition, CAST(n_matches AS BIGINT) AS x, planned AS n FROM grid JOIN best USING (js, ji) JOIN planned USING (domain)),
+{sql_bounds('at', 'domain, condition')},
+judged AS (SELECT domain, condition, x AS n_matches, n AS planned, CASE WHEN condition = '{K.POSITIVE_CONDITION}' THEN lower_bound ELSE upper_bound END AS bound,
+  CASE WHEN condition = '{K.POSITIVE_CONDITION}' THEN lower_bound >= {K.POSITIVE_FLOOR} ELSE upper_bound <= {K.NEGATIVE_CEILING} END AS holds FROM bounds)"""
+
+
+@query(
+    "ag16_objective_cells",
+    f"WITH RECURSIVE {SQL_SCORES}, {_GRID}, {_BEST}, {_CELLS} SELECT domain, condition, n_matches, planned, round(bound, 6) AS bound, holds FROM judged",
+)
 def ag16(spark, folder):
     cells = detect.joint_objective(_chosen_cells(spark, folder))
     return cells.select("domain", "condition", "n_matches", "planned", F.round("bound", 6).alias("bound"), "holds")
 
 
-@query("ag16_objective")
+@query(
+    "ag16_objective", f"WITH RECURSIVE {SQL_SCORES}, {_GRID}, {_BEST}, {_CELLS} SELECT bool_and(holds) AS met, count(*) AS n_cells FROM judged"
+)
 def ag16_met(spark, folder):
     cells = cut(detect.joint_objective(_chosen_cells(spark, folder)), "cells")
     return detect.objective_met(cells, scores(spark, folder)[0])

@@ -1 +1,219 @@
-"""Queries."""
+"""Queries: sources and sinks (IO). Files are written from the given tables into the shared folder."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..operators.images import pixels_of_text
+from ..session import scratch_path
+from ..sources import archive as Z
+from ..sources import files as S
+from .pictures import png_table
+from .registry import query, table
+from .views import SQL_RECORDS
+
+
+@query("io1_projected_scan", "SELECT l_returnflag, l_linestatus, count(*) AS n_rows, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1, 2")
+def io1(spark, folder):
+    scan = S.projected_scan(spark, f"{folder}/lineitem.parquet", ["l_returnflag", "l_linestatus", "l_quantity"])
+    return scan.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("l_quantity"), 2).alias("quantity")
+    )
+
+
+@query("io2_pinned_files")
+def io2(spark, folder):
+    """The table files against pins; the largest ones are refused by size before they are read."""
+    sizes = S.asset_scan(spark, folder, "*.parquet", recursive=False)
+    pins = sizes.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
+    return S.pinned_files(spark, folder, pins, max_bytes=1 << 20, glob="*.parquet")
+
+
+@query("io3_inventory_records", f"WITH {SQL_RECORDS} SELECT * FROM records")
+def io3(spark, folder):
+    documents, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    raw, packed = scratch_path(spark, "inventory"), scratch_path(spark, "inventory")
+    size, digest = F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha256")
+    documents.select(
+        "source", F.col("doc_id").alias("source_id"), F.concat_ws("/", "source", "doc_id").alias("relative_path"), size, digest,
+        F.col("n_chars").alias("width"), F.col("n_chars").alias("height"), F.lit("RGB").alias("mode"), F.lit("TXT").alias("format"), F.lit("1").alias("license_id"),
+    ).write.option("header", True).csv(raw)
+    chars = F.char_length("text")
+    benchmark.select(
+        F.lit("bench").alias("part_id"), F.col("item_id").alias("image_name"), size, digest, chars.alias("width"), chars.alias("height"), F.lit("RGB").alias("mode")
+    ).write.option("header", True).csv(packed)
+    one = S.inventory_records(S.read_inventory(spark, raw, S.RAW_INVENTORY), F.col("source"), F.col("source_id"))
+    two = S.inventory_records(S.read_inventory(spark, packed, S.ARCHIVE_INVENTORY), F.col("part_id"), F.col("image_name"))
+    return one.unionByName(two)
+
+
+@query(
+    "io4_json_lines",
+    "SELECT event_type, count(*) AS n_rows, round(sum(value), 2) AS total, CAST(sum(CAST(props->>'k' AS INTEGER)) AS BIGINT) AS k FROM events GROUP BY 1",
+)
+def io4(spark, folder):
+    path = scratch_path(spark, "events") + ".jsonl"
+    table(spark, folder, "events").select("event_id", "event_type", "value", F.from_json("props", "k int").alias("props")).write.json(path)
+    rows = S.read_json_lines(spark, path, "event_id long, event_type string, value double, props struct<k: int>")
+    return rows.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 2).alias("total"), F.sum("props.k").alias("k")
+    )
+
+
+@query("io5_nested_documents", "SELECT source, doc_id AS id, n_chars, lang FROM documents")
+def io5(spark, folder):
+    """JSON documents of at most 200 records each, as one array per file."""
+    path = scratch_path(spark, "annotations")
+    record = F.struct(F.col("doc_id").alias("id"), "n_chars", "lang")
+    bundles = table(spark, folder, "documents").groupBy("source", F.floor(F.col("doc_id") / 200).alias("bundle")).agg(F.collect_list(record).alias("images"))
+    content = F.to_json(F.struct("source", "images"), {"pretty": "true"}).cast("binary")
+    S.write_files(bundles.select(F.concat_ws("-", "source", "bundle").alias("name"), content.alias("content")), path).collect()
+    return S.read_documents(
+        spark, path, "source string, images array<struct<id: long, n_chars: long, lang: string>>", "images", ["source"]
+    )
+
+
+@query("io6_asset_scan")
+def io6(spark, folder):
+    scan = S.asset_scan(spark, folder, "*.parquet", recursive=False)
+    return scan.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256", "md5")
+
+
+@query(
+    "io7_image_scan",
+    f"""WITH p AS (SELECT doc_id, lang, greatest(32, CAST(ceil(octet_length(encode(text)) / 192.0) AS INTEGER)) AS h FROM documents)
+       SELECT doc_id || '.png' AS name, CASE WHEN lang = 'es' OR 64 * h > 40000 THEN '{K.STATUS_REJECT}' ELSE '{K.STATUS_PASS}' END AS status,
+         CASE WHEN lang = 'es' THEN 'source_decode_failure' WHEN 64 * h > 40000 THEN 'unsupported_pixel_count' END AS reason,
+         CASE WHEN lang = 'es' THEN -1 ELSE 64 END AS width, CASE WHEN lang = 'es' THEN -1 ELSE h END AS height FROM p""",
+)
+def io7(spark, folder):
+    """Documents as PNG files, the Spanish ones cut short so that they cannot be decoded."""
+    path = scratch_path(spark, "images")
+    documents = table(spark, folder, "documents")
+    files = png_table(pixels_of_text(documents, "doc_id", "text")).join(
+        documents.select(F.concat("doc_id", F.lit(".png")).alias("name"), "lang"), "name"
+    )
+    cut_short = F.when(F.col("lang") == "es", F.substring("content", 1, 40)).otherwise(F.col("content"))
+    S.write_files(files.select("name", cut_short.alias("content")), path).agg(F.sum("bytes")).collect()
+    return S.image_scan(spark, path, max_pixels=40_000).drop("image")
+
+
+def _zip(pdf: pd.DataFrame) -> pd.DataFrame:
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
+        for key, text in sorted(zip(pdf["doc_id"], pdf["text"])):
+            archive.writestr(zipfile.ZipInfo(f"{key}.txt", (2024, 1, 1, 0, 0, 0)), text, zipfile.ZIP_DEFLATED)
+    return pd.DataFrame({"name": [f"part-{int(pdf['part'].iloc[0]):06d}.zip"], "content": [body.getvalue()]})
+
+
+def document_archives(spark, folder) -> str:
+    """ZIP files of a hundred documents each; returns the path pattern."""
+    path = scratch_path(spark, "archives")
+    parts = table(spark, folder, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 100).alias("part"))
+    S.write_files(parts.groupBy("part").applyInPandas(_zip, "name string, content binary"), path).collect()
+    return f"{path}/*.zip"
+
+
+_ARCHIVE = "'part-' || lpad(CAST(doc_id // 100 AS VARCHAR), 6, '0') || '.zip'"
+
+
+@query(
+    "io8_archive_members",
+    f"""SELECT {_ARCHIVE} AS archive, doc_id || '.txt' AS member, octet_length(encode(text)) AS bytes, true AS crc_ok, sha256(text) AS sha256, CAST(NULL AS VARCHAR) AS problem FROM documents""",
+)
+def io8(spark, folder):
+    members = Z.archive_members(spark, document_archives(spark, folder), ranges=2)
+    return members.select("archive", "member", "bytes", "crc_ok", "sha256", "problem")
+
+
+@query(
+    "io8_archive_contract",
+    f"""SELECT {_ARCHIVE} AS archive, doc_id || '.txt' AS member, CASE WHEN l.doc_id IS NULL THEN 'unexpected' ELSE 'ok' END AS status, sha256(text) AS sha256
+       FROM documents LEFT JOIN labels l USING (doc_id)
+       UNION ALL SELECT 'part-000000.zip', 'item-' || item_id || '.txt', 'missing', NULL FROM benchmark""",
+)
+def io8_contract(spark, folder):
+    members = Z.archive_members(spark, document_archives(spark, folder))
+    name = F.concat(F.lit("part-"), F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 6, "0"), F.lit(".zip"))
+    wanted = table(spark, folder, "labels").select(name.alias("archive"), F.concat("doc_id", F.lit(".txt")).alias("member"))
+    absent = table(spark, folder, "benchmark").select(F.lit("part-000000.zip").alias("archive"), F.concat(F.lit("item-"), "item_id", F.lit(".txt")).alias("member"))
+    return Z.archive_contract(members, wanted.unionByName(absent))
+
+
+@query(
+    "io9_metrics",
+    "SELECT event_type AS condition, count(*) * 2 AS n_rows, round(2 * sum(value), 2) AS total FROM events GROUP BY 1",
+)
+def io9(spark, folder):
+    base = scratch_path(spark, "metrics")
+    metrics = table(spark, folder, "events").select(F.col("event_id").alias("run_id"), F.col("event_type").alias("condition"), "value")
+    metrics.write.option("header", True).csv(base + ".CSV")
+    metrics.write.json(base + ".json")
+    schema = "run_id long, condition string, value double"
+    both = S.read_metrics(spark, base + ".CSV", schema).unionByName(S.read_metrics(spark, base + ".json", schema))
+    return both.groupBy("condition").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(
+    "io10_write_once",
+    """SELECT n_nationkey AS nationkey, count(c_custkey) AS n_rows, true AS first_written, false AS second_written
+       FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""",
+)
+def io10(spark, folder):
+    path = scratch_path(spark, "once")
+    customers = table(spark, folder, "customer")
+    first, second = S.write_once(customers, path), S.write_once(customers.limit(1), path)
+    return spark.read.schema(customers.schema).parquet(path).groupBy(F.col("c_nationkey").alias("nationkey")).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    ).withColumn("first_written", F.lit(first)).withColumn("second_written", F.lit(second))
+
+
+@query(
+    "io11_table_digest",
+    """WITH hashed AS (SELECT sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey})) AS d FROM customer),
+       u AS (SELECT d, count(*) AS n FROM hashed GROUP BY 1), l0 AS (SELECT substr(d, 1, 4) AS p, d || ':' || n AS d, n FROM u),
+       l1 AS (SELECT p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l0 GROUP BY 1),
+       l2 AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l1 GROUP BY 1)
+       SELECT sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS tree_sha256, CAST(sum(n) AS BIGINT) AS n_members FROM l2""",
+)
+def io11(spark, folder):
+    return S.table_digest(table(spark, folder, "customer"), ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"])
+
+
+_SELECTED = f"SELECT {_ARCHIVE} AS archive, doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1"
+
+
+def _selection(spark, folder):
+    name = F.concat(F.lit("part-"), F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 6, "0"), F.lit(".zip"))
+    chosen = table(spark, folder, "labels").filter("quality = 1").join(table(spark, folder, "documents"), "doc_id")
+    return chosen.select(name.alias("archive"), F.concat("doc_id", F.lit(".txt")).alias("member"), F.sha2("text", 256).alias("sha256"))
+
+
+@query(
+    "io12_stage_preview",
+    f"SELECT archive, count(*) AS n_members, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM ({_SELECTED}) GROUP BY 1",
+)
+def io12_preview(spark, folder):
+    return Z.stage_preview(Z.archive_members(spark, document_archives(spark, folder)), _selection(spark, folder))
+
+
+@query(
+    "io12_stage_members",
+    f"SELECT archive, doc_id || '.txt' AS member, octet_length(encode(text)) AS bytes, sha256(text) AS sha256, true AS verified FROM ({_SELECTED})",
+)
+def io12(spark, folder):
+    members = Z.archive_members(spark, document_archives(spark, folder), content=True)
+    return Z.stage_members(members, _selection(spark, folder))
+
+
+@query("io13_run_inventory", "SELECT page_id || '.html' AS path, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages")
+def io13(spark, folder):
+    run = scratch_path(spark, "run")
+    pages = table(spark, folder, "pages").select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
+    S.write_files(pages, run).collect()
+    return S.run_inventory(spark, run)

@@ -42,6 +42,23 @@ def sql_hex_int(text: str) -> str:
     return f"CAST(('0x' || {text}) AS BIGINT)"
 
 
+def sql_bounds(cells: str, keys: str) -> str:
+    """Exact one-sided bounds of `cells` (keys, x, n) by the same 53 bisections, as a recursive query."""
+    parts = []
+    for name, lower in (("lower_bound", True), ("upper_bound", False)):
+        ks = "range(x, n + 1)" if lower else "range(0, x + 1)"
+        tail = f"""least(1.0, list_sum(list_transform({ks}, lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+          + k * ln(mid) + (n - k) * ln(1 - mid)))))"""
+        up = f"(tail < {K.ONE_SIDED_ALPHA}) = {str(lower).lower()}"
+        parts.append(f"""walk_{name} AS (SELECT {keys}, x, n, 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM {cells}
+          UNION ALL SELECT {keys}, x, n, step + 1, CASE WHEN {up} THEN mid ELSE lo END, CASE WHEN {up} THEN hi ELSE mid END
+          FROM (SELECT *, {tail} AS tail FROM (SELECT *, (lo + hi) / 2 AS mid FROM walk_{name} WHERE step < 53)))""")
+    edge = f"CASE WHEN x = 0 THEN 0.0 WHEN x = n THEN {K.ONE_SIDED_ALPHA} ** (1.0 / n) ELSE (lo + hi) / 2 END"
+    edge2 = f"CASE WHEN x = n THEN 1.0 WHEN x = 0 THEN 1 - {K.ONE_SIDED_ALPHA} ** (1.0 / n) ELSE (lo + hi) / 2 END"
+    return ", ".join(parts) + f""", bounds AS (SELECT {keys}, x, n, a.b AS lower_bound, c.b AS upper_bound FROM
+      (SELECT {keys}, x, n, {edge} AS b FROM walk_lower_bound WHERE step = 53) a JOIN (SELECT {keys}, {edge2} AS b FROM walk_upper_bound WHERE step = 53) c USING ({keys}))"""
+
+
 # --- metadata ---------------------------------------------------------------------------------
 
 SQL_META = """meta AS (

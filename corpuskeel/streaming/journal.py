@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import scratch_path
 
@@ -64,11 +65,29 @@ def interrupted_runs(starts: DataFrame, finals: DataFrame, key: str) -> DataFram
     return starts.select(key).distinct().join(finals, key, "left_anti")
 
 
-def changes(df: DataFrame, key: str, order: str, fingerprint: Column) -> DataFrame:
-    """Rows whose fingerprint differs from that of the row before them in the same series."""
-    series = Window.partitionBy(key).orderBy(order)
-    marked = df.withColumn("_f", fingerprint)
-    return marked.withColumn("_before", F.lag("_f").over(series)).filter(~F.col("_f").eqNullSafe(F.col("_before"))).drop("_before").withColumnRenamed("_f", "token")
+def changes(df: DataFrame, key: str, order: str, fingerprint: Column, slices: int = 256) -> DataFrame:
+    """Rows whose fingerprint differs from that of the row before them in the same series.
+
+    Long series are cut in `slices` by equal ranges of the numeric `order`: rows look back inside
+    their slice, and the first row of a slice sees the last fingerprint of the slice before.
+    """
+    marked = df.withColumn("token", fingerprint)
+    span = marked.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
+    sliced = marked.crossJoin(F.broadcast(span)).withColumn(  # one row
+        "_slice", F.floor((F.col(order) - F.col("_lo")) / width * slices).cast("int")
+    ).drop("_lo", "_hi")
+    ends = sliced.groupBy(key, "_slice").agg(F.max_by("token", order).alias("_last"))
+    by_key = Window.partitionBy(key).orderBy("_slice")  # at most `slices` rows per key
+    carried = ends.select(key, "_slice", F.lag("_last").over(by_key).alias("_carried"))
+    inside = Window.partitionBy(key, "_slice").orderBy(order)
+    return (
+        sliced.withColumn("_before", F.lag("token").over(inside))
+        .withColumn("_first", F.row_number().over(inside) == 1)
+        .join(carried, [key, "_slice"])
+        .filter(~F.col("token").eqNullSafe(F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))))
+        .drop("_slice", "_before", "_first", "_carried")
+    )
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -84,7 +103,7 @@ def _drain(stream: DataFrame, label: str, mode: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(append).start()
     query.awaitTermination()
-    schema = stream.schema.add("_batch", "int")
+    schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
     return spark.read.schema(schema).parquet(target)
 
 
@@ -135,11 +154,17 @@ def stream_interrupted(events: DataFrame, key: str, time: str, is_final: Column,
     """
     sessions = (
         events.withColumn("_final", is_final)
+        .withColumn(time, F.col(time).cast("timestamp"))
         .withWatermark(time, gap)
         .groupBy(F.session_window(time, gap).alias("w"), key)
         .agg(F.count_if("_final").alias("n_final"), F.count(F.lit(1)).alias("n_events"))
         .filter("n_final = 0")
-        .select(key, F.col("w.start").alias("started_at"), F.col("w.end").alias("timed_out_at"), "n_events")
+        .select(
+            key,
+            F.col("w.start").cast("timestamp_ntz").alias("started_at"),
+            F.col("w.end").cast("timestamp_ntz").alias("timed_out_at"),
+            "n_events",
+        )
     )
     return _drain(sessions, "interrupted", "append").drop("_batch")
 
@@ -147,19 +172,26 @@ def stream_interrupted(events: DataFrame, key: str, time: str, is_final: Column,
 def stream_changes(events: DataFrame, key: str, order: str, fingerprint: Column) -> DataFrame:
     """(key, seq, token) for events whose token differs from the last one of the key.
 
-    Events of a key are taken in the order of `order` within a micro-batch; the state holds the last
-    token only.
+    Every micro-batch is compared with the last token of each key, which is kept as one small row per
+    key in a table of the batch. A batch that is run again writes the same rows.
     """
-    marked = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("seq"), fingerprint.alias("token"))
-
-    def emit(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        before = pdf["token"].shift(fill_value="" if last is None else last)
-        state.update((pdf["token"].iloc[-1],))
-        yield pdf[pdf["token"] != before][["key", "seq", "token"]]
-
-    changed = marked.groupBy("key").applyInPandasWithState(
-        emit, "key string, seq long, token string", "token string", "append", GroupStateTimeout.NoTimeout
+    spark = events.sparkSession
+    target, memory, mark = (scratch_path(spark, label) for label in ("changes", "last-tokens", "changes-log"))
+    marked = events.select(
+        F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("seq"), fingerprint.alias("token")
     )
-    return _drain(changed, "changes", "append").drop("_batch")
+
+    def compare(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.withColumn("_new", F.lit(True))
+        if batch_id > 0:
+            old = spark.read.parquet(f"{memory}/batch={batch_id - 1}").withColumn("_new", F.lit(False))
+            fresh = fresh.unionByName(old)
+        found = changes(fresh.drop("_new"), "key", "seq", F.col("token"))
+        known = fresh.filter(~F.col("_new")).select("key", "seq")
+        found.join(known, ["key", "seq"], "left_anti").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        last = F.max_by(F.struct("seq", "token"), "seq").alias("l")
+        fresh.groupBy("key").agg(last).select("key", "l.*").write.mode("overwrite").parquet(f"{memory}/batch={batch_id}")
+
+    query = marked.writeStream.option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(compare).start()
+    query.awaitTermination()
+    return spark.read.schema("key string, seq long, token string").parquet(target).select("key", "seq", "token")
