@@ -54,12 +54,9 @@ def edge_counts(keys: DataFrame, near_pairs: int | None = None) -> DataFrame:
     return counts
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.pmod(F.xxhash64("src", "dst"), F.lit(1 << 40))), F.lit(0)).alias("h"),
-    ).first()
-    return int(row["n"]), int(row["h"])
+def _is_star(edges: DataFrame) -> bool:
+    """True when no target of an edge points on to another node."""
+    return edges.join(edges.select(F.col("src").alias("dst")), "dst", "left_semi").isEmpty()
 
 
 def _with_minimum(edges: DataFrame, hot_rows: int) -> DataFrame:
@@ -88,12 +85,10 @@ def connected_components(
     """
     spark = nodes.sparkSession
     current = cut(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "edges")
-    state = _state(current)
+    # Contraction never adds edges, so this count bounds the degree of every node in every round.
+    hot = hot_rows if 2 * current.count() > hot_rows else 0
     for _ in range(max_rounds):
-        if state[0] == 0:
-            break
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        hot = hot_rows if 2 * state[0] > hot_rows else 0
         large = (
             _with_minimum(both, hot)
             .filter((F.col("dst") > F.col("src")) & (F.col("dst") != F.col("low")))
@@ -110,12 +105,10 @@ def connected_components(
             ).alias("e")
         ).select("e.src", "e.dst")
         following = cut(small.filter(F.col("src") != F.col("dst")).distinct(), "edges")
-        new_state = _state(following)
         drop_cut(spark, current)
         current = following
-        if new_state == state:
+        if _is_star(current):
             break
-        state = new_state
     else:
         raise ContractViolation("components did not settle")
     return nodes.select(node).join(current.select(F.col("src").alias(node), "dst"), node, "left").select(
@@ -182,31 +175,32 @@ def holdout_closure(groups: DataFrame, holdout: DataFrame) -> DataFrame:
 
 
 def task_levels(tasks: DataFrame, edges: DataFrame, preferred: str, max_levels: int = 10_000) -> DataFrame:
-    """(id, level, position): tasks whose parents are all placed form the next level.
+    """(id, preferred, level): tasks whose parents are all placed form the next level.
 
-    `edges` hold (id, parent). Level by level only the open tasks are kept; a round without a ready
-    task is a cycle. Positions follow (level, preferred order, id).
+    `edges` hold (id, parent). A round drops the edges from placed parents; tasks that thereby lose
+    their last edge are ready. A round that frees nothing while edges remain is a cycle. The order
+    inside a level is (preferred, id), see `task_order`.
     """
     spark = tasks.sparkSession
     open_edges = cut(edges.select("id", "parent").distinct(), "task-edges")
     require_none(open_edges.join(tasks.select(F.col("id").alias("parent")), "parent", "left_anti"), "unknown parent task")
-    open_tasks = cut(tasks.select("id", F.col(preferred).alias("_preferred")), "tasks")
-    placed = None
-    for level in range(max_levels):
-        ready = cut(open_tasks.join(open_edges, "id", "left_anti").withColumn("level", F.lit(level).cast("long")), "ready")
-        if ready.isEmpty():
-            if not open_tasks.isEmpty():
-                raise ContractViolation("task graph contains a cycle")
-            break
-        placed = ready if placed is None else placed.unionByName(ready)
+    ready = cut(tasks.select("id").join(open_edges, "id", "left_anti"), "ready")
+    placed = ready.withColumn("level", F.lit(0).cast("long"))
+    for level in range(1, max_levels):
         following = cut(open_edges.join(ready.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "parent"), "task-edges")
-        left = cut(open_tasks.join(ready, "id", "left_anti"), "tasks")
+        ready = cut(open_edges.select("id").distinct().join(following, "id", "left_anti"), "ready")
         drop_cut(spark, open_edges)
-        drop_cut(spark, open_tasks)
-        open_edges, open_tasks = following, left
-    if placed is None:
-        raise ContractViolation("no tasks")
-    return placed
+        open_edges = following
+        if ready.isEmpty():
+            break
+        placed = placed.unionByName(ready.withColumn("level", F.lit(level).cast("long")))
+    if not open_edges.isEmpty():
+        raise ContractViolation("task graph contains a cycle")
+    return tasks.select("id", preferred).join(placed, "id")
+
+
+def task_order(levels: DataFrame, preferred: str) -> DataFrame:
+    return levels.orderBy("level", preferred, "id")
 
 
 def contract_graph(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -175,7 +175,9 @@ def exact_quantiles(
         .select(*keys, "_n", "_w.*")
     )
     counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    joined = join_per_key(counts, wanted, keys, "_n")
+    # `wanted` holds a few rows per key: broadcast by the planner if it is small; otherwise keys are
+    # many, and the adaptive skew join splits the partition of a hot one.
+    joined = counts.join(wanted, keys)
     below = joined.groupBy(*keys, "_i").agg(
         F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_c")).otherwise(F.lit(0))).alias("_below")
     )

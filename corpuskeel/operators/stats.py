@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .skew import exact_quantiles
 
 
@@ -122,6 +123,7 @@ def bootstrap_means(values: DataFrame, samples: int, seed: int) -> DataFrame:
     Draws of one unit within a sample are counted before they meet its value, so the join carries one
     row per (sample, unit). Units may be single pairs (weight 1) or whole clusters.
     """
+    values = cut(values, "units")
     n = values.count()
     if n == 0:
         return values.sparkSession.createDataFrame([], "sample int, estimate double")
@@ -135,7 +137,7 @@ def bootstrap_means(values: DataFrame, samples: int, seed: int) -> DataFrame:
 
 def percentile_interval(means: DataFrame, level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
-    return exact_quantiles(means, [], "estimate", {"low": tail, "high": 1 - tail})
+    return exact_quantiles(cut(means, "estimates"), [], "estimate", {"low": tail, "high": 1 - tail})
 
 
 def paired_bootstrap(
@@ -146,7 +148,7 @@ def paired_bootstrap(
     Pairs are numbered in seed order by range-sliced ranks, so the numbering needs no single task.
     """
     numbered = positions(differences, seed_col).select("position", F.col("difference").alias("total"), F.lit(1.0).alias("weight"))
-    n = numbered.count()
+    n = differences.count()
     if n < min_pairs or not complete:
         return differences.sparkSession.range(1).select(
             F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("withheld")

@@ -105,7 +105,7 @@ _NEAR_EDGES = """SELECT src, dst FROM stars UNION SELECT CAST(right_id AS VARCHA
 def leakage_groups(spark, folder):
     """(rows, groups): the whole leakage frame with key edges, near pairs and equal fingerprints."""
     rows = frame_nodes(spark, folder)
-    prints = cut(document_fingerprints(spark, folder).withColumn("id", F.col("id").cast("string")), "prints")
+    prints = cut(document_fingerprints(spark, folder).withColumn("id", F.col("id").cast("string")), "prints").filter("fp is not null")
     classes = cut(dedup.fingerprint_classes(prints, "fp", ("width", "height")), "classes")
     pairs = dedup.near_class_pairs(classes, condition=dedup.near_condition(aspect=True)).select("left_id", "right_id")
     same = graph.class_edges(prints, "fp", ("width", "height"))

@@ -10,7 +10,7 @@ from ..functions.codes import code_bytes
 from ..operators import detect
 from ..operators import images as I
 from ..session import cut
-from .registry import query, table
+from .registry import query, spread_table
 from .views import sql_digest, sql_uint
 
 WIDTH = 64
@@ -22,7 +22,7 @@ SQL_PIXELS = f"""pixels AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_HEIGHT} AS h
 
 
 def pixels(spark, folder):
-    return I.pixels_of_text(table(spark, folder, "documents"), "doc_id", "text", WIDTH)
+    return I.pixels_of_text(spread_table(spark, folder, "documents", "doc_id"), "doc_id", "text", WIDTH)
 
 
 @query("im1_pixel_digest", f"WITH {SQL_PIXELS} SELECT id, {sql_digest(K.TAG_PIXELS, sql_uint(str(WIDTH), 4), sql_uint('height', 4), 'rgb')} AS pixel_sha256 FROM pixels")

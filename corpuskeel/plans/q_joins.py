@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.codes import simhash64
 from ..functions.keys import folded_text, text_group
 from ..operators import dedup, evidence, reconcile
 from .q_rows import SQL_MANIFEST, manifest
-from .registry import query, table
+from .registry import query, spread_table, table
 from .views import SQL_RECORDS, records, sql_fold, sql_text_group
 
 
@@ -108,20 +109,13 @@ def jn6(spark, folder):
     )
 
 
-def document_words(spark, folder):
-    """(doc_id, word) of the folded whole texts."""
-    documents = table(spark, folder, "documents").select("doc_id", folded_text("text").alias("t")).filter("t is not null")
-    return documents.select("doc_id", F.explode(F.split("t", " ")).alias("word"))
-
-
 def document_fingerprints(spark, folder):
     """(id, fp, width, height): word SimHash of each document, characters as width."""
-    sizes = table(spark, folder, "documents").select("doc_id", F.col("n_chars").alias("width"))
-    return (
-        dedup.simhash64(document_words(spark, folder), "doc_id", "word")
-        .join(sizes, "doc_id")
-        .select(F.col("doc_id").alias("id"), "fp", "width", F.lit(1).cast("long").alias("height"))
-    )
+    documents = spread_table(spark, folder, "documents", "doc_id")
+    return documents.select(
+        F.col("doc_id").alias("id"), simhash64(folded_text("text")).alias("fp"), F.col("n_chars").alias("width"),
+        F.lit(1).cast("long").alias("height"),
+    )  # texts without words keep a null fingerprint and meet nothing
 
 
 _BITS = ", ".join(
@@ -144,7 +138,7 @@ def jn7(spark, folder):
     from ..session import cut
 
     classes = cut(dedup.fingerprint_classes(document_fingerprints(spark, folder), "fp", ("width", "height")), "classes")
-    return dedup.near_class_pairs(classes, condition=dedup.near_condition(aspect=True))
+    return dedup.near_class_pairs(classes.filter("fp is not null"), condition=dedup.near_condition(aspect=True))
 
 
 @query(
@@ -318,6 +312,3 @@ def sl2(spark, folder):
 
     failed = _compared(spark, folder).filter("status <> 'match'").withColumn("package", F.split("path", "/")[0])
     return first_examples(failed, ["package"], ["path"], 10)
-
-
-__all__ = ["SQL_FINGERPRINTS", "document_fingerprints", "document_words", "sql_fold"]

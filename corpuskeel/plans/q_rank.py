@@ -152,7 +152,7 @@ def wn8(spark, folder):
     from ..operators.rows import eligibility
 
     meta = metadata(spark, folder)
-    rows = eligibility(meta, ["doc_id", "part_id"])
+    rows = cut(eligibility(meta, ["doc_id", "part_id"]), "ledger")
     parts = rank.ranked_partitions(meta, "part_id", X.part_rank("part_id"), 14)
     target = table(spark, folder, "documents").count() // 5
     return rank.shortest_prefix(parts, rows, "part_id", "prompt_group_sha256", target).select(

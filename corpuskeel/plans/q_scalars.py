@@ -9,7 +9,7 @@ from ..functions import bounds as B
 from ..functions import codes as C
 from ..functions import keys as X
 from ..operators.skew import exact_quantiles
-from .registry import query, table
+from .registry import query, spread_table, table
 from .views import sql_bounds, sql_digest, sql_fold, sql_text_digest, sql_text_group, sql_uint
 
 DIMENSION = 64
@@ -18,7 +18,7 @@ _ZERO_SEED = bytes(32)
 
 @query("sf1_text_group", f"SELECT doc_id, {sql_fold('text')} AS folded, {sql_text_group('text')} AS prompt_group FROM documents")
 def sf1(spark, folder):
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents", "doc_id").select(
         "doc_id", X.folded_text("text").alias("folded"), X.text_group("text").alias("prompt_group")
     )
 
@@ -215,7 +215,7 @@ def sf13(spark, folder):
        regexp_replace(regexp_replace(text, '{K.BEARER_PATTERN}', '\\1[REDACTED]', 'g'), '{K.ASSIGNMENT_PATTERN}', '\\1[REDACTED]', 'g') AS redacted FROM documents)""",
 )
 def sf14(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = spread_table(spark, folder, "documents", "doc_id")
     return documents.select("doc_id", "text", X.redacted("text").alias("redacted")).select(
         "doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed")
     )

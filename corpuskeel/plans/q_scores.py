@@ -68,8 +68,8 @@ def _chosen_cells(spark, folder):
     return counts.join(F.broadcast(at), ["js", "ji"]).join(F.broadcast(planned), "domain")
 
 
-_CELLS = f"""at AS (SELECT domain, condition, CAST(n_matches AS BIGINT) AS x, planned AS n FROM grid JOIN best USING (js, ji) JOIN planned USING (domain)),
-{sql_bounds('at', 'domain, condition')},
+_CELLS = f"""spot AS (SELECT domain, condition, CAST(n_matches AS BIGINT) AS x, planned AS n FROM grid JOIN best USING (js, ji) JOIN planned USING (domain)),
+{sql_bounds('spot', 'domain, condition')},
 judged AS (SELECT domain, condition, x AS n_matches, n AS planned, CASE WHEN condition = '{K.POSITIVE_CONDITION}' THEN lower_bound ELSE upper_bound END AS bound,
   CASE WHEN condition = '{K.POSITIVE_CONDITION}' THEN lower_bound >= {K.POSITIVE_FLOOR} ELSE upper_bound <= {K.NEGATIVE_CEILING} END AS holds FROM bounds)"""
 

@@ -25,3 +25,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """Table for CPU-heavy work per row: redistributed by key only if the scan has too few partitions.
+
+    A small single-file table would keep all but a few cores idle. Large tables come in more
+    partitions than there are cores and are left where they are.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

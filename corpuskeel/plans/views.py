@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.keys import as_bytes, folded_text, tagged_digest, text_digest, text_group, uint_be
-from .registry import table
+from .registry import spread_table, table
 
 # --- SQL fragments ----------------------------------------------------------------------------
 
@@ -71,7 +71,7 @@ SQL_META = """meta AS (
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
     """documents with their labels as the metadata table: part = source, size = characters."""
-    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    documents, labels = spread_table(spark, folder, "documents", "doc_id"), table(spark, folder, "labels")
     return documents.join(labels, "doc_id", "left").select(
         "doc_id",
         (F.substring("source", 4, 10).cast("int") + 1).alias("part_id"),
@@ -127,7 +127,7 @@ SQL_NODES = f"""nodes AS (
 
 def nodes(spark: SparkSession, folder: str) -> DataFrame:
     """documents as rows of the leakage frame; toxic ones have no known producer."""
-    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    documents, labels = spread_table(spark, folder, "documents", "doc_id"), table(spark, folder, "labels")
     passed = F.col("n_chars") >= 64
     group = text_group("text")
     unknown = F.coalesce(F.col("toxic") == 1, F.lit(False))
