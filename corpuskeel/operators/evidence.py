@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_per_key, range_lag, range_rank
+
 DIRECT_KINDS = ("direct-evidence", "author-interpretation")
 ASSUMED_KINDS = ("agent-inference", "open-assumption")
 
 
 def identity_conflicts(papers: DataFrame, identities: Mapping[str, Column], order: str) -> DataFrame:
-    """Each repeated identity against the holder just before it (not against the first one)."""
+    """Each repeated identity against the holder just before it (not against the first one).
+
+    `order` is a numeric column, unique per paper.
+    """
     entries = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in identities.items()])
     long = papers.select("paper_id", F.col(order).alias("_o"), F.explode(entries).alias("_e")).select("paper_id", "_o", "_e.*")
     held = long.filter(F.col("key").isNotNull())
-    # Windows run over repeated keys only; singletons leave before the sort.
     repeated = held.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n_holders")).filter("n_holders > 1")
-    order_in_key = Window.partitionBy("kind", "key").orderBy("_o", "paper_id")
+    # Singletons leave before the series are ordered.
+    series = join_per_key(held, repeated, ["kind", "key"], "n_holders")
     return (
-        held.join(repeated.select("kind", "key"), ["kind", "key"], "left_semi")
-        .withColumn("previous_id", F.lag("paper_id").over(order_in_key))
+        range_lag(series, ["kind", "key"], "_o", "paper_id", "previous_id")
         .filter(F.col("previous_id").isNotNull())
         .select("kind", "paper_id", "previous_id")
     )
@@ -48,15 +52,24 @@ def source_contract(papers: DataFrame, evidence: DataFrame) -> DataFrame:
     return errors.unionByName(warnings)
 
 
-def claim_support(claims: DataFrame, evidence: DataFrame, papers: DataFrame, runs: DataFrame, run_gap: bool) -> DataFrame:
+def claim_links(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Long (claim_id, evidence_id) and (claim_id, run_id) tables of claims that carry id arrays."""
+    return (
+        claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id")),
+        claims.select("claim_id", F.explode("run_ids").alias("run_id")),
+    )
+
+
+def claim_support(
+    claims: DataFrame, cited: DataFrame, used: DataFrame, evidence: DataFrame, papers: DataFrame, runs: DataFrame, run_gap: bool
+) -> DataFrame:
     """Counted findings per claim: supporting, contradicting, unresolved.
 
-    `claims` holds claim_id, evidence_ids, run_ids; the ids are exploded and looked up. `run_gap`
+    `cited` (claim_id, evidence_id) and `used` (claim_id, run_id) are the links of the claims. `run_gap`
     says that an expected run is missing or failed outside the claim, which leaves every claim that
     relies on runs unresolved.
     """
     sources = papers.select(F.col("paper_id").alias("source_id"), "verification")
-    cited = claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id"))
     seen = evidence.select("evidence_id", "source_id", "stance", "kind", F.lit(True).alias("_e"))
     verified = F.col("verification") == "verified"
     from_evidence = (
@@ -71,13 +84,12 @@ def claim_support(claims: DataFrame, evidence: DataFrame, papers: DataFrame, run
             .alias("effect"),
         )
     )
-    used = claims.select("claim_id", F.explode("run_ids").alias("run_id"))
     from_runs = used.join(runs.select("run_id", F.col("status").alias("_status")), "run_id", "left").select(
         "claim_id", F.when(F.coalesce(F.col("_status") == "completed", F.lit(False)), "supporting").otherwise("unresolved").alias("effect")
     )
     effects = from_evidence.unionByName(from_runs)
     if run_gap:
-        gaps = claims.filter(F.size("run_ids") > 0).select("claim_id", F.lit("unresolved").alias("effect"))
+        gaps = used.select("claim_id").distinct().withColumn("effect", F.lit("unresolved"))
         effects = effects.unionByName(gaps)
     counts = effects.groupBy("claim_id").agg(
         *[F.count_if(F.col("effect") == e).alias(f"n_{e}") for e in ("supporting", "contradicting", "unresolved")]
@@ -114,12 +126,14 @@ def evidence_matrix(papers: DataFrame, fields: Sequence[str]) -> DataFrame:
 def ordered_union(df: DataFrame, by: Sequence[str], position: str, values: str) -> DataFrame:
     """Distinct elements of the arrays of a key in order of first appearance, as rows.
 
-    The result stays long (one row per element with its index), so a key of any size is fine: the
-    first appearance is a minimum, and only distinct elements are numbered.
+    The result stays long (one row per element with its index): the first appearance is a minimum,
+    and distinct elements are numbered by slices of the position.
     """
+    by = list(by)
     first = (
         df.select(*by, F.col(position).alias("_p"), F.posexplode(values).alias("_i", "element"))
         .groupBy(*by, "element")
         .agg(F.min(F.struct("_p", "_i")).alias("_at"))
+        .select(*by, "element", "_at._p", "_at._i")
     )
-    return first.withColumn("index", F.row_number().over(Window.partitionBy(*by).orderBy("_at")).cast("long")).select(*by, "index", "element")
+    return range_rank(first, by, "_p", ["_i"], "index").select(*by, "index", "element")

@@ -1,6 +1,7 @@
 """Building blocks that stay distributed when one key holds a large share of all rows.
 
 * `hashed_rank`    row numbers in the order of a uniform digest, with no global sort in one task
+* `range_rank`, `range_lag`  the same idea for numeric orders: numbers and predecessors by slices
 * `join_per_key`   join of rows with one row per key, hot keys broadcast, the rest shuffled
 * `member_digest`  one digest per group over its sorted members, groups of any size
 * `exact_quantiles` exact interpolated percentiles without holding a group in one buffer
@@ -58,6 +59,58 @@ def hashed_rank(
     )
 
 
+def _range_slices(df: DataFrame, order: str, slices: int) -> DataFrame:
+    """Add `_slice`: equal ranges of the numeric column `order`, the same for every key."""
+    span = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
+    number = F.floor((F.col(order) - F.col("_lo")) / width * slices).cast("int")
+    return df.crossJoin(F.broadcast(span)).withColumn("_slice", number).drop("_lo", "_hi")  # `span` is one row
+
+
+def range_rank(
+    df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = (), name: str = "rank", slices: int = 1024
+) -> DataFrame:
+    """1-based position per key in (`order`, *`ties`) order for a numeric `order`.
+
+    Like `hashed_rank`, with slices of the value range: a key of any size is numbered slice by slice.
+    """
+    by = list(by)
+    sliced = _range_slices(df, order, slices)
+    sizes = sliced.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    if not by:
+        offsets = F.broadcast(offsets)  # at most `slices` rows
+    inside = Window.partitionBy(*by, "_slice").orderBy(order, *ties)
+    return (
+        sliced.withColumn("_local", F.row_number().over(inside))
+        .join(offsets, [*by, "_slice"])
+        .withColumn(name, (F.col("_local") + F.col("_offset")).cast("long"))
+        .drop("_slice", "_local", "_offset")
+    )
+
+
+def range_lag(df: DataFrame, by: Sequence[str], order: str, value: str, name: str, slices: int = 256) -> DataFrame:
+    """Value of the row before in the series of a key, `order` being numeric and unique per key.
+
+    Rows look back inside their slice of the value range; the first row of a slice sees the last
+    value of the slice before it.
+    """
+    by = list(by)
+    sliced = _range_slices(df, order, slices)
+    ends = sliced.groupBy(*by, "_slice").agg(F.max_by(value, order).alias("_last"))
+    per_key = Window.partitionBy(*by).orderBy("_slice")  # at most `slices` rows per key
+    carried = ends.select(*by, "_slice", F.lag("_last").over(per_key).alias("_carried"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(order)
+    return (
+        sliced.withColumn("_before", F.lag(value).over(inside))
+        .withColumn("_first", F.row_number().over(inside) == 1)
+        .join(carried, [*by, "_slice"])
+        .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before")))
+        .drop("_slice", "_before", "_first", "_carried")
+    )
+
+
 def join_per_key(
     rows: DataFrame,
     per_key: DataFrame,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .skew import exact_quantiles
+from .skew import exact_quantiles, range_rank
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -158,26 +158,9 @@ def paired_bootstrap(
     )
 
 
-def positions(df: DataFrame, order: str, slices: int = 1024) -> DataFrame:
-    """0-based `position` in the order of a unique numeric column, without a global sort.
-
-    The value range is cut in equal slices; slice sizes give offsets, rows are numbered inside.
-    """
-    span = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    sliced = df.crossJoin(F.broadcast(span)).withColumn(  # one row
-        "_slice", F.floor((F.col(order) - F.col("_lo")) / width * slices).cast("int")
-    ).drop("_lo", "_hi")
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_slice").orderBy(order)
-    return (
-        sliced.withColumn("_local", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_slice")  # at most `slices` rows
-        .withColumn("position", (F.col("_local") + F.col("_offset") - 1).cast("long"))
-        .drop("_slice", "_local", "_offset")
-    )
+def positions(df: DataFrame, order: str) -> DataFrame:
+    """0-based `position` in the order of a unique numeric column, without a global sort."""
+    return range_rank(df, [], order, name="position").withColumn("position", F.col("position") - 1)
 
 
 def clustered_bootstrap(df: DataFrame, group: str, value: str, samples: int, seed: int) -> DataFrame:

@@ -107,7 +107,7 @@ def leakage_groups(spark, folder):
     rows = frame_nodes(spark, folder)
     prints = cut(document_fingerprints(spark, folder).withColumn("id", F.col("id").cast("string")), "prints").filter("fp is not null")
     classes = cut(dedup.fingerprint_classes(prints, "fp", ("width", "height")), "classes")
-    pairs = dedup.near_class_pairs(classes, condition=dedup.near_condition(aspect=True)).select("left_id", "right_id")
+    pairs = dedup.near_class_pairs(classes, condition=dedup.near_aspect()).select("left_id", "right_id")
     same = graph.class_edges(prints, "fp", ("width", "height"))
     return rows, graph.group_frame(rows, graph.leakage_keys(rows, producers=False), pairs.unionByName(same))
 

@@ -87,8 +87,7 @@ def _coded(spark, folder):
 def im5(spark, folder):
     """All 442 candidates of every document image, decided on a common q."""
     coded = cut(_coded(spark, folder), "coded")
-    keys = I.candidate_keys(coded.select("id", "q", "h"), "q", "h", F.lit(OWNER))
-    scored = I.score_candidates(coded.select("id", "width", "height", "rgb"), keys, CONFIG)
+    scored = I.score_candidates(coded.withColumn("owner", X.canonical_owner(F.lit(OWNER))), CONFIG)
     live = F.when(~F.col("zero_variance"), F.col("score"))
     rows = scored.select(
         "id", "q", F.when(F.col("component") == "semantic", live).alias("s"), F.when(F.col("component") == "instance", live).alias("i"), "q_order"

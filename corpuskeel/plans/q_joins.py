@@ -138,7 +138,7 @@ def jn7(spark, folder):
     from ..session import cut
 
     classes = cut(dedup.fingerprint_classes(document_fingerprints(spark, folder), "fp", ("width", "height")), "classes")
-    return dedup.near_class_pairs(classes.filter("fp is not null"), condition=dedup.near_condition(aspect=True))
+    return dedup.near_class_pairs(classes.filter("fp is not null"), condition=dedup.near_aspect())
 
 
 @query(

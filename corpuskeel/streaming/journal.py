@@ -6,14 +6,11 @@ each case ends once (completed or failed) and keeps the identity it was planned
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..operators.skew import range_lag
 from ..session import scratch_path
 
 TERMINAL = ("completed", "failed")
@@ -66,28 +63,9 @@ def interrupted_runs(starts: DataFrame, finals: DataFrame, key: str) -> DataFram
 
 
 def changes(df: DataFrame, key: str, order: str, fingerprint: Column, slices: int = 256) -> DataFrame:
-    """Rows whose fingerprint differs from that of the row before them in the same series.
-
-    Long series are cut in `slices` by equal ranges of the numeric `order`: rows look back inside
-    their slice, and the first row of a slice sees the last fingerprint of the slice before.
-    """
-    marked = df.withColumn("token", fingerprint)
-    span = marked.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    sliced = marked.crossJoin(F.broadcast(span)).withColumn(  # one row
-        "_slice", F.floor((F.col(order) - F.col("_lo")) / width * slices).cast("int")
-    ).drop("_lo", "_hi")
-    ends = sliced.groupBy(key, "_slice").agg(F.max_by("token", order).alias("_last"))
-    by_key = Window.partitionBy(key).orderBy("_slice")  # at most `slices` rows per key
-    carried = ends.select(key, "_slice", F.lag("_last").over(by_key).alias("_carried"))
-    inside = Window.partitionBy(key, "_slice").orderBy(order)
-    return (
-        sliced.withColumn("_before", F.lag("token").over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .join(carried, [key, "_slice"])
-        .filter(~F.col("token").eqNullSafe(F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_before"))))
-        .drop("_slice", "_before", "_first", "_carried")
-    )
+    """Rows whose fingerprint (`token`) differs from that of the row before them in the same series."""
+    marked = range_lag(df.withColumn("token", fingerprint), [key], order, "token", "_before", slices)
+    return marked.filter(~F.col("token").eqNullSafe(F.col("_before"))).drop("_before")
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -108,33 +86,22 @@ def _drain(stream: DataFrame, label: str, mode: str) -> DataFrame:
 
 
 def stream_replay(journal: DataFrame) -> DataFrame:
-    """Keyed state machine over a journal stream: last known (case_id, state, n_repeated, n_nonterminal).
+    """Keyed state over a journal stream: last known (case_id, state, n_repeated, n_nonterminal).
 
-    The state keeps the earliest terminal event by `seq`, so late or repeated files cannot change the
-    outcome; batches of a case pass through one after the other and are not collected.
+    The state is a streaming aggregate: the earliest terminal event by `seq` and two counts. It merges
+    inside each task first, so a case with a third of the events sends a few rows, and late or
+    repeated files cannot change which event ended a case.
     """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, status, terminal, other = state.get if state.exists else (None, None, 0, 0)
-        for pdf in batches:
-            ends = pdf[pdf["status"].isin(TERMINAL)]
-            other += len(pdf) - len(ends)
-            terminal += len(ends)
-            if len(ends):
-                first = ends.loc[ends["seq"].idxmin()]
-                if seq is None or first["seq"] < seq:
-                    seq, status = int(first["seq"]), first["status"]
-        state.update((seq, status, terminal, other))
-        yield pd.DataFrame(
-            {"case_id": [key[0]], "state": [status or "pending"], "n_repeated": [max(terminal - 1, 0)], "n_nonterminal": [other]}
-        )
-
-    updates = journal.select("case_id", "seq", "status").groupBy("case_id").applyInPandasWithState(
-        advance,
-        "case_id string, state string, n_repeated long, n_nonterminal long",
-        "seq long, status string, terminal long, other long",
-        "update",
-        GroupStateTimeout.NoTimeout,
+    terminal = F.col("status").isin(*TERMINAL)
+    updates = journal.groupBy("case_id").agg(
+        F.min_by("status", F.when(terminal, F.col("seq"))).alias("_end"),
+        F.count_if(terminal).alias("_n_terminal"),
+        F.count_if(~terminal).alias("n_nonterminal"),
+    ).select(
+        "case_id",
+        F.when(F.col("_n_terminal") > 0, F.col("_end")).otherwise("pending").alias("state"),
+        F.greatest(F.col("_n_terminal") - 1, F.lit(0).cast("long")).alias("n_repeated"),
+        "n_nonterminal",
     )
     log = _drain(updates, "replay", "update")
     return log.groupBy("case_id").agg(F.max_by(F.struct("state", "n_repeated", "n_nonterminal"), "_batch").alias("s")).select("case_id", "s.*")

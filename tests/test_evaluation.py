@@ -17,7 +17,7 @@ GRID = [(j - 50) / 50 for j in range(101)]
 
 def tables(spark, sources, observations):
     """observations: (uid, condition) -> list of (q, s, i) or absent."""
-    domain = dict(sources[::-1]) if False else {u: d for d, u in sources}
+    domain = {u: d for d, u in sources}
     roster = spark.createDataFrame(sources, "domain string, uid string")
     observed = spark.createDataFrame([(u, c) for (u, c) in observations], "uid string, condition string")
     rows = [(domain[u], u, c, q, s, i) for (u, c), cs in observations.items() for q, s, i in cs]
@@ -153,7 +153,7 @@ def test_claim_classes_and_previous_holder(spark):
         "claim_id string, evidence_ids array<string>, run_ids array<string>",
     )
     runs = spark.createDataFrame([("r1", "completed"), ("r2", "failed")], "run_id string, status string")
-    support = evidence.claim_support(claims, ledger, papers, runs, run_gap=False)
+    support = evidence.claim_support(claims, *evidence.claim_links(claims), ledger, papers, runs, run_gap=False)
     got = {r.claim_id: r.classification for r in evidence.classify_claims(support, source_errors=False).collect()}
     assert got == {"c1": "verified", "c2": "conflicting", "c3": "partially supported", "c4": "unverifiable", "c5": "unsupported", "c6": "verified", "c7": "unverifiable"}
     held = spark.createDataFrame([("a", 1, "T"), ("b", 2, "T"), ("c", 3, "T"), ("d", 4, None)], "paper_id string, o int, title string")

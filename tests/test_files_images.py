@@ -97,7 +97,12 @@ def test_marks_are_found_by_the_candidate_search(spark):
     suspects = frame.select("id", F.lit(q ^ 4).cast("long").alias("q"), F.lit(h ^ 1).cast("long").alias("h"))
     keys = I.candidate_keys(suspects, "q", "h", owner)
     assert {r.component: r["count"] for r in keys.groupBy("component").count().collect()} == {"semantic": 13, "instance": 429}
-    scored = I.score_candidates(marked, keys, config)
+    suspect = marked.join(suspects, "id").withColumn("owner", X.canonical_owner(owner))
+    scored = I.score_candidates(suspect, config).cache()
+    by_key = {(r.component, r.q, r.h): r.key_hex for r in keys.collect()}
+    assert len(by_key) == scored.count() == 442
+    row = scored.filter("component = 'instance' and q_order = 3 and h_order = 5").first()
+    assert by_key["instance", row.q, row.h] == I._signature(K.TAG_SIGNATURE_INSTANCE, row.q.to_bytes(2, "little"), row.h.to_bytes(4, "little"), b"Alice").hex()
     best = {r.component: r for r in scored.filter(F.col("q") == q).orderBy("score").collect()}
     assert best["semantic"].score > 0.6 and best["instance"].score > 0.6 and best["instance"].h == h
     signs = I.template_signs(keyed.select("id", "width", "height", F.lit("semantic").alias("component"), F.col("ws_hex").alias("key_hex")), config)

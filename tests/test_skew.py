@@ -97,7 +97,9 @@ def test_near_pairs_match_brute_force(spark, limits):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and near(a, b)}
     df = spark.createDataFrame(rows, "id string, fp long, width int, height int, colour array<int>").withColumn("n_rows", F.lit(1))
     blocks, bucket, top = limits
-    pairs = dedup.near_class_pairs(df.repartition(3), condition=dedup.near_condition(True, True), blocks=blocks, bucket_limit=bucket, max_blocks=top)
+    slim = df.repartition(3).drop("colour")
+    pairs = dedup.near_class_pairs(slim, condition=dedup.near_aspect(), blocks=blocks, bucket_limit=bucket, max_blocks=top)
+    pairs = dedup.close_in_colour(pairs, df)
     found = [(r.left_id, r.right_id) for r in pairs.collect()]
     assert set(found) == want and len(found) == len(want)
 
