@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.keys import folded_text, tagged_digest, text_digest, text_group, uint_be
+from ..functions.keys import tagged_digest, text_digest, text_group, uint_be
 
 MANIFEST_FIELDS = (
     "domain", "release_id", "source_split", "source_id", "relative_path", "raw_sha256", "raw_size_bytes",
@@ -26,13 +26,15 @@ def eligibility(df: DataFrame, keep: Sequence[str]) -> DataFrame:
         | (F.col("image_nsfw") >= K.SCORE_CEILING)
         | (F.col("prompt_nsfw") >= K.SCORE_CEILING)
     )
+    # The text group is null exactly for empty texts, so the text is folded once.
+    grouped = df.withColumn("_g", text_group("prompt"))
     reason = (
         F.when(F.col("image_nsfw").isNull() | F.col("prompt_nsfw").isNull(), "no_score")
         .when(blocked, "score_or_size")
-        .when(folded_text("prompt").isNull(), "empty_prompt")
+        .when(F.col("_g").isNull(), "empty_prompt")
         .otherwise("metadata_eligible")
     )
-    return df.select(*keep, reason.alias("reason"), text_group("prompt").alias("_g")).select(
+    return grouped.select(*keep, reason.alias("reason"), "_g").select(
         *keep, "reason", F.when(F.col("reason") == "metadata_eligible", F.col("_g")).alias("prompt_group_sha256")
     )
 
