@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import StringType
 
 from .. import constants as K
 
@@ -241,5 +241,3 @@ def is_public_https(c: Column | str) -> Column:
 def has_host_suffix(c: Column | str, suffix: str) -> Column:
     return F.coalesce(F.try_parse_url(_col(c), F.lit("HOST")).endswith(suffix), F.lit(False))
 
-
-BINARY = BinaryType()

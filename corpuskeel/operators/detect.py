@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.bounds import exact_one_sided
 from .checks import ContractViolation, require_none
-from .skew import hashed_rank
 
 
 def score_violations(scores: DataFrame) -> DataFrame:
@@ -259,6 +258,3 @@ def scored_candidates(candidates: DataFrame, score, columns: Sequence[str]) -> D
     sound = value.isNotNull() & ~F.isnan(value) & value.between(-1.0, 1.0) & F.col("_r.veto").isNotNull()
     checked = F.when(sound, value).otherwise(F.raise_error(F.lit("score callback out of range")).cast("double"))
     return scored.withColumn("score", checked).withColumn("veto", F.col("_r.veto")).drop("_r")
-
-
-__all__ = [name for name in dir() if not name.startswith("_") and name not in ("annotations", "hashed_rank")]

@@ -80,9 +80,6 @@ def gr3(spark, folder):
     return graph.connected_components(rows, graph.star_edges(graph.leakage_keys(rows, producers=False)))
 
 
-_ORDER_EDGES = "SELECT l_orderkey AS o, l_suppkey AS s FROM lineitem"
-
-
 @query(
     "gr3_supplier_components",
     """WITH RECURSIVE pairs AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),

@@ -127,5 +127,5 @@ def test_exact_bounds_closed_forms(spark):
     assert got[-1, 5] == (None, None) and got[2, 0] == (None, None)
 
 
-def test_unused_split_names_are_fixed():
+def test_split_names_and_their_order_are_fixed():
     assert K.SPLITS == ("development", "validation", "test")
