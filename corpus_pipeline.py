@@ -45,9 +45,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    known = copies.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(known, "doc_id")
+    copies = mixing.mix(docs).filter("copies > 0").groupBy("place").agg(F.max("copies").alias("copies"))
+    taken = docs.withColumn("place", mixing.seeded_place(mixing.SEED, "doc_id", "text")).join(copies, "place")
     return taken.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
 
 

@@ -30,6 +30,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def seeded_place(seed: str, key: str, text: str) -> Column:
+    """Place of a document in the seeded order: a digest of the seed, its key and its text."""
+    content = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
+    return F.sha2(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), content), 256)
+
+
 def ranked_sources(sizes: DataFrame, weights: Sequence[int]) -> DataFrame:
     """Add `weight`: the weights repeat along the sources in code-point order, null last.
 
@@ -82,7 +88,7 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """(`key`, size, source_size, target, copies, taken): how often the mix takes every document.
+    """(`key`, size, source_size, target, copies, taken, place): how often the mix takes every document.
 
     A source whose target is r times its size takes each document floor(r) times and, for the rest,
     once more the documents that come first in a seeded order until the target is reached; the last
@@ -94,9 +100,8 @@ def mix(
     documents that agree in key and text are ordered by nothing else and may stand for each other.
     A source of size 0 has target 0. Further columns are ignored; an empty table gives an empty one.
     """
-    order = F.sha2(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)), 256)
     rows = narrow(documents, [key, text, source]).select(
-        F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), order.alias("place")
+        F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), seeded_place(seed, key, text).alias("place")
     )
     rows = cut(rows, "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
@@ -136,7 +141,7 @@ def mix(
     ended = ended.withColumn("_more", (F.col("_at") + F.col("size") / 2 <= F.col("_rest")).cast("long")).drop("_at")
     copies = F.col("_whole") + F.col("_more")
     return settled.unionByName(ended).select(
-        F.col("id").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        F.col("id").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "place"
     )
 
 
@@ -160,4 +165,4 @@ SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c"
 
 @query("op4_mix", SQL_MIX)
 def op4(spark, folder):
-    return mix(table(spark, folder, "documents"))
+    return mix(table(spark, folder, "documents")).drop("place")

@@ -35,6 +35,7 @@ TRAIN_WORDS = 320
 CALIBRATION_DOCS = 300
 CALIBRATION_WORDS = 20_000
 EPOCHS, BATCH, RATE = 5, 256, 0.01
+LEAST_STEPS = 300  # small samples are gone through more often
 FOLDS = 5
 
 _STRIP = ".,;:!?\"'()[]{}|*#$%&<>"
@@ -245,9 +246,10 @@ def train(texts: Sequence[str], toxic: np.ndarray, seed: int = 5) -> dict[str, n
     y = toxic[owner].astype(np.float32)
     moment, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     gram_count = np.diff(np.append(starts, len(grams)))
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(y) // BATCH)))
+    for epoch in range(epochs):
         chosen = np.arange(len(y))
-        if epoch >= 2:
+        if 3 * epoch > epochs:
             # Of a toxic document only the worst window is surely toxic.
             x = np.vstack([np.zeros((1, 2 * WIDTH), np.float32), inputs(p, own, grams, starts)])
             whole = gates(p, x)
