@@ -182,7 +182,8 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     star = cut(members.filter("id <> leader").select("id", "leader").distinct(), "stars")
     needed = star.select("id").unionByName(star.select(F.col("leader").alias("id"))).distinct()
     plain = narrow(documents, [key, text]).toDF("id", "text")
-    texts = cut(plain.join(needed, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    # The ids grow with the corpus, so they are never broadcast, at no size.
+    texts = cut(plain.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
 
     sizes = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_slices"))
     placed = star.join(sizes, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.col("_slices")).alias("slice"))
