@@ -13,7 +13,6 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import join_per_key
 from ..session import cut
 from .common import WORD, narrow, query, table
 
@@ -23,7 +22,7 @@ SEED = "mix-1"
 
 # Documents of a source that share a slot of the seeded order, on average; only the slot in which the
 # fractional repetition ends is ordered document by document.
-SLOT_ROWS = 4096
+SLOT_ROWS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -104,7 +103,7 @@ def mix(
         F.col(f"`{key}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), seeded_place(seed, key, text).alias("place")
     )
     rows = cut(rows, "mix-rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("size"))
     sources = cut(ranked_sources(sizes, weights), "mix-sources")
     level = water_level(sources, epochs) or Fraction(0)
     cap = (F.col("size") * epochs).cast("decimal(38,0)")
@@ -113,7 +112,7 @@ def mix(
     target = F.when(under, share.cast("double") / F.lit(float(level.denominator))).otherwise(cap.cast("double"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     hexdigits = max(1, min(5, math.ceil(math.log(max(rows.count(), 1) / SLOT_ROWS + 1, 16))))
-    plan = sources.select(F.coalesce(F.col("source"), F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), F.col("size").alias("source_size"), target.alias("target"), "n")
+    plan = sources.select(F.coalesce(F.col("source"), F.lit("")).alias("_s"), F.col("source").isNull().alias("_null"), F.col("size").alias("source_size"), target.alias("target"))
     plan = plan.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
 
     slot = rows.select(
@@ -125,19 +124,15 @@ def mix(
     filled = slot.groupBy(*keys, "_slot").agg(F.sum("size").alias("_in"))
     run = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # 16**5 rows at most
     spans = filled.withColumn("_before", F.coalesce(F.sum("_in").over(run), F.lit(0)))
-    # The slot in which the fractional repetition of a source ends: the one row per source that matters.
-    last = (
-        spans.join(plan, keys)
-        .filter((F.col("_rest") > 0) & (F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_in")))
-        .select(*keys, F.col("_slot").alias("_end"), F.col("_before").alias("_filled"))
-    )
-    plan = plan.join(last, keys, "left")
-    placed = join_per_key(slot, plan, keys, "n")
-    early = F.col("_slot") < F.col("_end")
-    ending = F.col("_slot") == F.col("_end")
-    settled = placed.filter(F.coalesce(~ending, F.lit(True))).withColumn("_more", F.coalesce(early, F.lit(False)).cast("long"))
-    within = Window.partitionBy(*keys).orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ended = placed.filter(ending).withColumn("_at", F.col("_filled") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    # A slot lies before, behind or across the end of its source's fractional repetition. Documents meet
+    # their slot, not their source, so a source of any size is spread over its slots.
+    ending = (F.col("_rest") > 0) & (F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_in"))
+    early = (F.col("_rest") > 0) & (F.col("_before") + F.col("_in") <= F.col("_rest"))
+    verdicts = spans.join(plan, keys).withColumn("_ending", ending).withColumn("_more", early.cast("long"))
+    placed = slot.join(verdicts, [*keys, "_slot"])
+    settled = placed.filter("NOT _ending")
+    within = Window.partitionBy(*keys, "_slot").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ended = placed.filter("_ending").withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     ended = ended.withColumn("_more", (F.col("_at") + F.col("size") / 2 <= F.col("_rest")).cast("long")).drop("_at")
     copies = F.col("_whole") + F.col("_more")
     return settled.unionByName(ended).select(
