@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, narrow, query, table
 
 # Words kept by a worker before the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 NO_RANK = np.iinfo(np.int32).max
 
 # The splitting pattern of the public word tokenizer, and an equal one for texts of Latin letters,

@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 
 # Upper bound of the bytes that one Arrow batch brings to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
