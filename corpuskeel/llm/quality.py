@@ -112,6 +112,8 @@ def _n_repeat_words(t: Texts) -> np.ndarray:
     owner = np.repeat(np.arange(t.n), count)
     whole = owner[: n - WINDOW + 1] == owner[WINDOW - 1 :]
     at = np.flatnonzero(whole)
+    if not len(at):
+        return np.zeros(t.n, np.int64)
     window = owner[at] * n + code[at]
     order = np.argsort(window, kind="stable")
     ranked = window[order]
