@@ -7,14 +7,16 @@ an observed one without candidates is a valid non-match.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.bounds import exact_one_sided
-from .checks import ContractViolation, require_none
+from .checks import require_none
 
 
 def score_violations(scores: DataFrame) -> DataFrame:
@@ -129,31 +131,38 @@ def planned_counts(roster: DataFrame) -> DataFrame:
 def best_thresholds(counts: DataFrame, planned: DataFrame) -> DataFrame:
     """Admissible threshold pair with the largest macro rate, then larger indices; empty if none.
 
-    Admissible: 100 * matches <= planned in every negative cell. Rates are compared exactly, as
-    integers over the product of the planned counts (decimal(38,0)).
+    Admissible: 100 * matches <= planned in every negative cell. Rates are compared exactly: a pair's
+    sum over the domains is an integer of any length over the least common multiple of the planned
+    counts, written with leading zeros. Only the 10,201 pairs, one entry per domain each, meet that step.
     """
     sizes = [int(r["planned"]) for r in planned.collect()]  # one row per domain
-    product = 1
-    for n in sizes:
-        product *= n
-    if product * len(sizes) >= 10**38:
-        raise ContractViolation("planned counts too large for the exact comparison")
-    joined = counts.join(F.broadcast(planned), "domain")
-    weight = F.lit(product).cast("decimal(38,0)")
-    share = F.when(
-        F.col("condition") == K.POSITIVE_CONDITION,
-        F.col("n_matches").cast("decimal(18,0)") * F.expr(f"cast(cast({product} as decimal(38,0)) div planned as decimal(38,0))"),
-    )
-    excess = (F.col("condition") != K.POSITIVE_CONDITION) & (100 * F.col("n_matches") > F.col("planned"))
+    common = math.lcm(*sizes) if sizes else 1
+    whole = common * max(len(sizes), 1)
+    digits = len(str(whole))
+
+    @F.pandas_udf("string")
+    def total(terms: pd.Series) -> pd.Series:
+        return pd.Series([str(sum(int(t["n"]) * (common // int(t["planned"])) for t in x)).zfill(digits) for x in terms], dtype=object)
+
+    @F.pandas_udf("double")
+    def rate(keys: pd.Series) -> pd.Series:
+        return pd.Series([int(k) / whole for k in keys], dtype="float64")
+
+    joined = counts.join(planned, "domain")
+    positive = F.col("condition") == K.POSITIVE_CONDITION
+    excess = ~positive & (100 * F.col("n_matches") > F.col("planned"))
     pairs = (
         joined.groupBy("js", "ji")
-        .agg(F.sum(share.cast("decimal(38,0)")).alias("_key"), F.bool_or(excess).alias("_excess"))
+        .agg(
+            F.collect_list(F.when(positive, F.struct(F.col("n_matches").alias("n"), "planned"))).alias("_terms"),
+            F.bool_or(excess).alias("_excess"),
+        )
         .filter(~F.col("_excess"))
+        .select("js", "ji", total("_terms").alias("_key"))
     )
     best = pairs.agg(F.max(F.struct("_key", "js", "ji")).alias("_b")).filter(F.col("_b").isNotNull())
     grid = lambda c: (F.col(c) - K.GRID_CENTRE) / F.lit(float(K.GRID_CENTRE))
-    macro = F.col("_b._key").cast("double") / weight.cast("double") / F.lit(float(len(sizes)))
-    return best.select("_b.js", "_b.ji", macro.alias("macro_rate")).select(
+    return best.select("_b.js", "_b.ji", rate("_b._key").alias("macro_rate")).select(
         F.col("js").cast("long").alias("js"), F.col("ji").cast("long").alias("ji"), grid("js").alias("tau_s"), grid("ji").alias("tau_i"), "macro_rate"
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .skew import join_per_key, range_lag, range_rank
 
 DIRECT_KINDS = ("direct-evidence", "author-interpretation")
@@ -61,13 +62,13 @@ def claim_links(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def claim_support(
-    claims: DataFrame, cited: DataFrame, used: DataFrame, evidence: DataFrame, papers: DataFrame, runs: DataFrame, run_gap: bool
+    claims: DataFrame, cited: DataFrame, used: DataFrame, evidence: DataFrame, papers: DataFrame, runs: DataFrame, expected: DataFrame
 ) -> DataFrame:
     """Counted findings per claim: supporting, contradicting, unresolved.
 
-    `cited` (claim_id, evidence_id) and `used` (claim_id, run_id) are the links of the claims. `run_gap`
-    says that an expected run is missing or failed outside the claim, which leaves every claim that
-    relies on runs unresolved.
+    `cited` (claim_id, evidence_id) and `used` (claim_id, run_id) are the links of the claims. `expected`
+    (run_id) are the runs that have to be there. A run that is missing or not completed is a gap; a
+    claim that relies on runs is left unresolved by a gap among the runs that are not its own.
     """
     sources = papers.select(F.col("paper_id").alias("source_id"), "verification")
     seen = evidence.select("evidence_id", "source_id", "stance", "kind", F.lit(True).alias("_e"))
@@ -88,18 +89,24 @@ def claim_support(
         "claim_id", F.when(F.coalesce(F.col("_status") == "completed", F.lit(False)), "supporting").otherwise("unresolved").alias("effect")
     )
     effects = from_evidence.unionByName(from_runs)
-    if run_gap:
-        gaps = used.select("claim_id").distinct().withColumn("effect", F.lit("unresolved"))
-        effects = effects.unionByName(gaps)
+    done = runs.filter(F.col("status") == "completed").select("run_id")
+    gaps = cut(expected.select("run_id").distinct().join(done, "run_id", "left_anti"), "run-gaps")
+    n_gaps = gaps.count()
+    if n_gaps:
+        own = used.distinct().join(gaps.withColumn("_gap", F.lit(1)), "run_id", "left").groupBy("claim_id").agg(F.count("_gap").alias("_own"))
+        effects = effects.unionByName(own.filter(F.col("_own") < n_gaps).select("claim_id", F.lit("unresolved").alias("effect")))
     counts = effects.groupBy("claim_id").agg(
         *[F.count_if(F.col("effect") == e).alias(f"n_{e}") for e in ("supporting", "contradicting", "unresolved")]
     )
     return claims.select("claim_id").join(counts, "claim_id", "left").na.fill(0)
 
 
-def classify_claims(support: DataFrame, source_errors: bool) -> DataFrame:
-    """Any contradiction wins; verified needs support, nothing unresolved and no source error."""
-    clean = (F.col("n_unresolved") == 0) & F.lit(not source_errors)
+def classify_claims(support: DataFrame, findings: DataFrame) -> DataFrame:
+    """Any contradiction wins; verified needs support, nothing unresolved and no source error.
+
+    `findings` come from `source_contract`; one of severity 'error' anywhere bars every claim.
+    """
+    clean = (F.col("n_unresolved") == 0) & F.lit(findings.filter(F.col("severity") == "error").isEmpty())
     return support.withColumn(
         "classification",
         F.when(F.col("n_contradicting") > 0, "conflicting")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def _with_minimum(edges: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, node: str = "id", hot_rows: int = HOT_ROWS, max_rounds: int = 60
+    nodes: DataFrame, edges: DataFrame, node: str = "id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """(`node`, component) where component is the smallest node id of the component.
 
@@ -87,7 +88,7 @@ def connected_components(
     current = cut(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "edges")
     # Contraction never adds edges, so this count bounds the degree of every node in every round.
     hot = hot_rows if 2 * current.count() > hot_rows else 0
-    for _ in range(max_rounds):
+    while True:
         both = current.unionByName(current.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         large = (
             _with_minimum(both, hot)
@@ -109,8 +110,6 @@ def connected_components(
         current = following
         if _is_star(current):
             break
-    else:
-        raise ContractViolation("components did not settle")
     return nodes.select(node).join(current.select(F.col("src").alias(node), "dst"), node, "left").select(
         node, F.coalesce("dst", node).alias("component")
     )
@@ -174,7 +173,7 @@ def holdout_closure(groups: DataFrame, holdout: DataFrame) -> DataFrame:
     return groups.join(touched, "group_id", "left_semi").select("id", "group_id")
 
 
-def task_levels(tasks: DataFrame, edges: DataFrame, preferred: str, max_levels: int = 10_000) -> DataFrame:
+def task_levels(tasks: DataFrame, edges: DataFrame, preferred: str) -> DataFrame:
     """(id, preferred, level): tasks whose parents are all placed form the next level.
 
     `edges` hold (id, parent). A round drops the edges from placed parents; tasks that thereby lose
@@ -186,7 +185,7 @@ def task_levels(tasks: DataFrame, edges: DataFrame, preferred: str, max_levels:
     require_none(open_edges.join(tasks.select(F.col("id").alias("parent")), "parent", "left_anti"), "unknown parent task")
     ready = cut(tasks.select("id").join(open_edges, "id", "left_anti"), "ready")
     placed = ready.withColumn("level", F.lit(0).cast("long"))
-    for level in range(1, max_levels):
+    for level in count(1):
         following = cut(open_edges.join(ready.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "parent"), "task-edges")
         ready = cut(open_edges.select("id").distinct().join(following, "id", "left_anti"), "ready")
         drop_cut(spark, open_edges)

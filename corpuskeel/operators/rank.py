@@ -169,7 +169,7 @@ def shortest_prefix(parts: DataFrame, rows: DataFrame, part: str, group: str, ta
     )
 
 
-def propose_sources(members: DataFrame, target: int, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def propose_sources(members: DataFrame, target: int) -> tuple[DataFrame, DataFrame]:
     """One pick per ranked group; a digest belongs to the first group that wants it.
 
     `members` holds group, group_sha256, id, member_sha256, digest. Serially, each group in rank
@@ -190,7 +190,7 @@ def propose_sources(members: DataFrame, target: int, max_rounds: int = 200) -> t
         "proposals",
     )
     rank = F.struct("group_sha256", "group")
-    for _ in range(max_rounds):
+    while True:
         wanted = (
             proposals.withColumn("digest", F.col("option.digest"))
             .groupBy("digest")
@@ -214,8 +214,6 @@ def propose_sources(members: DataFrame, target: int, max_rounds: int = 200) -> t
         following = cut(proposals.join(losers.select("group"), "group", "left_anti").unionByName(onward), "proposals")
         drop_cut(spark, proposals)
         proposals = following
-    else:
-        raise ContractViolation("proposals did not settle")
     chosen = (
         hashed_rank(proposals.select("group", "group_sha256", "option"), "group_sha256", ["group"], (), "pick")
         .filter(F.col("pick") <= target)

@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 # frequent, which bounds the broadcast: 10^12 rows allow 500,000 of them.
 HOT_ROWS = 2_000_000
 
-# Largest group whose member list is joined in one string; larger ones go through the digest tree.
-LIST_LIMIT = 10_000
-
 
 def hashed_rank(
     df: DataFrame,
@@ -159,29 +156,14 @@ def digest_tree(df: DataFrame, group: Sequence[str], digest: str) -> DataFrame:
     return level.select(*group, F.col("_d").alias("tree_sha256"), F.col("_n").alias("n_members"))
 
 
-def member_digest(
-    members: DataFrame, group: str, member: str, tag: str, list_limit: int = LIST_LIMIT
-) -> DataFrame:
+def member_digest(members: DataFrame, group: str, member: str, tag: str) -> DataFrame:
     """One row per group: `group`, `group_id`, `n_members`.
 
-    `group_id` is the tagged SHA-256 of the sorted members joined by newlines. A group of more than
-    `list_limit` members cannot be held as one string; its id is the tagged digest of the digest
-    tree of its members, equally free of order and partitioning.
+    `group_id` is the tagged digest of the digest tree over the members. The rule is the same for groups
+    of any size; it depends on the set of members only, not on their order or partitioning.
     """
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n_members"))
-    sized = join_per_key(members.select(group, member), sizes, [group], "n_members")
-    small = (
-        sized.filter(F.col("n_members") <= list_limit)
-        .groupBy(group)
-        .agg(F.array_sort(F.collect_list(member)).alias("_m"), F.first("n_members").alias("n_members"))
-        .select(group, _tagged(tag, F.array_join("_m", "\n")).alias("group_id"), "n_members")
-    )
-    large = digest_tree(
-        sized.filter(F.col("n_members") > list_limit).select(group, F.sha2(F.col(member), 256).alias("_h")),
-        [group],
-        "_h",
-    ).select(group, _tagged(tag, F.col("tree_sha256")).alias("group_id"), "n_members")
-    return small.unionByName(large)
+    hashed = members.select(group, F.sha2(F.col(member).cast("string"), 256).alias("_h"))
+    return digest_tree(hashed, [group], "_h").select(group, _tagged(tag, F.col("tree_sha256")).alias("group_id"), "n_members")
 
 
 def exact_quantiles(

@@ -61,14 +61,16 @@ _SUPPORT = f"""{SQL_EVIDENCE}, effects AS (
     WHEN stance = 'supporting' AND kind IN ('direct-evidence', 'author-interpretation') THEN 's' ELSE 'u' END AS effect
   FROM (SELECT DISTINCT * FROM evid) e LEFT JOIN papers p ON p.paper_id = e.source_id
   UNION ALL SELECT CAST(o_orderkey AS VARCHAR), CASE WHEN r.status = 'completed' THEN 's' ELSE 'u' END
-  FROM orders LEFT JOIN runs r ON r.run_id = CAST(o_custkey AS VARCHAR) WHERE o_orderstatus = 'F'),
+  FROM orders LEFT JOIN runs r ON r.run_id = CAST(o_custkey AS VARCHAR) WHERE o_orderstatus = 'F'
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'u' FROM orders WHERE o_orderstatus = 'F' AND EXISTS (
+    SELECT 1 FROM runs g WHERE g.status <> 'completed' AND g.run_id <> CAST(o_custkey AS VARCHAR))),
 support AS (SELECT CAST(o_orderkey AS VARCHAR) AS claim_id, count(*) FILTER (effect = 's') AS n_supporting, count(*) FILTER (effect = 'c') AS n_contradicting,
   count(*) FILTER (effect = 'u') AS n_unresolved FROM orders LEFT JOIN effects ON claim_id = CAST(o_orderkey AS VARCHAR) GROUP BY 1)"""
 
 
 def _support(spark, folder):
     return E.claim_support(
-        *claims(spark, folder), ledger(spark, folder).distinct(), papers(spark, folder), runs(spark, folder), run_gap=False
+        *claims(spark, folder), ledger(spark, folder).distinct(), papers(spark, folder), runs(spark, folder), runs(spark, folder)
     )
 
 
@@ -77,22 +79,25 @@ def jn13(spark, folder):
     return _support(spark, folder)
 
 
+_FINDINGS = """j AS (SELECT e.*, p.verification FROM evid e LEFT JOIN papers p ON p.paper_id = e.source_id),
+findings AS (SELECT 'error' AS severity, evidence_id AS subject, 'missing_source' AS code FROM j WHERE verification IS NULL
+       UNION ALL SELECT 'error', evidence_id, 'direct_without_verified_locator' FROM j WHERE kind = 'direct-evidence' AND verification IS NOT NULL AND (verification <> 'verified' OR locator IS NULL)
+       UNION ALL SELECT 'error', evidence_id, 'unmarked_assumption' FROM j WHERE kind = 'agent-inference' AND NOT assumed
+       UNION ALL SELECT 'warning', paper_id, 'source_' || verification FROM papers WHERE verification <> 'verified')"""
+
+
 @query(
     "ag19_classification",
-    f"""WITH {_SUPPORT} SELECT *, CASE WHEN n_contradicting > 0 THEN 'conflicting' WHEN n_supporting > 0 AND n_unresolved = 0 THEN 'verified'
+    f"""WITH {_SUPPORT}, {_FINDINGS} SELECT *, CASE WHEN n_contradicting > 0 THEN 'conflicting' WHEN n_supporting > 0 AND n_unresolved = 0 AND NOT EXISTS (SELECT 1 FROM findings WHERE severity = 'error') THEN 'verified'
        WHEN n_supporting > 0 THEN 'partially supported' WHEN n_unresolved > 0 THEN 'unverifiable' ELSE 'unsupported' END AS classification FROM support""",
 )
 def ag19(spark, folder):
-    return E.classify_claims(_support(spark, folder), source_errors=False)
+    return E.classify_claims(_support(spark, folder), E.source_contract(papers(spark, folder), ledger(spark, folder)))
 
 
 @query(
     "jn14_source_contract",
-    f"""WITH {SQL_EVIDENCE}, j AS (SELECT e.*, p.verification FROM evid e LEFT JOIN papers p ON p.paper_id = e.source_id)
-       SELECT 'error' AS severity, evidence_id AS subject, 'missing_source' AS code FROM j WHERE verification IS NULL
-       UNION ALL SELECT 'error', evidence_id, 'direct_without_verified_locator' FROM j WHERE kind = 'direct-evidence' AND verification IS NOT NULL AND (verification <> 'verified' OR locator IS NULL)
-       UNION ALL SELECT 'error', evidence_id, 'unmarked_assumption' FROM j WHERE kind = 'agent-inference' AND NOT assumed
-       UNION ALL SELECT 'warning', paper_id, 'source_' || verification FROM papers WHERE verification <> 'verified'""",
+    f"""WITH {SQL_EVIDENCE}, {_FINDINGS} SELECT * FROM findings""",
 )
 def jn14(spark, folder):
     return E.source_contract(papers(spark, folder), ledger(spark, folder))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -37,9 +39,18 @@ reach AS (SELECT id AS src, id AS dst FROM nodes UNION SELECT r.src, b.dst FROM
 comp AS (SELECT src AS id, min(dst) AS component FROM reach GROUP BY 1)"""
 
 
+_TREE = """unique_rows AS (SELECT g, d, count(*) AS n FROM hashed GROUP BY 1, 2),
+l0 AS (SELECT g, substr(d, 1, 4) AS p, d || ':' || n AS d, n FROM unique_rows),
+l1 AS (SELECT g, substr(p, 1, 4) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l0 GROUP BY 1, 2),
+l2 AS (SELECT g, substr(p, 1, 2) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l1 GROUP BY 1, 2),
+l3 AS (SELECT g, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l2 GROUP BY 1)"""
+
+
 def _named_sql(tag: str) -> str:
-    body = sql_text_digest(tag, r"string_agg(id, chr(10) ORDER BY id)")
-    return f"named AS (SELECT component, {body} AS group_id, count(*) AS n_members FROM comp GROUP BY 1)"
+    """Ids of the components in `comp`: the tagged digest of the digest tree over their members."""
+    tree = re.sub(r"\b(hashed|unique_rows|l[0-3])\b", r"id_\1", _TREE)
+    return f"""id_hashed AS (SELECT component AS g, sha256(id) AS d FROM comp), {tree},
+named AS (SELECT g AS component, {sql_text_digest(tag, 'd')} AS group_id, CAST(n AS BIGINT) AS n_members FROM id_l3)"""
 
 
 def frame_nodes(spark, folder):
@@ -179,20 +190,13 @@ def gr7(spark, folder):
 
 @query(
     "ag4_group_ids",
-    f"""WITH m AS (SELECT prompt_group, id FROM nodes_view), g AS (SELECT prompt_group, {sql_text_digest(K.TAG_BYTE_TEXT_COMPONENT, 'string_agg(id, chr(10) ORDER BY id)')} AS group_id,
-         count(*) AS n_members FROM m GROUP BY 1) SELECT * FROM g""".replace("WITH m AS", f"WITH {SQL_NODES}, m AS").replace("nodes_view", "nodes"),
+    f"""WITH {SQL_NODES}, hashed AS (SELECT prompt_group AS g, sha256(id) AS d FROM nodes), {_TREE}
+       SELECT g AS prompt_group, {sql_text_digest(K.TAG_BYTE_TEXT_COMPONENT, 'd')} AS group_id, CAST(n AS BIGINT) AS n_members FROM l3""",
 )
 def ag4(spark, folder):
     return member_digest(nodes(spark, folder), "prompt_group", "id", K.TAG_BYTE_TEXT_COMPONENT)
 
 
-_TREE = """unique_rows AS (SELECT g, d, count(*) AS n FROM hashed GROUP BY 1, 2),
-l0 AS (SELECT g, substr(d, 1, 4) AS p, d || ':' || n AS d, n FROM unique_rows),
-l1 AS (SELECT g, substr(p, 1, 4) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l0 GROUP BY 1, 2),
-l2 AS (SELECT g, substr(p, 1, 2) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l1 GROUP BY 1, 2),
-l3 AS (SELECT g, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l2 GROUP BY 1)"""
-
-
 @query(
     "ag4_digest_tree",
     f"WITH hashed AS (SELECT l_returnflag AS g, sha256(l_orderkey || ':' || l_linenumber) AS d FROM lineitem), {_TREE} SELECT g, d AS tree_sha256, CAST(n AS BIGINT) AS n_members FROM l3",

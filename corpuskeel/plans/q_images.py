@@ -1,21 +1,16 @@
-"""Queries: bulk image jobs (IM, AG14). The pixel table is the bytes of every whole document."""
+"""Queries: pixel tables (IM1, IM4, AG14). The pixel table is the bytes of every whole document."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import keys as X
-from ..functions.codes import code_bytes
 from ..operators import detect
 from ..operators import images as I
-from ..session import cut
 from .registry import query, spread_table
 from .views import sql_digest, sql_uint
 
 WIDTH = 64
-CONFIG = bytes(range(32))
-OWNER = "owner-a"
 _HEIGHT = f"greatest(32, CAST(ceil(octet_length(encode(text)) / {3 * WIDTH}.0) AS INTEGER))"
 SQL_PIXELS = f"""pixels AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_HEIGHT} AS height,
   encode(text) || repeat('\\x00'::BLOB, {3 * WIDTH} * {_HEIGHT} - octet_length(encode(text))) AS rgb FROM documents)"""
@@ -30,16 +25,6 @@ def im1(spark, folder):
     return pixels(spark, folder).select("id", I.pixel_digest().alias("pixel_sha256"))
 
 
-@query("im2_leakage_fingerprints")
-def im2(spark, folder):
-    return I.leakage_fingerprints(pixels(spark, folder))
-
-
-@query("im3_perceptual_codes")
-def im3(spark, folder):
-    return I.perceptual_codes(pixels(spark, folder)).withColumn("median", F.round("median", 6)).withColumn("margin", F.round("margin", 6))
-
-
 # Pixels as rows, luminance, and the orthonormal 8x8 cosine sums of the eight frequencies. Blocks at
 # the lower edge repeat the last line of pixels.
 _FREQUENCIES = [("semantic", i, u, v) for i, (u, v) in enumerate(K.SEMANTIC_FREQUENCIES)] + [
@@ -73,46 +58,3 @@ def ag14(spark, folder):
     sign = F.when(F.ascii(F.md5(F.concat_ws(":", "block", "frequency"))) % 2 == 0, 1).otherwise(-1)
     blocks = I.block_coefficients(pixels(spark, folder)).withColumn("sign", sign)
     return detect.centred_cosine(blocks, ["id", "component"], "frequency", "value", "sign").withColumn("score", F.round("score", 5))
-
-
-def _coded(spark, folder):
-    """Pixel rows with their suspect codes: q from the text digest, h from the pixels."""
-    table_ = pixels(spark, folder)
-    codes = I.perceptual_codes(table_).select("id", F.col("code").alias("h"))
-    q = F.conv(F.substring(F.sha2("rgb", 256), 1, 3), 16, 10).cast("long")
-    return table_.withColumn("q", q).join(codes, "id")
-
-
-@query("im5_candidate_scores")
-def im5(spark, folder):
-    """All 442 candidates of every document image, decided on a common q."""
-    coded = cut(_coded(spark, folder), "coded")
-    scored = I.score_candidates(coded.withColumn("owner", X.canonical_owner(F.lit(OWNER))), CONFIG)
-    live = F.when(~F.col("zero_variance"), F.col("score"))
-    rows = scored.select(
-        "id", "q", F.when(F.col("component") == "semantic", live).alias("s"), F.when(F.col("component") == "instance", live).alias("i"), "q_order"
-    )
-    return detect.joint_decision(rows.withColumn("uid", F.col("id")), ["id"], 0.2, 0.2, ordinal="q_order")
-
-
-@query("im6_marked_images")
-def im6(spark, folder):
-    """Mark every image with the signatures of its codes and measure the marks again."""
-    coded = cut(_coded(spark, folder), "coded")
-    q2, h4 = code_bytes("q", 2), code_bytes("h", 4)
-    owner = F.lit(OWNER)
-    keyed = coded.withColumn("ws_hex", X.semantic_signature(q2, owner)).withColumn("wi_hex", X.instance_signature(q2, h4, owner))
-    marked = cut(I.mark_images(keyed, CONFIG, 0.08, 0.08), "marked")
-    sides = keyed.select("id", "width", "height", F.explode(F.array(
-        F.struct(F.lit("semantic").alias("component"), F.col("ws_hex").alias("key_hex")),
-        F.struct(F.lit("instance").alias("component"), F.col("wi_hex").alias("key_hex")),
-    )).alias("k")).select("id", "width", "height", "k.*")
-    observed = I.block_coefficients(marked).join(I.template_signs(sides, CONFIG), ["id", "component", "block", "frequency"])
-    return detect.centred_cosine(observed, ["id", "component"], "frequency", "value", "sign").withColumn("score", F.round("score", 5))
-
-
-@query("im7_noise")
-def im7(spark, folder):
-    table_ = pixels(spark, folder).withColumn("id", F.concat(F.lit("doc:"), "id"))
-    noisy = I.add_noise(table_, X.uid_seed("id"))
-    return noisy.select("id", I.pixel_digest().alias("pixel_sha256"))

@@ -76,9 +76,7 @@ def jn4(spark, folder):
        LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
 )
 def jn5(spark, folder):
-    nations = table(spark, folder, "nation").join(
-        F.broadcast(table(spark, folder, "region").limit(1000)), F.col("n_regionkey") == F.col("r_regionkey")
-    )
+    nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     dimension = nations.select(F.col("n_nationkey").alias("nationkey"), "n_name", "r_name")
     customers = table(spark, folder, "customer").select(F.col("c_nationkey").alias("nationkey"))
     return reconcile.dimension_lookup(customers, dimension, ["nationkey"]).groupBy("r_name", "n_name").agg(

@@ -238,19 +238,6 @@ def sf15(spark, folder):
     )
 
 
-@query("sf16_payloads")
-def sf16(spark, folder):
-    documents = table(spark, folder, "documents")
-    base = documents.select(
-        "doc_id", C.payload_for(_ZERO_SEED, "source", "lang", F.col("doc_id").cast("string")).alias("payload"), "n_chars"
-    ).withColumn("wrong", C.wrong_payload("payload"))
-    decoded = F.when(F.col("n_chars") % 3 == 0, F.col("payload")).when(F.col("n_chars") % 3 == 1, F.col("wrong")).otherwise("")
-    detected = F.col("n_chars") % 3 != 2
-    return base.withColumn(
-        "outcome", C.decode_class(decoded, detected, F.when(detected, 1).otherwise(-1), F.col("payload"))
-    ).select("doc_id", "payload", "wrong", "outcome")
-
-
 @query(
     "sf17_uid_round_trip",
     """SELECT lang || ':' || source || ':' || doc_id AS uid, lang AS domain, source AS release, CAST(doc_id AS VARCHAR) AS item FROM documents""",

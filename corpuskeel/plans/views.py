@@ -131,14 +131,24 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
     passed = F.col("n_chars") >= 64
     group = text_group("text")
     unknown = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    return documents.join(labels, "doc_id", "left").withColumn("prompt_group", group).select(
-        F.col("doc_id").cast("string").alias("id"),
+    # Digests first: the text stays at the scan, only narrow rows meet the labels.
+    digests = documents.withColumn("prompt_group", group).select(
+        "doc_id",
         F.sha2("text", 256).alias("raw_sha256"),
-        F.when(passed, K.STATUS_PASS).otherwise(K.STATUS_REJECT).alias("status"),
         F.when(passed, F.sha2(F.trim("text"), 256)).alias("canonical_pixel_sha256"),
         "prompt_group",
+        F.concat_ws(":", "source", "n_chars").alias("_producer"),
+        "lang",
+        "n_chars",
+    )
+    return digests.join(labels, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("id"),
+        "raw_sha256",
+        F.when(passed, K.STATUS_PASS).otherwise(K.STATUS_REJECT).alias("status"),
+        "canonical_pixel_sha256",
+        "prompt_group",
         tagged_digest(K.TAG_TEXT_SEED, F.unhex("prompt_group"), uint_be("n_chars", 4)).alias("prompt_seed_group"),
-        F.when(~unknown, text_digest(K.TAG_PRODUCER, F.concat_ws(":", "source", "n_chars"))).alias("producer_group"),
+        F.when(~unknown, text_digest(K.TAG_PRODUCER, F.col("_producer"))).alias("producer_group"),
         F.when(unknown, K.STATUS_UNKNOWN_PRODUCER).otherwise(K.STATUS_KNOWN_PRODUCER).alias("producer_status"),
         F.col("lang").alias("domain"),
         "n_chars",

@@ -153,8 +153,9 @@ def test_claim_classes_and_previous_holder(spark):
         "claim_id string, evidence_ids array<string>, run_ids array<string>",
     )
     runs = spark.createDataFrame([("r1", "completed"), ("r2", "failed")], "run_id string, status string")
-    support = evidence.claim_support(claims, *evidence.claim_links(claims), ledger, papers, runs, run_gap=False)
-    got = {r.claim_id: r.classification for r in evidence.classify_claims(support, source_errors=False).collect()}
+    support = evidence.claim_support(claims, *evidence.claim_links(claims), ledger, papers, runs, runs.filter("status = 'completed'"))
+    clean = spark.createDataFrame([("warning", "p", "source_unverified")], "severity string, subject string, code string")
+    got = {r.claim_id: r.classification for r in evidence.classify_claims(support, clean).collect()}
     assert got == {"c1": "verified", "c2": "conflicting", "c3": "partially supported", "c4": "unverifiable", "c5": "unsupported", "c6": "verified", "c7": "unverifiable"}
     held = spark.createDataFrame([("a", 1, "T"), ("b", 2, "T"), ("c", 3, "T"), ("d", 4, None)], "paper_id string, o int, title string")
     conflicts = {(r.paper_id, r.previous_id) for r in evidence.identity_conflicts(held, {"title": F.col("title")}, "o").collect()}

@@ -1,7 +1,6 @@
 """Sources, sinks and image jobs on files written here."""
 
 import hashlib
-import math
 import zipfile
 
 import numpy as np
@@ -9,8 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskeel import constants as K
-from corpuskeel.functions import keys as X
-from corpuskeel.operators import detect
 from corpuskeel.operators import images as I
 from corpuskeel.operators.checks import ContractViolation
 from corpuskeel.plans.pictures import png_bytes
@@ -40,77 +37,6 @@ def test_png_scan_gives_rgb_and_keeps_bad_files(spark, tmp_path):
     assert got == want
 
 
-def test_dhash_of_ramps_and_flat_resize(spark):
-    ramp = np.repeat(np.repeat((np.arange(9) * 20).astype(np.uint8)[None, :, None], 8, 0), 3, 2)
-    flat = np.full((50, 70, 3), 77, np.uint8)
-    got = {r.id: r for r in I.leakage_fingerprints(pixel_frame(spark, {"r": ramp, "m": ramp[:, ::-1].copy(), "f": flat})).collect()}
-    assert got["r"].dhash == "f" * 16 and got["m"].dhash == "0" * 16
-    assert got["f"].dhash == "0" * 16 and got["f"].colour_hex == "4d" * 192
-
-
-def test_perceptual_code_against_direct_cosine_sums(spark):
-    image = formula(37, 43)
-    frame = pixel_frame(spark, {"a": image, "b": formula(43, 37), "black": np.zeros((32, 32, 3), np.uint8)})
-    got = {r.id: r for r in I.perceptual_codes(frame).collect()}
-    assert (got["black"].code, got["black"].constant) == (0, True)
-    plane = (np.array(K.LUMA_WEIGHTS) * (image / 255).astype(np.float32).astype(float)).sum(axis=2)
-
-    def sample(y, x):
-        sy, sx = (y + 0.5) * 43 / 32 - 0.5, (x + 0.5) * 37 / 32 - 0.5
-        iy, ix = math.floor(sy), math.floor(sx)
-        at = lambda v, n: min(max(v, 0), n - 1)
-        p = lambda a, b: plane[at(a, 43), at(b, 37)]
-        dy, dx = sy - iy, sx - ix
-        return (1 - dy) * ((1 - dx) * p(iy, ix) + dx * p(iy, ix + 1)) + dy * ((1 - dx) * p(iy + 1, ix) + dx * p(iy + 1, ix + 1))
-
-    grid = [[sample(y, x) for x in range(32)] for y in range(32)]
-    norm = lambda k: math.sqrt((1 if k == 0 else 2) / 32)
-    pairs = sorted(((u, v) for u in range(8) for v in range(8) if u + v), key=lambda p: (sum(p), *p))
-    values = [
-        norm(u) * norm(v) * sum(grid[y][x] * math.cos(math.pi * (y + 0.5) * u / 32) * math.cos(math.pi * (x + 0.5) * v / 32) for y in range(32) for x in range(32))
-        for u, v in pairs
-    ]
-    median = sorted(values)[31]
-    assert got["a"].median == pytest.approx(median, abs=1e-12)
-    assert got["a"].code == sum(1 << b for b in range(32) if values[b] > median)
-
-
-def test_noise_vector(spark):
-    rows = [("coco:000000000001", 2, 1, bytearray((0, 128, 255, 64, 128, 192))), ("coco:000000000002", 2, 1, bytearray((0, 128, 255, 64, 128, 192)))]
-    df = spark.createDataFrame(rows, "id string, width int, height int, rgb binary")
-    got = {r.id[-1]: tuple(r.rgb) for r in I.add_noise(df, X.uid_seed("id")).collect()}
-    assert got == {"1": (2, 124, 255, 64, 126, 190), "2": (2, 131, 254, 63, 128, 189)}
-
-
-def test_marks_are_found_by_the_candidate_search(spark):
-    rng = np.random.default_rng(8)
-    frame = pixel_frame(spark, {"m": rng.integers(60, 190, (64, 72, 3)).astype(np.uint8)})
-    config, owner = bytes(range(32)), F.lit("Alice")
-    q, h = 0x0A3, 0x12345678
-    from corpuskeel.functions.codes import code_bytes
-
-    keyed = frame.withColumn("ws_hex", X.semantic_signature(code_bytes(F.lit(q), 2), owner)).withColumn(
-        "wi_hex", X.instance_signature(code_bytes(F.lit(q), 2), code_bytes(F.lit(h), 4), owner)
-    )
-    marked = I.mark_images(keyed, config, 0.2, 0.2)
-    assert bytes(I.mark_images(keyed, config, 0.0, 0.0).first().rgb) == bytes(frame.first().rgb)
-    suspects = frame.select("id", F.lit(q ^ 4).cast("long").alias("q"), F.lit(h ^ 1).cast("long").alias("h"))
-    keys = I.candidate_keys(suspects, "q", "h", owner)
-    assert {r.component: r["count"] for r in keys.groupBy("component").count().collect()} == {"semantic": 13, "instance": 429}
-    suspect = marked.join(suspects, "id").withColumn("owner", X.canonical_owner(owner))
-    scored = I.score_candidates(suspect, config).cache()
-    by_key = {(r.component, r.q, r.h): r.key_hex for r in keys.collect()}
-    assert len(by_key) == scored.count() == 442
-    row = scored.filter("component = 'instance' and q_order = 3 and h_order = 5").first()
-    assert by_key["instance", row.q, row.h] == I._signature(K.TAG_SIGNATURE_INSTANCE, row.q.to_bytes(2, "little"), row.h.to_bytes(4, "little"), b"Alice").hex()
-    best = {r.component: r for r in scored.filter(F.col("q") == q).orderBy("score").collect()}
-    assert best["semantic"].score > 0.6 and best["instance"].score > 0.6 and best["instance"].h == h
-    signs = I.template_signs(keyed.select("id", "width", "height", F.lit("semantic").alias("component"), F.col("ws_hex").alias("key_hex")), config)
-    long = I.block_coefficients(marked).filter("component = 'semantic'").join(signs, ["id", "component", "block", "frequency"])
-    again = detect.centred_cosine(long, ["id"], "frequency", "value", "sign").first()
-    assert again.score == pytest.approx(best["semantic"].score, abs=1e-9) and not again.zero_variance
-
-
 def test_archive_members_problems_and_staging(spark, tmp_path):
     for name, extra in (("a.zip", "../evil.txt"), ("b.zip", None)):
         with zipfile.ZipFile(tmp_path / name, "w") as z:

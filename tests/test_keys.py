@@ -91,9 +91,9 @@ def test_neighbourhood_distances_and_payloads(spark):
     row = one(spark, r=codes.radius_one(F.lit(5), 12), b=codes.code_bytes(F.lit(0x0A34), 2), d=codes.hex_distance(F.lit("f" * 64), F.lit("0" * 64)))
     assert row.r[0] == 5 and len(set(row.r)) == 13 and all(bin(v ^ 5).count("1") <= 1 for v in row.r)
     assert (bytes(row.b), row.d) == (bytes.fromhex("340a"), 256)
-    p = codes.payload_for(bytes(32), F.lit("d"), F.lit("v"), F.lit("i"))
-    row = one(spark, p=p, w=codes.wrong_payload(p), bad=codes.payload_for(bytes(32), F.lit(" d"), F.lit("v"), F.lit("i")))
-    assert len(row.p) == 61 and row.w[1:] == row.p[1:] and row.w[0] != row.p[0] and row.bad is None
+    p = F.lit("10" * 30 + "1")
+    row = one(spark, p=p, w=codes.wrong_payload(p))
+    assert row.w[1:] == row.p[1:] and row.w[0] != row.p[0]
     case = lambda d, ok, v: codes.decode_class(F.lit(d), F.lit(ok), F.lit(v), F.lit("1" * 61))
     row = one(spark, a=case("1" * 61, True, 1), b=case("0" * 61, True, 1), c=case("", False, -1), d=case("1", True, 1), e=case("", False, 3))
     assert tuple(row) == ("MATCH", "VALID_OTHER_PAYLOAD", "NO_VALID_BCH_5", "MALFORMED", "MALFORMED")

@@ -28,15 +28,15 @@ def test_join_per_key_hot_and_warm(spark, hot):
     assert sum(r.c for r in got) == 100 and all(r.c == r.n for r in got)
 
 
-def test_member_digest_small_is_the_joined_list_and_large_is_order_free(spark):
+def test_member_digest_is_one_rule_free_of_order(spark):
     rows = [("a", f"m{i}") for i in range(30)] + [("b", "x"), ("b", "y")]
     df = spark.createDataFrame(rows, "g string, m string")
-    small = {r.g: r.group_id for r in skew.member_digest(df, "g", "m", "tag").collect()}
-    want = hashlib.sha256(b"tag\0" + "\n".join(sorted(m for g, m in rows if g == "a")).encode()).hexdigest()
-    assert small["a"] == want
-    one = {r.g: r.group_id for r in skew.member_digest(df.repartition(5), "g", "m", "tag", list_limit=3).collect()}
-    two = {r.g: r.group_id for r in skew.member_digest(df.orderBy(F.desc("m")), "g", "m", "tag", list_limit=3).collect()}
-    assert one == two and one["b"] == small["b"] and one["a"] != small["a"]
+    one = {r.g: (r.group_id, r.n_members) for r in skew.member_digest(df.repartition(5), "g", "m", "tag").collect()}
+    two = {r.g: (r.group_id, r.n_members) for r in skew.member_digest(df.orderBy(F.desc("m")), "g", "m", "tag").collect()}
+    tree = {r.g: r.tree_sha256 for r in skew.digest_tree(df.select("g", F.sha2("m", 256).alias("h")), ["g"], "h").collect()}
+    assert one == two == {g: (hashlib.sha256(b"tag\0" + t.encode()).hexdigest(), n) for (g, t), n in zip(sorted(tree.items()), (30, 2))}
+    more = {r.g: r.group_id for r in skew.member_digest(df.unionByName(spark.createDataFrame([("b", "z")], "g string, m string")), "g", "m", "tag").collect()}
+    assert more["a"] == one["a"][0] and more["b"] != one["b"][0]
 
 
 @pytest.mark.parametrize("accuracy", [50, 10_000])
