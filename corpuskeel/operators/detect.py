@@ -119,7 +119,7 @@ def grid_counts(roster: DataFrame, observed: DataFrame, scores: DataFrame) -> Da
     filled = cells.join(deltas, ["domain", "condition", "js", "ji"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     summed = filled.withColumn("n", F.sum("n").over(along)).withColumn("n", F.sum("n").over(across))
     adverse = F.when(F.col("condition") != K.POSITIVE_CONDITION, F.coalesce("n_missing", F.lit(0))).otherwise(F.lit(0))
-    return summed.join(F.broadcast(absent), ["domain", "condition"], "left").select(
+    return summed.join(absent, ["domain", "condition"], "left").select(
         "domain", "condition", "js", "ji", (F.col("n") + adverse).alias("n_matches")
     )
 

@@ -146,7 +146,7 @@ def shortest_prefix(parts: DataFrame, rows: DataFrame, part: str, group: str, ta
     Status: ready, blocked_missing, blocked_incomplete or blocked_insufficient.
     """
     listed = parts.select(part, "part_rank")
-    candidates = rows.join(F.broadcast(listed), part)
+    candidates = rows.join(listed, part)
     firsts = candidates.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min("part_rank").alias("part_rank"))
     fresh = firsts.groupBy("part_rank").agg(F.count(F.lit(1)).alias("new_groups"))
     seen = candidates.groupBy(part).agg(F.count(F.lit(1)).alias("n_rows"))

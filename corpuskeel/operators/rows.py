@@ -16,10 +16,11 @@ MANIFEST_FIELDS = (
 )
 
 
-def eligibility(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+def eligibility(df: DataFrame, keep: Sequence[str], group: Column | None = None) -> DataFrame:
     """Reason per row with fixed precedence, and the text group of eligible rows.
 
-    A row without scores gets a reason of its own, then score or size, then empty text.
+    A row without scores gets a reason of its own, then score or size, then empty text. `group` is the text
+    group where an earlier step has computed it; otherwise it is that of `prompt`.
     """
     blocked = (
         (F.least("width", "height") < K.MIN_SIDE)
@@ -27,7 +28,7 @@ def eligibility(df: DataFrame, keep: Sequence[str]) -> DataFrame:
         | (F.col("prompt_nsfw") >= K.SCORE_CEILING)
     )
     # The text group is null exactly for empty texts, so the text is folded once.
-    grouped = df.withColumn("_g", text_group("prompt"))
+    grouped = df.withColumn("_g", text_group("prompt") if group is None else group)
     reason = (
         F.when(F.col("image_nsfw").isNull() | F.col("prompt_nsfw").isNull(), "no_score")
         .when(blocked, "score_or_size")
@@ -40,8 +41,8 @@ def eligibility(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def in_ranked_prefix(df: DataFrame, parts: DataFrame, part: str) -> DataFrame:
-    """Rows of the candidate parts; `parts` is the short ranked list."""
-    return df.join(F.broadcast(parts.select(part)), part, "left_semi")
+    """Rows of the candidate parts; adaptive execution broadcasts `parts` where its measured size allows."""
+    return df.join(parts.select(part), part, "left_semi")
 
 
 def allow_list_reason(value: Column, allowed: Sequence[str], side: Column, min_side: int) -> Column:

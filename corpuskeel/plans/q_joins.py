@@ -96,8 +96,8 @@ def jn5(spark, folder):
 def jn6(spark, folder):
     documents = table(spark, folder, "documents")
     digest = F.sha2("text", 256).alias("raw_sha256")
-    splits = documents.join(table(spark, folder, "labels"), "doc_id").select(
-        "doc_id", digest, F.when(F.col("toxic") == 1, "test").otherwise("development").alias("split")
+    splits = documents.select("doc_id", digest).join(table(spark, folder, "labels"), "doc_id").select(
+        "doc_id", "raw_sha256", F.when(F.col("toxic") == 1, "test").otherwise("development").alias("split")
     )
     return reconcile.admission_join(
         documents.filter("n_chars >= 64").select("doc_id", digest),
@@ -170,10 +170,14 @@ def _compared(spark, folder):
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     path = F.concat_ws("/", "source", "doc_id").alias("path")
     lock = documents.select(path, F.col("n_chars").alias("bytes"), F.sha2("text", 256).alias("sha256"))
-    kept = documents.join(labels, "doc_id").select(
-        path,
+    # Digests first: only narrow rows meet the labels.
+    digests = documents.select(
+        "doc_id", path, "n_chars", F.sha2("text", 256).alias("_as_is"), F.sha2(F.lower("text"), 256).alias("_lowered")
+    )
+    kept = digests.join(labels, "doc_id").select(
+        "path",
         (F.col("n_chars") + F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bytes"),
-        F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise(F.sha2(F.lower("text"), 256)).alias("sha256"),
+        F.when(F.col("quality") == 1, F.col("_as_is")).otherwise(F.col("_lowered")).alias("sha256"),
     )
     extra = table(spark, folder, "benchmark").select(
         F.concat_ws("/", F.lit("bench"), "item_id").alias("path"), F.char_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")

@@ -149,11 +149,10 @@ def wn7_shortfall(spark, folder):
        SELECT part_id, part_rank, new_groups, n_rows, total_groups, status, coalesce(status = 'ready' AND part_rank <= need, false) AS selected FROM s""",
 )
 def wn8(spark, folder):
-    from ..operators.rows import eligibility
+    from .q_rows import eligible_rows
 
-    meta = metadata(spark, folder)
-    rows = cut(eligibility(meta, ["doc_id", "part_id"]), "ledger")
-    parts = rank.ranked_partitions(meta, "part_id", X.part_rank("part_id"), 14)
+    rows = cut(eligible_rows(spark, folder), "ledger")
+    parts = rank.ranked_partitions(metadata(spark, folder), "part_id", X.part_rank("part_id"), 14)
     target = table(spark, folder, "documents").count() // 5
     return rank.shortest_prefix(parts, rows, "part_id", "prompt_group_sha256", target).select(
         "part_id", "part_rank", "new_groups", "n_rows", "total_groups", "status", "selected"

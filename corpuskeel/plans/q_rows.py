@@ -21,9 +21,15 @@ SQL_ELIGIBLE = f"""{SQL_META}, eligible AS (
          CASE WHEN {_REASON} = 'metadata_eligible' THEN {sql_text_group('prompt')} END AS prompt_group_sha256 FROM meta)"""
 
 
+def eligible_rows(spark, folder):
+    """Eligibility of every document; texts are folded at the scan."""
+    grouped = metadata(spark, folder, X.text_group("text"))
+    return R.eligibility(grouped, ["doc_id", "part_id"], F.col("prompt"))
+
+
 @query("pf1_eligibility", f"WITH {SQL_ELIGIBLE} SELECT * FROM eligible")
 def pf1(spark, folder):
-    return R.eligibility(metadata(spark, folder), ["doc_id", "part_id"])
+    return eligible_rows(spark, folder)
 
 
 _RULES = {
@@ -46,7 +52,7 @@ _RULES = {
     ),
 )
 def pf2(spark, folder):
-    return checks.row_violations(metadata(spark, folder), "doc_id", checks.metadata_rules(2000))
+    return checks.row_violations(metadata(spark, folder, F.when(F.col("text").isNotNull(), "present")), "doc_id", checks.metadata_rules(2000))
 
 
 _PART_RANK = sql_revision_rank(K.TAG_PART_RANK, sql_uint("part_id", 2))
@@ -204,10 +210,11 @@ def pf10(spark, folder):
        UNION ALL SELECT 'reject_has_no_digest', CAST(doc_id AS VARCHAR) FROM c WHERE status = '{K.STATUS_REJECT}' AND digest IS NOT NULL""",
 )
 def pf11(spark, folder):
-    joined = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    digests = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("_sha256"))
+    joined = digests.join(table(spark, folder, "labels"), "doc_id", "left")
     status = F.when(F.col("quality") == 1, K.STATUS_PASS).when(F.col("quality") == 0, K.STATUS_REJECT).otherwise("unseen")
     shaped = joined.select(
-        "doc_id", status.alias("status"), F.when(F.col("toxic") == 0, F.sha2("text", 256)).alias("digest"),
+        "doc_id", status.alias("status"), F.when(F.col("toxic") == 0, F.col("_sha256")).alias("digest"),
         F.when((F.col("quality") == 0) & (F.col("toxic") == 1), "low").alias("reason"),
     )
     return checks.coverage_violations(shaped, "doc_id", "status", "digest", "reason")
@@ -244,7 +251,7 @@ def ag11(spark, folder):
     f"WITH {SQL_ELIGIBLE} SELECT reason, part_id, count(*) AS n_rows, min(doc_id) AS first_id FROM eligible GROUP BY 1, 2",
 )
 def ag20(spark, folder):
-    return checks.coverage_counters(R.eligibility(metadata(spark, folder), ["doc_id", "part_id"]), ["reason", "part_id"], "doc_id")
+    return checks.coverage_counters(eligible_rows(spark, folder), ["reason", "part_id"], "doc_id")
 
 
 @query(

@@ -190,8 +190,9 @@ _SELECTED = f"SELECT {_ARCHIVE} AS archive, doc_id, text FROM documents JOIN lab
 
 def _selection(spark, folder):
     name = F.concat(F.lit("part-"), F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 6, "0"), F.lit(".zip"))
-    chosen = table(spark, folder, "labels").filter("quality = 1").join(table(spark, folder, "documents"), "doc_id")
-    return chosen.select(name.alias("archive"), F.concat("doc_id", F.lit(".txt")).alias("member"), F.sha2("text", 256).alias("sha256"))
+    digests = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    chosen = table(spark, folder, "labels").filter("quality = 1").join(digests, "doc_id")
+    return chosen.select(name.alias("archive"), F.concat("doc_id", F.lit(".txt")).alias("member"), "sha256")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -69,14 +69,20 @@ SQL_META = """meta AS (
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
-def metadata(spark: SparkSession, folder: str) -> DataFrame:
-    """documents with their labels as the metadata table: part = source, size = characters."""
+def metadata(spark: SparkSession, folder: str, prompt: Column | None = None) -> DataFrame:
+    """documents with their labels as the metadata table: part = source, size = characters.
+
+    `prompt` is what a query needs of the text (its group, its presence). It is taken at the scan, so that
+    texts stay out of the shuffle to the labels; without it the column is null.
+    """
     documents, labels = spread_table(spark, folder, "documents", "doc_id"), table(spark, folder, "labels")
-    return documents.join(labels, "doc_id", "left").select(
+    prompt = F.lit(None).cast("string") if prompt is None else prompt
+    narrow = documents.select("doc_id", "source", "n_chars", prompt.alias("prompt"))
+    return narrow.join(labels, "doc_id", "left").select(
         "doc_id",
         (F.substring("source", 4, 10).cast("int") + 1).alias("part_id"),
         F.col("doc_id").cast("string").alias("image_name"),
-        F.col("text").alias("prompt"),
+        "prompt",
         F.col("n_chars").alias("width"),
         F.col("n_chars").alias("height"),
         F.when(F.col("toxic") == 1, 1.0).when(F.col("toxic") == 0, 0.0).alias("image_nsfw"),
