@@ -57,11 +57,18 @@ def hashed_rank(
 
 
 def _range_slices(df: DataFrame, order: str, slices: int) -> DataFrame:
-    """Add `_slice`: equal ranges of the numeric column `order`, the same for every key."""
-    span = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("double")
-    number = F.floor((F.col(order) - F.col("_lo")) / width * slices).cast("int")
-    return df.crossJoin(F.broadcast(span)).withColumn("_slice", number).drop("_lo", "_hi")  # `span` is one row
+    """Add `_slice`: value ranges of the numeric column `order` with about as many rows each, for all keys alike.
+
+    The cuts are quantiles of a sketch that merges map-side, so outliers and hot keys leave the slices even;
+    equal values share a slice. Null values come first.
+    """
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = df.agg(F.percentile_approx(order, shares, 50 * slices).alias("_cuts"))
+    # Binary search: the number of cuts at or below the value.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(slices.bit_length()))])
+    passed = lambda at, step: F.get("_cuts", at + step - 1) <= F.col(order)
+    number = F.aggregate(steps, F.lit(0), lambda at, step: F.when(passed(at, step), at + step).otherwise(at))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("_slice", number).drop("_cuts")  # `cuts` is one row
 
 
 def range_rank(
@@ -69,7 +76,7 @@ def range_rank(
 ) -> DataFrame:
     """1-based position per key in (`order`, *`ties`) order for a numeric `order`.
 
-    Like `hashed_rank`, with slices of the value range: a key of any size is numbered slice by slice.
+    Like `hashed_rank`, with even slices of the values: a key of any size is numbered slice by slice.
     """
     by = list(by)
     sliced = _range_slices(df, order, slices)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuskeel.operators import dedup, graph, skew
@@ -141,3 +142,23 @@ def test_task_levels_and_cycles(spark):
     assert [(r.id, r.level) for r in ordered] == [(0, 0), (2, 1), (1, 1), (3, 2), (4, 3)]
     with pytest.raises(ContractViolation):
         graph.task_levels(tasks, edges.union(spark.createDataFrame([(0, 4)], "id long, parent long")), "pref")
+
+
+@pytest.mark.parametrize("shape", ["outlier", "hot key", "nulls", "empty", "constant"])
+def test_value_slices_stay_even(spark, shape):
+    n, slices = 20_000, 16
+    order = {
+        "outlier": F.when(F.col("id") == 7, F.lit(10**15)).otherwise(F.col("id")),
+        "hot key": F.when(F.col("id") % 10 == 0, F.col("id") * 10**6).otherwise(F.col("id")),
+        "nulls": F.when(F.col("id") % 50 != 0, F.col("id")),
+        "constant": F.lit(3).cast("long"),
+    }.get(shape, F.col("id"))
+    key = F.when(F.col("id") % 10 == 0, "cold").otherwise("hot")
+    rows = spark.range(0 if shape == "empty" else n).select(key.alias("key"), order.alias("at"), "id")
+    sizes = skew._range_slices(rows, "at", slices).groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in sizes) == (0 if shape == "empty" else n)
+    if shape != "constant":
+        assert all(r["n"] <= 2 * n / slices for r in sizes)
+    got = {(r["key"], r["id"]): r["rank"] for r in skew.range_rank(rows, ["key"], "at", ["id"], slices=slices).collect()}
+    plain = Window.partitionBy("key").orderBy("at", "id")
+    assert got == {(r["key"], r["id"]): r["p"] for r in rows.withColumn("p", F.row_number().over(plain)).collect()}
