@@ -1,10 +1,12 @@
-"""Orders, proposals and whole-group splits against serial rules written down here."""
+"""Orders, proposals and whole-group splits against the rules they must keep."""
 
 import hashlib
 import random
 import uuid
 from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,68 +23,84 @@ def tagged(tag, text):
     return hashlib.sha256(tag.encode() + b"\0" + text.encode()).hexdigest()
 
 
-def serial_split(groups, domains, forced, budgets):
-    left = {d: dict(b) for d, b in budgets.items()}
-    out = {}
-
-    def put(gid, need, split):
-        for d, n in need.items():
-            left[d][split] -= n
-            if left[d][split] < 0:
-                raise ContractViolation("infeasible")
-        out[gid] = split
-
-    need = {g: {d: sum(domains[m] == d for m in ms) for d in {domains[m] for m in ms}} for g, ms in groups.items()}
-    for g in sorted(forced):
-        put(g, need[g], forced[g])
-    order = sorted(set(groups) - set(forced), key=lambda g: (-len(need[g]), -len(groups[g]), tagged(K.TAG_SPLIT_RANK, g)))
-    for g in order:
-        fits = [s for s in SPLITS if all(n <= left[d][s] for d, n in need[g].items())]
-        if not fits:
-            raise ContractViolation("infeasible")
-        put(g, need[g], max(fits, key=lambda s: (min(Fraction(left[d][s], budgets[d][s]) for d in need[g]), tagged(K.TAG_SPLIT_TIE, f"{g}:{s}"))))
-    if any(v for b in left.values() for v in b.values()):
-        raise ContractViolation("not met")
-    return out
-
-
 def frame(spark, groups, domains, reserved=(), holdout=()):
     rows = [(m, g, domains[m], m in reserved, m in holdout) for g, ms in groups.items() for m in ms]
     return spark.createDataFrame(rows, "id string, group_id string, domain string, is_reserved boolean, is_holdout boolean").repartition(3)
 
 
-@pytest.mark.parametrize("seed", range(7))
-def test_allocation_equals_the_serial_rule(spark, seed):
-    rng = random.Random(seed)
-    names = ["x", "y", "z"][: 1 + seed % 3]
+def places_before(order, placed, budgets):
+    """Table of the open places (domain, split) that each group met, by running sums over the serial order."""
+    cells = [(d, s) for d in budgets for s in SPLITS]
+    used = np.array([[placed[g][1].get(d, 0) * (placed[g][0] == s) for d, s in cells] for g in order])
+    start = np.array([budgets[d][s] for d, s in cells])
+    return pd.DataFrame(start - np.cumsum(used, axis=0) + used, index=order, columns=pd.MultiIndex.from_tuples(cells))
+
+
+def check_allocation(rows, budgets, forced):
+    """Quotas are met, groups stay whole, forced groups are where they must be, and every other group
+    sits where its scarcest domain had the largest open share when its turn came."""
+    table = pd.DataFrame([r.asDict() for r in rows])
+    assert (table.groupby("group_id")["split"].nunique() == 1).all()
+    assert table.groupby(["domain", "split"]).size().to_dict() == {(d, s): n for d, b in budgets.items() for s, n in b.items() if n}
+    placed = {g: (part["split"].iloc[0], part["domain"].value_counts().to_dict()) for g, part in table.groupby("group_id")}
+    assert {g: placed[g][0] for g in forced} == forced
+    rank = {g: (g not in forced, -len(c), -sum(c.values()), tagged(K.TAG_SPLIT_RANK, g)) for g, (_, c) in placed.items()}
+    order = sorted(placed, key=rank.get)
+    met = places_before(order, placed, budgets)
+    for g in order[len(forced) :]:
+        split, need = placed[g]
+        offers = {}
+        for s in SPLITS:
+            free = {d: int(met.at[g, (d, s)]) for d in need}
+            if all(free[d] >= need[d] for d in need):
+                offers[s] = (min(Fraction(free[d], budgets[d][s]) for d in need), tagged(K.TAG_SPLIT_TIE, f"{g}:{s}"))
+        assert max(offers.values()) == offers[split]
+    for (g, d), part in table.groupby(["group_id", "domain"]):
+        first = min(part["id"], key=lambda m: (tagged(K.TAG_REPRESENTATIVE, f"{g}:{m}"), m))
+        assert list(part.loc[part["is_representative"], "id"]) == [first]
+
+
+@pytest.mark.parametrize("n_domains, span, forcing", [(1, 0.0, False), (2, 0.5, True), (3, 0.3, True), (10, 0.2, False)])
+def test_allocation_is_exact_and_every_choice_is_the_best_open(spark, n_domains, span, forcing):
+    rng = random.Random(n_domains)
+    names = [f"d{i}" for i in range(n_domains)]
     groups, domains = {}, {}
-    for g in range(rng.randrange(20, 45)):
-        size = rng.choice([1, 1, 1, 1, 2, 2, 3, 5])
-        members = [f"m{g}-{i}" for i in range(size)]
-        home = rng.choice(names)
-        for m in members:
-            domains[m] = rng.choice(names) if seed % 2 and rng.random() < 0.3 else home
+    for g in range(25 * n_domains):
+        home = names[g % n_domains]
+        members = [f"m{g}-{i}" for i in range(rng.choice([1, 1, 1, 1, 2, 2, 3]))]
+        # Domains reach their neighbour in blocks of five, so ten domains form two linked sets.
+        near = [d for d in names if int(d[1:]) // 5 == int(home[1:]) // 5]
+        domains |= {m: rng.choice(near) if rng.random() < span else home for m in members}
         groups[f"g{g}"] = members
-    counts = {d: sum(v == d for v in domains.values()) for d in names}
     budgets = {}
-    for d, n in counts.items():
-        a, b = n * rng.choice([1, 2]) // 5, n * rng.choice([1, 2]) // 5
-        budgets[d] = {SPLITS[0]: n - a - b, SPLITS[1]: a, SPLITS[2]: b}
-    picks = rng.sample(sorted(groups), 2)
-    reserved, holdout = ({groups[picks[0]][0]}, {groups[picks[1]][0]}) if seed > 2 else (set(), set())
-    forced = {picks[0]: SPLITS[0], picks[1]: SPLITS[2]} if seed > 2 else {}
-    try:
-        want = serial_split(groups, domains, forced, budgets)
-    except ContractViolation:
-        with pytest.raises(ContractViolation):
-            A.allocate(frame(spark, groups, domains, reserved, holdout), budgets)
-        return
-    rows = A.allocate(frame(spark, groups, domains, reserved, holdout), budgets, chunk_groups=3).collect()
-    assert {r.group_id: r.split for r in rows} == want
-    for g, ms in groups.items():
-        for d in {domains[m] for m in ms}:
-            best = min((tagged(K.TAG_REPRESENTATIVE, f"{g}:{m}"), m) for m in ms if domains[m] == d)[1]
-            assert [r.id for r in rows if r.group_id == g and r.domain == d and r.is_representative] == [best]
+    for d in names:
+        n = sum(v == d for v in domains.values())
+        budgets[d] = {SPLITS[0]: n - 2 * (n // 5), SPLITS[1]: n // 5, SPLITS[2]: n // 5}
+    forced = {"g3": SPLITS[0], "g7": SPLITS[2]} if forcing else {}
+    reserved, holdout = ({groups["g3"][0]}, {groups["g7"][0]}) if forcing else (set(), set())
+    check_allocation(A.allocate(frame(spark, groups, domains, reserved, holdout), budgets).collect(), budgets, forced)
+
+
+def three_by_three():
+    """Three domains of three rows, one place per domain and split."""
+    domains = {f"{d}{i}": d for d in "xyz" for i in range(3)}
+    return domains, {d: {s: 1 for s in SPLITS} for d in "xyz"}
+
+
+def test_allocation_of_three_domains_with_one_place_each(spark):
+    domains, budgets = three_by_three()
+    groups = {m: [m] for m in domains if m not in ("x0", "y0")} | {"xy": ["x0", "y0"]}
+    rows = A.allocate(frame(spark, groups, domains, {"x0"}, {"z2"}), budgets).collect()
+    check_allocation(rows, budgets, {"xy": SPLITS[0], "z2": SPLITS[2]})
+
+
+def test_allocation_refuses_a_group_that_spans_domains_without_room(spark):
+    domains, budgets = three_by_three()
+    groups = {m: [m] for m in domains if m not in ("x0", "x1", "y0")} | {"merged": ["x0", "x1", "y0"]}
+    with pytest.raises(ContractViolation, match="infeasible"):
+        A.allocate(frame(spark, groups, domains), budgets)
+    with pytest.raises(ContractViolation, match="holdout"):
+        A.allocate(frame(spark, groups, domains, {"x0"}, {"y0"}), budgets)
 
 
 def test_allocation_refuses_conflicts_and_oversize(spark):
