@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import bounded_batches, narrow, query, table
 
 # Words kept by a worker before the cache starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 NO_RANK = np.iinfo(np.int32).max
 
 # The splitting pattern of the public word tokenizer, and an equal one for texts of Latin letters,
@@ -82,10 +82,17 @@ def read_spec(path: str) -> dict:
 
 
 class Encoder:
-    """Encodes texts with one tokenizer; keeps the words it has met, up to CACHE_WORDS."""
+    """Encodes texts with one tokenizer; keeps the words it has met, up to CACHE_WORDS.
 
-    def __init__(self, spec: dict, special_tokens: bool = True):
-        self.spec = spec
+    The ids of a word are kept as little-endian bytes, `width` bytes each. With `texts`, the ids in decimal
+    and the tokens are kept as well, both joined by one space.
+    """
+
+    def __init__(self, spec: dict, special_tokens: bool = True, texts: bool = False):
+        self.spec, self.texts = spec, texts
+        self.kind = "<u2" if len(spec["tokens"]) <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.kind).itemsize
+        self.decimal = [str(i) for i in range(len(spec["tokens"]))] if texts else []
         self.find_any = regex.compile(spec["pattern"]).findall
         self.latin = spec["pattern"] == WORD_PATTERN
         self.special = spec["special"] if special_tokens else {}
@@ -96,19 +103,24 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[str, np.ndarray] = {}
+        self.raw: dict[str, bytes] = {}
         self.id_text: dict[str, str] = {}
         self.token_text: dict[str, str] = {}
-        self.count: dict[str, int] = {}
-        for content, i in self.special.items():
-            self._keep(content, np.array([i], np.int32))
-
-    def _keep(self, word: str, ids: np.ndarray) -> None:
-        plain = ids.tolist()
-        self.ids[word] = ids
-        self.id_text[word] = " ".join(map(str, plain))
-        self.token_text[word] = " ".join([self.spec["tokens"][i] for i in plain])
-        self.count[word] = len(plain)
+        self._keep(list(self.special), np.array([*self.special.values()], np.int32), list(range(1, len(self.special) + 1)))
+
+    def _keep(self, words: list[str], ids: np.ndarray, stops: list[int]) -> None:
+        """Remember words whose ids stand one after another in `ids`, each up to its stop."""
+        raw, width, start = ids.astype(self.kind).tobytes(), self.width, 0
+        for word, stop in zip(words, stops):
+            self.raw[word] = raw[start * width : stop * width]
+            start = stop
+        if self.texts:
+            plain, start = ids.tolist(), 0
+            decimal, tokens = [self.decimal[i] for i in plain], [self.spec["tokens"][i] for i in plain]
+            for word, stop in zip(words, stops):
+                self.id_text[word] = " ".join(decimal[start:stop])
+                self.token_text[word] = " ".join(tokens[start:stop])
+                start = stop
 
     def words(self, text: str) -> list[str]:
         """The pieces of a text in order; a special token found in the text is a piece of its own."""
@@ -137,7 +149,7 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode unseen words together through the pair occurrence index."""
-        new = [w for w in set(words) if w not in self.ids]
+        new = [w for w in set(words) if w not in self.raw]
         if not new:
             return
         blobs = [w.encode("utf-8", "surrogatepass") for w in new]
@@ -196,26 +208,38 @@ class Encoder:
             before[beyond[inside]] = at[inside]
             earlier = before[at]
             enter(np.unique(np.concatenate([earlier[earlier >= 0], at[inside]])))
-        kept = np.cumsum(alive)[ends - 1]
-        for word, ids in zip(new, np.split(symbol[alive], kept[:-1])):
-            self._keep(word, ids)
+        self._keep(new, symbol[alive], np.cumsum(alive)[ends - 1].tolist())
 
     def pieces(self, texts: Iterable[str]) -> list[list[str]]:
         """Words of every text, all of them known to the cache afterwards."""
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.raw) > CACHE_WORDS:
             self.clear()
         out = [self.words(t) for t in texts]
         self.learn(set().union(*out))
         return out
 
     def encode(self, texts: Iterable[str]) -> list[list[int]]:
-        return [[i for w in words for i in self.ids[w].tolist()] for words in self.pieces(texts)]
+        return [np.frombuffer(self.joined(words), self.kind).tolist() for words in self.pieces(texts)]
+
+    def joined(self, words: Iterable[str]) -> bytes:
+        """The ids of known words as bytes."""
+        return b"".join(map(self.raw.__getitem__, words))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode without a decoder and with special tokens: tokens joined by one space."""
         return " ".join([self.spec["tokens"][i] for i in ids])
 
 
+# The encoder of this worker: tasks that follow one another in a worker share the words met so far.
+_OWN: list = []
+
+
+def worker_encoder(spec: dict, special_tokens: bool, texts: bool) -> Encoder:
+    if not (_OWN and _OWN[0] is spec and _OWN[1:3] == [special_tokens, texts]):
+        _OWN[:] = [spec, special_tokens, texts, Encoder(spec, special_tokens, texts)]
+    return _OWN[3]
+
+
 def encode_texts(
     documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", special_tokens: bool = True
 ) -> DataFrame:
@@ -229,13 +253,13 @@ def encode_texts(
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value, special_tokens)
+        encoder = worker_encoder(spec.value, special_tokens, texts=True)
         sha = hashlib.sha256
         for batch in batches:
             pieces = encoder.pieces(t or "" for t in batch.column(1).to_pylist())
             counts, ids, decoded = [], [], []
             for words in pieces:
-                counts.append(sum(map(encoder.count.__getitem__, words)))
+                counts.append(sum(map(len, map(encoder.raw.__getitem__, words))) // encoder.width)
                 ids.append(sha(" ".join(map(encoder.id_text.__getitem__, words)).encode()).hexdigest())
                 decoded.append(sha(" ".join(map(encoder.token_text.__getitem__, words)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, scratch_path
-from .bpe import Encoder, read_spec, word_bpe
+from .bpe import read_spec, word_bpe, worker_encoder
 from .common import bounded_batches, narrow, query, table
 
 # Tokens that one block holds (2 bytes each).
@@ -54,7 +54,9 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_of_document: int
     spec = spark.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value, special_tokens=False)
+        encoder = worker_encoder(spec.value, special_tokens=False, texts=False)
+        if encoder.width != 2:
+            raise ValueError("token files hold 16-bit identifiers; the vocabulary is larger")
         fs, root = opened(folder)
         fs.create_dir(root, recursive=True)
         stream, name, ordinal, written = None, "", 0, 0
@@ -67,12 +69,9 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_of_document: int
                     name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
                     stream, ordinal, written = fs.open_output_stream(f"{root}/{name}"), 0, 0
                 for words in encoder.pieces(t or "" for t in batch.column(1).to_pylist()):
-                    if words:
-                        ids = np.concatenate([encoder.ids[w] for w in words]).astype("<u2")
-                        stream.write(ids.tobytes())
-                        written += len(ids)
-                    stream.write(end)
-                    written += 1
+                    ids = encoder.joined(words)
+                    stream.write(ids + end)
+                    written += len(ids) // encoder.width + 1
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * n), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)], ["file", "ordinal", "key"]
