@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches, narrow, query, table
 
-# Words kept by a worker before the cache starts anew.
+# Words kept by a worker before the cache starts anew; half as many where their texts are kept too.
 CACHE_WORDS = 400_000
 NO_RANK = np.iinfo(np.int32).max
 
@@ -92,6 +92,7 @@ class Encoder:
         self.spec, self.texts = spec, texts
         self.kind = "<u2" if len(spec["tokens"]) <= 1 << 16 else "<u4"
         self.width = np.dtype(self.kind).itemsize
+        self.limit = CACHE_WORDS // 2 if texts else CACHE_WORDS
         self.decimal = [str(i) for i in range(len(spec["tokens"]))] if texts else []
         self.find_any = regex.compile(spec["pattern"]).findall
         self.latin = spec["pattern"] == WORD_PATTERN
@@ -212,7 +213,7 @@ class Encoder:
 
     def pieces(self, texts: Iterable[str]) -> list[list[str]]:
         """Words of every text, all of them known to the cache afterwards."""
-        if len(self.raw) > CACHE_WORDS:
+        if len(self.raw) > self.limit:
             self.clear()
         out = [self.words(t) for t in texts]
         self.learn(set().union(*out))
