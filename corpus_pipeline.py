@@ -6,7 +6,7 @@ next one's docs. All but the last return the columns they were given.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskeel.llm import bpe, mixing, near, quality, secrets
@@ -16,6 +16,11 @@ from corpuskeel.session import cut
 ORACLE_SQL = None
 
 
+def whole_rows(docs: DataFrame, key: Column) -> DataFrame:
+    """(_row, key): every document as one struct beside a key made of its columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.passing(docs)
@@ -32,22 +37,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every secret replaced by the name of its kind."""
-    findings, _ = secrets.scan(docs)
+    """The documents with every secret replaced by the name of its kind.
+
+    A text meets its findings by content, so rows with null or repeated ids are masked like all others.
+    The document travels as one struct: no column of its own can clash with those of the join.
+    """
+    _, ledger = secrets.scan(docs)
     kinds = [r.kind for r in secrets.RULES]
-    hits = findings.filter((F.size("spans") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id", "blob").agg(F.first("spans").alias("spans"))
-    blob = F.sha2(F.coalesce("text", F.lit("")), 256)
-    joined = docs.withColumn("blob", blob).join(hits, ["doc_id", "blob"], "left")
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("spans"), kinds))
-    size = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length(clean).cast("long"))
-    return joined.select([clean.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    hits = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    joined = whole_rows(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_blob")).join(hits, "_blob", "left")
+    text, spans = F.col("_row.text"), F.col("_spans")
+    clean = F.when(spans.isNull(), text).otherwise(secrets.masked(text, spans, kinds))
+    size = F.when(spans.isNull(), F.col("_row.n_chars")).otherwise(F.char_length(clean).cast("long"))
+    return joined.select([clean.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     copies = mixing.mix(docs).filter("copies > 0").groupBy("place").agg(F.max("copies").alias("copies"))
-    taken = docs.withColumn("place", mixing.seeded_place(mixing.SEED, "doc_id", "text")).join(copies, "place")
-    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(docs.columns)
+    taken = whole_rows(docs, mixing.seeded_place(mixing.SEED, "doc_id", "text").alias("place")).join(copies, "place")
+    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,3 +157,21 @@ def test_pipeline_keeps_columns(spark, documents):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").collect() == []
+
+
+def test_pipeline_masks_rows_without_id_among_clashing_columns(spark):
+    rows = [(None, "password = hunter22 " + PLAIN, "en", "a", 0), (1, PLAIN.replace("word", "term"), "en", "a", 0)]
+    names = [c for c in CLASHING if c != "id"] + ["id", "copies", "_i", "_d"]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("x").alias(c) for c in names])
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut(stage(spark, docs, ""), name)
+        seen[name] = docs.collect()
+        assert docs.columns == columns
+        assert {r[c] for r in seen[name] for c in names} == {"x"}
+    masked = "[assign] " + PLAIN
+    assert {(r.doc_id, r.text, r.n_chars) for r in seen["secret_scan"]} == {(None, masked, len(masked)), (1, rows[1][1], 0)}
+    assert {r.text for r in seen["source_mix"]} <= {masked, rows[1][1]}
+    coded = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    texts = {hashlib.sha256(r.text.encode()).hexdigest() for r in seen["source_mix"]}
+    assert len(coded) == len(seen["source_mix"]) and len({r.decoded_sha256 for r in coded}) == len(texts)
