@@ -21,8 +21,15 @@ from .common import bounded_batches, narrow, query, table
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "title", "textarea", "select", "button", "object", "math", "audio", "video", "canvas"}
-INLINE = set(
+# Elements whose content is no markup: it ends at the closing tag only, as in a browser.
+RAW = {"script", "style", "iframe", "title", "textarea"}
+# Boilerplate of its own: fields, drawings, players and what stands in for them.
+EMBEDDED = {"noscript", "template", "svg", "select", "button", "object", "audio", "video", "canvas"}
+MATH = set(
+    """math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle
+    mpadded mphantom menclose merror maction semantics annotation annotation-xml""".split()
+)
+INLINE = MATH | set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +46,12 @@ BOILERPLATE_WORDS = set(
     disqus breadcrumb breadcrumbs pagination pager tags copyright legal disclaimer complementary contentinfo toolbar skip dialog""".split()
 )
 CONTENT_WORDS = set("article content post entry story main body text prose".split())
+CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I | re.A) for t in RAW | EMBEDDED}
+# A tag before which an embedded element has to end if it holds nothing but inline content.
+_BLOCK = "|".join(
+    sorted({*HEADINGS, *PARAGRAPHS, *BOILERPLATE_TAGS, *CONTENT_TAGS, *"html body div section center address figure hr ul ol dl li table tbody thead tfoot tr td th".split()})
+)
+STOP = {t: re.compile(rf"</?(?:{_BLOCK})(?=[\s/>])|<{t}(?=[\s/>])", re.I | re.A) for t in EMBEDDED}
 
 
 @dataclass
@@ -68,6 +81,7 @@ class _Reader:
     links: int = 0
     stack: list[_Open] = field(default_factory=list)
     tag: str = ""
+    within: list[list[_Open]] = field(default_factory=list)
 
     def text(self, piece: str) -> None:
         if piece:
@@ -79,11 +93,39 @@ class _Reader:
         if self.parts:
             words = html.unescape("".join(self.parts)).split()
             if words:
-                says = [o.says for o in self.stack if o.says]
-                self.blocks.append(Block(" ".join(words), len(words), self.linked, self.tag, says[-1] if says else 0, -1 in says))
+                self.blocks.append(Block(" ".join(words), len(words), self.linked, self.tag, 0, False))
+                self.within.append([o for o in self.stack if o.says])
             self.parts = []
         self.linked = 0
 
+    def drop(self, depth: int) -> None:
+        """Take containers off the stack; an embedded element that others end says nothing of what follows it."""
+        for o in self.stack[depth:]:
+            if o.tag in EMBEDDED:
+                o.says = 0
+        del self.stack[depth:]
+
+    def finish(self) -> list[Block]:
+        self.flush()
+        self.drop(0)
+        for block, within in zip(self.blocks, self.within):
+            told = [o.says for o in within if o.says]
+            block.container, block.boilerplate = told[-1] if told else 0, -1 in told
+        return self.blocks
+
+
+@dataclass
+class _Ahead:
+    """The next match of a pattern; positions only rise, so every pattern reads the page once."""
+
+    page: str
+    found: dict[re.Pattern[str], re.Match[str] | None] = field(default_factory=dict)
+
+    def __call__(self, pattern: re.Pattern[str], at: int) -> re.Match[str] | None:
+        if pattern not in self.found or (self.found[pattern] and self.found[pattern].start() < at):
+            self.found[pattern] = pattern.search(self.page, at)
+        return self.found[pattern]
+
 
 def says(tag: str, attributes: str) -> int:
     """-1 for a container that calls itself boilerplate, 1 for content, 0 for neither."""
@@ -96,15 +138,21 @@ def says(tag: str, attributes: str) -> int:
 
 
 def blocks(page: str) -> list[Block]:
-    """Flat text blocks of a whole page in order; scripts, styles, comments and form fields have none."""
-    r, at, size = _Reader(), 0, len(page)
-    lower = None
+    """Flat text blocks of a whole page in order; scripts, styles, comments and form fields have none.
+
+    An embedded element without blocks is passed over; one with blocks is a boilerplate container, and one
+    that is never closed takes nothing with it.
+    """
+    r, at, size, ahead = _Reader(), 0, len(page), _Ahead(page)
     while at < size:
         start = page.find("<", at)
         if start < 0:
             r.text(page[at:])
             break
         r.text(page[at:start])
+        if page.startswith(("<!-->", "<!--->"), start):
+            at = page.find(">", start) + 1
+            continue
         if page.startswith("<!--", start):
             end = page.find("-->", start + 4)
             at = size if end < 0 else end + 3
@@ -123,17 +171,27 @@ def blocks(page: str) -> list[Block]:
         closing, tag, attributes = found[1], found[2].lower(), found[3]
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                lower = page.lower() if lower is None and len(page.lower()) == size else lower
-                end = (lower or page).find(f"</{tag}", at)
-                close = page.find(">", end) if end >= 0 else -1
-                at = size if close < 0 else close + 1
-            if tag in ("title", "select", "button"):
+                end = ahead(CLOSE[tag], at)
+                at = end.end() if end else size
+            if tag == "title":
                 r.flush()
             continue
+        if tag in EMBEDDED:
+            passed = attributes.endswith("/")
+            if closing:
+                passed = all(o.tag != tag for o in r.stack)
+            elif not passed:
+                end, stop = ahead(CLOSE[tag], at), ahead(STOP[tag], at)
+                if end and (stop is None or end.start() < stop.start()):
+                    passed, at = True, end.end()
+            if passed:
+                if tag in ("select", "button"):
+                    r.flush()
+                continue
         if tag in INLINE:
             if tag == "a":
                 r.links = 0 if closing else 1
-            elif tag == "br":
+            elif tag in ("br", "mtd", "mspace"):
                 r.text(" ")
             continue
         r.flush()
@@ -141,7 +199,8 @@ def blocks(page: str) -> list[Block]:
         if closing:
             for depth in range(len(r.stack) - 1, -1, -1):
                 if r.stack[depth].tag == tag:
-                    del r.stack[depth:]
+                    r.drop(depth + 1)
+                    r.stack.pop()
                     break
             r.tag = r.stack[-1].tag if r.stack else ""
         elif tag not in VOID:
@@ -149,10 +208,9 @@ def blocks(page: str) -> list[Block]:
                 # These end an open one of their kind by themselves.
                 while r.stack and r.stack[-1].tag in ({"p", *HEADINGS} if tag not in ROWS else {"p", tag, *HEADINGS}):
                     r.stack.pop()
-            r.stack.append(_Open(tag, says(tag, attributes)))
+            r.stack.append(_Open(tag, -1 if tag in EMBEDDED else says(tag, attributes)))
             r.tag = tag
-    r.flush()
-    return r.blocks
+    return r.finish()
 
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "container", "boilerplate", "heading", "paragraph", "row")
@@ -237,7 +295,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     """(`key`, `url`, text, n_chars) of every row.
 
     A null or empty page has an empty text, so has a page without text blocks. Pages that are cut off,
-    or that close nothing, are read to their end. Repeated rows stay repeated, further columns are
+    or that close nothing, are read to their end; only a script, style, title, textarea or iframe that is
+    never closed holds the rest of its page, as in a browser. Repeated rows stay repeated, further columns are
     ignored, an empty table gives an empty one.
     """
     spark = pages.sparkSession

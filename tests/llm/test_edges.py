@@ -175,3 +175,27 @@ def test_pipeline_masks_rows_without_id_among_clashing_columns(spark):
     coded = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     texts = {hashlib.sha256(r.text.encode()).hexdigest() for r in seen["source_mix"]}
     assert len(coded) == len(seen["source_mix"]) and len({r.decoded_sha256 for r in coded}) == len(texts)
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "video", "audio", "canvas", "svg", "object", "noscript", "template"])
+def test_unclosed_elements_take_no_text_with_them(tag):
+    tree = html.trained_tree()
+    for page in (
+        f"<article><p>{PLAIN} one.</p><{tag} class=x>Share<p>{PLAIN} two.</p><{tag}>Next</{tag}><p>{PLAIN} three.</p></article>",
+        f"<article><p>{PLAIN} one.</p><div><{tag}>Share</div><p>{PLAIN} two.</p><p>{PLAIN} three.</p>",
+    ):
+        text = html.main_text(page, tree)
+        assert [f"{PLAIN} {n}." in text for n in ("one", "two", "three")] == [True] * 3 and "Next" not in text
+    closed = f"<article><p>{PLAIN} <{tag}><i>gone</i></{tag.upper()} > on.</p><{tag}><p>{LONG}</p></{tag}><p>{PLAIN} two.</p></article>"
+    text = html.main_text(closed, tree)
+    assert "gone" not in text and LONG[:50] not in text and f"{PLAIN} two." in text
+
+
+def test_raw_elements_comments_and_math():
+    after = f"<article><p>{PLAIN} one.</p></article>"
+    tree = html.trained_tree()
+    for before in ("<p>\u0130stanbul</p><SCRIPT>if (a < b) x = '<p>';</SCRIPT>", "<script>x = '</scripts>'</script >", "<!-->", "<!--->", "<style>p > a {}</STYLE>"):
+        assert html.main_text(before + after, tree).endswith(f"{PLAIN} one."), before
+        assert "x =" not in html.main_text(before + after, tree)
+    page = f"<article><p>{PLAIN} <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> holds.</p></article>"
+    assert html.main_text(page, tree) == f"{PLAIN} x=1 holds."
