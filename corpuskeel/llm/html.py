@@ -46,6 +46,9 @@ BOILERPLATE_WORDS = set(
     disqus breadcrumb breadcrumbs pagination pager tags copyright legal disclaimer complementary contentinfo toolbar skip dialog""".split()
 )
 CONTENT_WORDS = set("article content post entry story main body text prose".split())
+# First and last words of names that tell of a state or layout, not of the container itself.
+STATE_FIRST = set("no not non without with has have hide hidden show".split())
+STATE_LAST = set("on off enabled disabled open closed".split())
 CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I | re.A) for t in RAW | EMBEDDED}
 # A tag before which an embedded element has to end if it holds nothing but inline content.
 _BLOCK = "|".join(
@@ -127,14 +130,30 @@ class _Ahead:
         return self.found[pattern]
 
 
+def names(attributes: str) -> Iterator[list[str]]:
+    """The words of every class, id and role; names that tell of a state ('no-sidebar', 'share-on') are left out."""
+    for found in ATTRIBUTE.findall(attributes):
+        for name in "".join(found[1:]).lower().split():
+            words = TOKEN.findall(name)
+            if words and not (len(words) > 1 and (words[0] in STATE_FIRST or words[-1] in STATE_LAST)):
+                yield words
+
+
 def says(tag: str, attributes: str) -> int:
-    """-1 for a container that calls itself boilerplate, 1 for content, 0 for neither."""
-    words: set[str] = set()
-    for name in ATTRIBUTE.findall(attributes):
-        words.update(TOKEN.findall("".join(name[1:]).lower()))
-    if tag in BOILERPLATE_TAGS or words & BOILERPLATE_WORDS:
+    """-1 for a container that calls itself boilerplate, 1 for content, 0 for neither.
+
+    A single name with words of both kinds ('post-comments', 'main-nav') is boilerplate; of several names,
+    one of content is enough. An article is boilerplate only if all its names that say anything are; the
+    page and its main element never are.
+    """
+    if tag in BOILERPLATE_TAGS:
         return -1
-    return 1 if tag in CONTENT_TAGS or words & CONTENT_WORDS else 0
+    told = [-1 if BOILERPLATE_WORDS.intersection(w) else int(bool(CONTENT_WORDS.intersection(w))) for w in names(attributes)]
+    if 1 in told:
+        return 1
+    if tag == "main" or tag == "article" and (-1 not in told or 0 in told):
+        return 1
+    return -1 if -1 in told and tag not in ("html", "body") else 0
 
 
 def blocks(page: str) -> list[Block]:

@@ -1,6 +1,6 @@
 """The small labelled table of operator 5: hand-made pages and the texts that belong to their articles.
 
-Three sentences of different length fill seven layouts, from pages whose elements say what they are to
+Three sentences of different length fill eight layouts, from pages whose elements say what they are to
 pages of plain divisions, where only word counts and link densities tell.
 """
 
@@ -68,6 +68,12 @@ def labelled_pages() -> Iterator[tuple[str, set[str]]]:
             f'<nav>{_menu()}</nav><article><h1>{body[0]}</h1><p>{MIDDLE} <a href="/map">The old map</a> shows it.</p><h2>What follows</h2><ul><li>{SHORT}</li><li>{TINY}</li></ul>'
             f"<blockquote>{LONG}</blockquote></article><div class='newsletter'><p>{note}</p></div>"
         ), {body[0], f"{MIDDLE} The old map shows it.", "What follows", SHORT, TINY, LONG}
+        # Names that are mixed, negated or tell of a state.
+        yield (
+            f'<body class="home no-sidebar sidebar-right"><div class="main-nav content-header">{_menu()}</div><div class="entry-content social-share-on related-{n}">{article}'
+            f'<div class="post-comments open"><p>{remark}</p></div></div><main class="has-comments with-sidebar"><article class="post has-comments"><p>{LONG} {TINY}</p></article></main>'
+            f'<div class="story-related"><p>{MIDDLE} {n}</p></div><div class="content-footer">{foot}</div></body>'
+        ), listed | {f"{LONG} {TINY}"}
         # Modal notices and banners around a main element.
         yield (
             f'<div role="dialog"><p>{note}</p></div><div role="banner"><p>Example Daily {n}</p></div><div role="main">{article}</div>'

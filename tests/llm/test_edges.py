@@ -199,3 +199,21 @@ def test_raw_elements_comments_and_math():
         assert "x =" not in html.main_text(before + after, tree)
     page = f"<article><p>{PLAIN} <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow></math> holds.</p></article>"
     assert html.main_text(page, tree) == f"{PLAIN} x=1 holds."
+
+
+@pytest.mark.parametrize(
+    "opening",
+    ["article class='post has-comments'", "main class='no-sidebar'", "main class='sidebar-left'", "div class='entry-content social-share-on'",
+     "div class='entry-content related'", "article class='hentry comments_closed'", "article class='news sidebar-left'", "div id=content class='without-footer widget'"],
+)
+def test_mixed_and_negated_names_keep_the_article(opening):
+    tree, tag = html.trained_tree(), opening.split()[0]
+    body = f"<h1>A quiet river</h1><p>{PLAIN} one.</p><p>So it went.</p><div class='post-comments'><p>{PLAIN} remark.</p></div>"
+    for page in (f"<{opening}>{body}</{tag}>", f"<body class='sidebar-right'><{opening}>{body}</{tag}></body>"):
+        assert html.main_text(page, tree) == f"A quiet river\n{PLAIN} one.\nSo it went."
+
+
+def test_names_of_boilerplate_still_count():
+    for tag, attributes in (("div", "class='main-nav'"), ("div", "class='post-comments'"), ("article", "class='comment-body'"), ("section", "id=sidebar"), ("footer", "class=content")):
+        assert html.says(tag, " " + attributes) == -1
+    assert [html.says(t, " class='has-sidebar'") for t in ("body", "div", "main", "article")] == [0, 0, 1, 1]
