@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -14,6 +16,9 @@ from ..functions.keys import is_hex64, is_positive_decimal
 from ..operators.checks import ContractViolation, require_none, row_violations
 from ..operators.skew import digest_tree
 
+# Files up to the first size are digested by Spark as one value, larger ones in blocks of the second.
+LOADED_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
 RAW_INVENTORY = (
     "source string, source_id string, relative_path string, bytes string, sha256 string, width string, "
     "height string, mode string, format string, license_id string"
@@ -39,25 +44,55 @@ def projected_scan(spark: SparkSession, path: str, columns: Sequence[str], expec
     return table.select(*columns)
 
 
-def pinned_files(spark: SparkSession, path: str, pins: DataFrame, max_bytes: int, glob: str | None = None) -> DataFrame:
-    """Status per pinned file: ok, missing, too_large, size_mismatch, digest_mismatch, unpinned.
+def _block_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for pdf in batches:
+        digests = []
+        for path in pdf["path"]:
+            system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            digest = hashlib.sha256()
+            with system.open_input_stream(inner) as stream:
+                while block := stream.read(BLOCK_BYTES):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pd.DataFrame({"name": pdf["name"], "sha256": digests})
+
 
-    Files above `max_bytes` are refused by length; the length filter reaches the source, so their
-    content is never loaded.
+def file_digests(
+    spark: SparkSession, path: str, max_bytes: int | None = None, glob: str | None = None, recursive: bool = False, loaded: int = LOADED_BYTES
+) -> DataFrame:
+    """(name, bytes, sha256) per file; names are relative to `path`.
+
+    Files of at most `loaded` bytes are read by Spark, larger ones in blocks on the executors, so no file
+    is ever one value. Files above `max_bytes` get no digest; length filters reach the source, so content
+    that is not digested there is never loaded.
     """
-    listing = spark.read.format("binaryFile")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         listing = listing.option("pathGlobFilter", glob)
     files = listing.load(path)
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    sizes = files.select(name, F.col("length").alias("bytes"))
-    digests = files.filter(F.col("length") <= max_bytes).select(name, F.sha2("content", 256).alias("sha256"))
-    seen = sizes.join(digests, "name", "left").select("name", F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
+    name = F.substring_index("path", path.rstrip("/") + "/", -1).alias("name")
+    wanted = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    small = wanted.filter(F.col("length") <= loaded).select(name, F.sha2("content", 256).alias("sha256"))
+    large = wanted.filter(F.col("length") > loaded).select(name, "path").mapInPandas(_block_digests, "name string, sha256 string")
+    return files.select(name, F.col("length").alias("bytes")).join(small.unionByName(large), "name", "left")
+
+
+def pinned_files(
+    spark: SparkSession, path: str, pins: DataFrame, max_bytes: int | None = None, glob: str | None = None, recursive: bool = False, loaded: int = LOADED_BYTES
+) -> DataFrame:
+    """Status per pinned file: ok, missing, too_large, size_mismatch, digest_mismatch, unpinned.
+
+    Files above `max_bytes` are refused by length, without reading them; without it every file is digested.
+    """
+    files = file_digests(spark, path, max_bytes, glob, recursive, loaded)
+    seen = files.select("name", F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
     return pins.join(seen, "name", "full_outer").select(
         "name",
         F.when(F.col("_b").isNull(), "missing")
         .when(F.col("sha256").isNull(), "unpinned")
-        .when(F.col("_b") > max_bytes, "too_large")
+        .when(F.lit(False) if max_bytes is None else F.col("_b") > max_bytes, "too_large")
         .when(F.col("_b") != F.col("bytes"), "size_mismatch")
         .when(F.col("_s") != F.col("sha256"), "digest_mismatch")
         .otherwise("ok")

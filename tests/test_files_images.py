@@ -93,3 +93,22 @@ def test_table_digest_sees_values_and_repeats_but_not_order(spark):
     assert one == S.table_digest(df.repartition(9).select("b", "a")).first().tree_sha256
     assert one != S.table_digest(df.union(df.limit(1))).first().tree_sha256
     assert one != S.table_digest(df.withColumn("a", F.when(F.col("a") == 3, None).otherwise(F.col("a")))).first().tree_sha256
+
+
+def test_large_files_are_compared_with_their_pins(spark, tmp_path):
+    import zlib
+
+    from corpuskeel.plans import RUNNERS
+
+    folder = tmp_path / "tables"
+    (folder / "parts.parquet").mkdir(parents=True)
+    names = [f"t{i}.parquet" for i in range(12)] + [f"parts.parquet/part-{i}.parquet" for i in range(2)]
+    for i, name in enumerate(names):
+        (folder / name).write_bytes(bytes([i]) * ((1 << 20) + i))
+    kinds = {1: "size_mismatch", 2: "digest_mismatch", 3: "unpinned"}
+    wanted = {n: kinds.get(zlib.crc32(n.encode()) % 6, "ok") for n in names} | {"absent.parquet": "missing"}
+    assert set(wanted.values()) == {"ok", "missing", *kinds.values()}
+    assert {r.name: r.status for r in RUNNERS["io2_pinned_files"](spark, str(folder)).collect()} == wanted
+    digests = {n: hashlib.sha256((folder / n).read_bytes()).hexdigest() for n in names}
+    for loaded in (0, 1 << 30):
+        assert {r.name: r.sha256 for r in S.file_digests(spark, str(folder), recursive=True, loaded=loaded).collect()} == digests
