@@ -4,8 +4,8 @@ A word enters as the sum of two halves: a vector of the word itself and the mean
 character 3-, 4- and 5-grams, so unseen forms of a known stem are recognised. Two gated recurrent
 layers read a window of words in both directions, attention pools their states, and a logistic unit
 scores the window. A document's score is that of its worst window; all windows of a text are scored,
-windows overlap by a quarter. Training runs in numpy on a bounded sample of labelled rows: first on all
-windows, then, of a toxic document, on its worst window only.
+windows overlap by a quarter. Training runs in numpy on a bounded sample of labelled rows of any length: first on all
+sampled windows, then, of a toxic document, on its worst window only.
 
 The input side of the gates is computed once per distinct word and kept by the worker, so a window costs
 only its recurrent steps.
@@ -28,12 +28,11 @@ WORDS, GRAMS = 4096, 16384  # rows of the two hashed tables
 WIDTH, HIDDEN = 12, 8
 CACHE_WORDS = 500_000
 
-# Bounds of the training sample: documents per label, words per document, and the longer documents on
-# which the threshold is set.
+# Bounds of the sample that is learnt from: documents per label to train on, further ones to set the threshold
+# on, and windows per training document, spread evenly over its whole text.
 TRAIN_DOCS = 1000
-TRAIN_WORDS = 640
 CALIBRATION_DOCS = 300
-CALIBRATION_WORDS = 20_000
+TRAIN_WINDOWS = 128
 EPOCHS, BATCH, RATE = 5, 256, 0.01
 DECAY = 0.03
 LEAST_STEPS = 200  # small samples are gone through more often
@@ -175,17 +174,20 @@ class Vocabulary(dict):
         super().__init__()
         self.p = p
         self.fresh: list[str] = []
-        self.table = np.zeros((1, 6 * HIDDEN), np.float32)
+        self.rows, self.table = 1, np.zeros((1, 6 * HIDDEN), np.float32)
 
     def __missing__(self, word: str) -> int:
-        self[word] = row = len(self.table) + len(self.fresh)
+        self[word] = row = self.rows + len(self.fresh)
         self.fresh.append(word)
         return row
 
     def settle(self) -> None:
         if self.fresh:
-            self.table = np.vstack([self.table, gates(self.p, inputs(self.p, *word_rows(self.fresh)))])
-            self.fresh = []
+            new = self.rows + len(self.fresh)
+            if new > len(self.table):  # room for twice as many, so that copying stays in proportion
+                self.table = np.vstack([self.table[: self.rows], np.zeros((2 * new - self.rows, 6 * HIDDEN), np.float32)])
+            self.table[self.rows : new] = gates(self.p, inputs(self.p, *word_rows(self.fresh)))
+            self.rows, self.fresh = new, []
 
 
 def split_words(text: str | None) -> list[str]:
@@ -222,27 +224,43 @@ def document_logits(model: dict, vocabulary: Vocabulary, texts: Sequence[str | N
     return out
 
 
+def spread_windows(text: str | None, most: int = TRAIN_WINDOWS) -> list[str]:
+    """The windows of a whole text, words joined by one space; of more than `most`, evenly spread ones."""
+    words = split_words(text)
+    starts = window_starts(len(words))
+    if len(starts) > most:
+        starts = starts[np.linspace(0, len(starts) - 1, most).round().astype(int)]
+    return [" ".join(words[s : s + WINDOW]) for s in starts.tolist()]
+
+
 def train(texts: Sequence[str], toxic: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Weights from documents and their labels. With one label only, the score is that label's share."""
+    """Weights from documents and their labels."""
+    return train_on_windows([spread_windows(t) for t in texts], toxic, seed)
+
+
+def train_on_windows(docs: Sequence[Sequence[str]], toxic: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+    """Weights from the windows of documents and the documents' labels. With one label only, every text gets it."""
     p, rng = init(seed), np.random.default_rng(seed)
     p["shift"], p["slope"] = np.zeros(1, np.float32), np.ones(1, np.float32)
-    if not len(texts) or toxic.min() == toxic.max():
+    if not len(docs) or toxic.min() == toxic.max():
         p["w"][:] = 0
-        p["b"][:] = 4.0 if len(texts) and toxic.max() else -4.0
+        p["b"][:] = 4.0 if len(docs) and toxic.max() else -4.0
         return p
     numbers: dict[str, int] = {}
-    docs = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in split_words(t)], np.int64) for t in texts]
-    own, grams, starts = word_rows(list(numbers))
     place, owner = [], []
-    for i, d in enumerate(docs):
-        for s in window_starts(len(d)):
-            w = d[s : s + WINDOW]
+    for i, windows in enumerate(docs):
+        first = len(place)
+        for window in windows:
+            w = np.array([numbers.setdefault(x, len(numbers) + 1) for x in window.split()], np.int64)
             place.append(np.concatenate([w, np.zeros(WINDOW - len(w), np.int64)]))
             owner.append(i)
-        if not toxic[i] and len(d):
+        known = np.concatenate(place[first:]) if len(place) > first else np.zeros(0, np.int64)
+        known = known[known > 0]
+        if not toxic[i] and len(known):
             # A harmless word stays harmless however often it is repeated.
-            place.append(np.full(WINDOW, d[rng.integers(len(d))]))
+            place.append(np.full(WINDOW, known[rng.integers(len(known))]))
             owner.append(i)
+    own, grams, starts = word_rows(list(numbers))
     place, owner = np.array(place), np.array(owner)
     y = toxic[owner].astype(np.float32)
     moment, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
@@ -286,10 +304,12 @@ def train(texts: Sequence[str], toxic: np.ndarray, seed: int = 5) -> dict[str, n
     return p
 
 
-def calibrate(p: dict, texts: Sequence[str], toxic: np.ndarray) -> dict:
-    """Shift of the documents' worst logits: the middle of the widest gap among the best thresholds."""
-    if len(texts) and toxic.min() != toxic.max():
-        logit = document_logits(p, Vocabulary(p), texts)
+def calibrate(p: dict, logit: np.ndarray, toxic: np.ndarray) -> dict:
+    """Shift of the documents' worst logits: the middle of the widest gap among the best thresholds.
+
+    Without documents of both labels, or with a model that knows one label only, the shift stays 0.
+    """
+    if len(logit) and toxic.min() != toxic.max() and p["w"].any():
         order = np.argsort(logit, kind="stable")
         s, t = logit[order], toxic[order].astype(np.float64)
         n_pos, n_neg = t.sum(), len(t) - t.sum()
@@ -301,29 +321,63 @@ def calibrate(p: dict, texts: Sequence[str], toxic: np.ndarray) -> dict:
     return p
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> list[tuple[str, int]]:
-    """At most TRAIN_DOCS shorter and CALIBRATION_DOCS longer documents per label, in a fixed random order.
+def labelled_ids(documents: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(id, label, place): at most TRAIN_DOCS + CALIBRATION_DOCS documents per label, in a fixed random order.
 
-    Only rows outside the held-out fold are read. A document whose labels disagree counts as toxic.
+    Only ids and labels are read, none of the held-out fold. A document whose labels disagree counts as toxic.
     """
     marks = narrow(labels, [key, label]).toDF("id", "label").filter("id IS NOT NULL AND label IS NOT NULL").filter(fold(F.col("id")) != 0)
     marks = marks.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
-    texts = narrow(documents, [key, text]).toDF("id", "text").filter("id IS NOT NULL AND text IS NOT NULL").filter(fold(F.col("id")) != 0)
-    joined = texts.join(marks, "id").withColumn("_n", F.char_length("text"))
-    out: list[tuple[str, int]] = []
+    present = marks.join(narrow(documents, [key]).toDF("id").distinct(), "id", "left_semi")
+    rows = []
     for value in (0, 1):
-        mine = joined.filter(F.col("label") == value)
-        for low, high, n in ((0, 6 * TRAIN_WORDS, TRAIN_DOCS), (6 * TRAIN_WORDS, 6 * CALIBRATION_WORDS, CALIBRATION_DOCS)):
-            ids = mine.filter((F.col("_n") >= low) & (F.col("_n") < high)).select("id", "text")
-            out += [(r[1], value) for r in ids.orderBy(F.xxhash64("id"), "id").limit(n).collect()]
-    return out
+        mine = present.filter(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS + CALIBRATION_DOCS)
+        rows += [(r.id, value, place) for place, r in enumerate(mine.select("id").collect())]
+    kind = present.schema["id"].dataType.simpleString()
+    return documents.sparkSession.createDataFrame(rows, f"id {kind}, label int, place int")
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
-    rows = labelled_sample(documents, labels, key, text, label)
-    short = [r for r in rows if len(r[0]) < 6 * TRAIN_WORDS]
-    model = train([r[0] for r in short], np.array([r[1] for r in short], np.int64))
-    return calibrate(model, [r[0] for r in rows], np.array([r[1] for r in rows], np.int64))
+    """A model from at most TRAIN_DOCS + CALIBRATION_DOCS labelled documents per label, of any length.
+
+    Texts are met where they are, by broadcast of the sampled ids (a bounded number); a task returns at most
+    TRAIN_WINDOWS windows of a training document. The threshold is set on whole texts, scored in the tasks.
+    Of repeated rows of one id the least list of windows is learnt from and the highest score counts.
+    """
+    bounded_batches(documents.sparkSession)
+    chosen = labelled_ids(documents, labels, key, label)
+    texts = narrow(documents, [key, text]).toDF("id", "text").filter("text IS NOT NULL")
+    texts = texts.join(F.broadcast(chosen), "id")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [spread_windows(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("label", "place")] + [pa.array(lists, pa.list_(pa.string()))], ["label", "place", "windows"]
+            )
+
+    learnt = texts.filter(F.col("place") < TRAIN_DOCS).select("label", "place", "text")
+    learnt = learnt.mapInArrow(windows, "label int, place int, windows array<string>").groupBy("label", "place").agg(F.min("windows").alias("windows"))
+    rows = sorted(learnt.collect(), key=lambda r: (r.label, r.place))
+    model = train_on_windows([r.windows for r in rows], np.array([r.label for r in rows], np.int64))
+    whole = logits(texts.select(F.struct("label", "place").alias("key"), "text"), model)
+    worst = sorted((tuple(r.key), r.logit) for r in whole.groupBy("key").agg(F.max("logit").alias("logit")).collect())
+    return calibrate(model, np.array([w for _, w in worst], np.float32), np.array([k[0] for k, _ in worst], np.int64))
+
+
+def logits(rows: DataFrame, model: dict) -> DataFrame:
+    """(key, logit of the worst window) of every row (key, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(shared.value)
+        for batch in batches:
+            if len(vocabulary) > CACHE_WORDS:
+                vocabulary = Vocabulary(shared.value)
+            worst = document_logits(shared.value, vocabulary, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(worst.astype(np.float64))], ["key", "logit"])
+
+    return rows.toDF("key", "text").mapInArrow(run, f"key {rows.schema[0].dataType.simpleString()}, logit double")
 
 
 def score(documents: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -332,24 +386,12 @@ def score(documents: DataFrame, model: dict, key: str = "doc_id", text: str = "t
     A null or empty text is scored as a window without words. Rows with null keys count as not held
     out; repeated rows get the same score; further columns are ignored; an empty table gives an empty one.
     """
-    spark = documents.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        vocabulary = Vocabulary(p)
-        for batch in batches:
-            if len(vocabulary) > CACHE_WORDS:
-                vocabulary = Vocabulary(p)
-            logit = document_logits(p, vocabulary, batch.column(1).to_pylist()).astype(np.float64)
-            value = 1 / (1 + np.exp(-np.clip((logit - p["shift"][0]) * p["slope"][0], -60, 60)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["key", "score", "predicted"])
-
-    rows = narrow(documents, [key, text])
-    kind = rows.schema[0].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"key {kind}, score double, predicted int")
-    return scored.select(F.col("key").alias(key), F.coalesce(fold(F.col("key")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    bounded_batches(documents.sparkSession)
+    centred = (F.col("logit") - float(model["shift"][0])) * float(model["slope"][0])
+    value = 1 / (1 + F.exp(-F.least(F.greatest(centred, F.lit(-60.0)), F.lit(60.0))))
+    scored = logits(narrow(documents, [key, text]), model).withColumn("score", value)
+    held_out = F.coalesce(fold(F.col("key")) == 0, F.lit(False)).alias("held_out")
+    return scored.select(F.col("key").alias(key), held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query("op8_toxicity")

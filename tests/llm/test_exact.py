@@ -138,4 +138,51 @@ def test_toxicity_on_held_out_rows(spark):
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).filter("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
     right = [r.predicted == r.toxic for r in scored]
     # About 400 toxic rows to learn from; with the thousands of the larger tables both are near 1.
-    assert np.mean(right) >= 0.96 and np.mean([r.predicted for r in scored if r.toxic]) >= 0.8
+    assert np.mean(right) >= 0.97 and np.mean([r.predicted for r in scored if r.toxic]) >= 0.9
+
+
+def test_toxicity_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(np.float64) for k, v in toxicity.init(2).items()}
+    words = [f"word{i}" for i in range(9)]
+    x = toxicity.inputs(p, *toxicity.word_rows(words)).astype(np.float64) + rng.normal(0, 0.3, (9, 2 * toxicity.WIDTH))
+    place = rng.integers(0, 9, (toxicity.WINDOW, 5))
+    mask = (np.arange(toxicity.WINDOW)[:, None] < np.array([32, 7, 1, 20, 32])).astype(np.float64)
+    y = np.array([1.0, 0, 1, 0, 1])
+
+    def loss():
+        logit, _ = toxicity.forward(p, toxicity.gates(p, x)[place], mask)
+        return float(np.mean(np.logaddexp(0, logit) - y * logit))
+
+    grad, dx = toxicity.gradients(p, x, place, mask, y)
+    grad["x"] = dx
+    for name, g in grad.items():
+        table = x if name == "x" else p[name]
+        for at in rng.integers(0, table.size, 4):
+            kept = table.flat[at]
+            table.flat[at] = kept + 1e-2
+            up = loss()
+            table.flat[at] = kept - 1e-2
+            down = loss()
+            table.flat[at] = kept
+            assert abs((up - down) / 2e-2 - np.asarray(g).flat[at]) < 2e-3, name
+
+
+def test_toxicity_learns_from_long_documents_only(spark):
+    """Toxic documents of thousands of words, none short: they are learnt from and told apart."""
+    rng = random.Random(2)
+    plain = [f"calm{i}" for i in range(300)]
+    docs = []
+    for i in range(400):
+        words = [rng.choice(plain) for _ in range(1500 if i % 2 else 60)]
+        if i % 2:
+            for k in rng.sample(range(1500), 150):
+                words[k] = rng.choice(["rotten", "idiot", "scum"])
+        docs.append((i, " ".join(words), i % 2))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    scored = toxicity.score(df, toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))).join(df, "doc_id").filter("held_out").collect()
+    assert np.mean([r.predicted == r.toxic for r in scored]) >= 0.95
+    one = df.filter("toxic = 1")
+    assert {r.predicted for r in toxicity.score(df, toxicity.fit(one, one)).collect()} == {1}
+    none = df.filter("toxic = 0")
+    assert {r.predicted for r in toxicity.score(df, toxicity.fit(none, none)).collect()} == {0}
