@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import cut, drop_cut
+from . import dedup
 from .checks import ContractViolation, require_none
 from .skew import HOT_ROWS, join_per_key, member_digest
 
@@ -141,19 +142,74 @@ def group_frame(
     edges = star_edges(keys).select("src", "dst")
     if near is not None:
         edges = edges.unionByName(near.select(F.col("right_id").alias("src"), F.col("left_id").alias("dst")))
-    members = cut(connected_components(rows, edges), "components")
+    return named_groups(cut(connected_components(rows, edges), "components"), tag)
+
+
+def named_groups(members: DataFrame, tag: str = K.TAG_LEAKAGE_GROUP) -> DataFrame:
+    """(id, group_id, n_members) of the components in `members` (id, component)."""
     named = member_digest(members, "component", "id", tag)
     return join_per_key(members, named, ["component"], "n_members").select("id", "group_id", "n_members")
 
 
-def class_edges(rows: DataFrame, fingerprint: str, guards: Sequence[str]) -> DataFrame:
-    """Edges that tie rows of one fingerprint class to its first id (left_id, right_id)."""
-    classes = rows.groupBy(fingerprint, *guards).agg(F.min("id").alias("left_id"), F.count(F.lit(1)).alias("n_rows"))
-    return (
-        join_per_key(rows.select("id", fingerprint, *guards), classes, [fingerprint, *guards], "n_rows")
-        .filter(F.col("id") != F.col("left_id"))
-        .select("left_id", F.col("id").alias("right_id"))
+def near_classes(rows: DataFrame) -> DataFrame:
+    """Rows that may be near to others, folded where all that the near rule reads is equal.
+
+    `rows`: id, status, fp, width, height, tone, shade (a digest of the colour values). Only passing rows
+    with a fingerprint take part. A class is named by its smallest id; its rows are near to each other.
+    """
+    able = rows.filter((F.col("status") == K.STATUS_PASS) & F.col("fp").isNotNull())
+    return dedup.fingerprint_classes(able, "fp", ("width", "height", "tone", "shade"))
+
+
+def near_links(classes: DataFrame, colours: DataFrame, apart: str | None = None, choices=None, blocks: int | None = None) -> DataFrame:
+    """All pairs of classes under the whole near rule: fingerprint, aspect, colour.
+
+    The sums of the colours are compared at the probe; the 192 values only travel to pairs that are left.
+    """
+    pairs = dedup.near_class_pairs(classes, condition=dedup.near_aspect() & dedup.near_tone(), apart=apart, choices=choices, blocks=blocks)
+    return dedup.close_in_colour(pairs, colours)
+
+
+def near_pair_count(classes: DataFrame, links: DataFrame) -> int:
+    """Near pairs of rows: those between classes and those inside a class."""
+    between = links.agg(F.sum(F.col("n_left") * F.col("n_right"))).first()[0]
+    inside = classes.agg(F.sum(F.expr("n_rows * (n_rows - 1) div 2"))).first()[0]
+    return (between or 0) + (inside or 0)
+
+
+def leakage_frame(rows: DataFrame, colours: DataFrame, rounds: int = 4, tag: str = K.TAG_LEAKAGE_GROUP) -> DataFrame:
+    """(id, group_id, n_members) of the whole leakage frame: all keys, producers, quarantine and near pairs.
+
+    Key edges and equal classes come first. The near join then takes the choices of blocks in `rounds`
+    turns and knows of every class the component it is in: classes that are linked already are not compared
+    again, and after every turn the components are contracted over the links found. Only links between
+    different components are ever written.
+    """
+    able = (F.col("status") == K.STATUS_PASS) & F.col("fp").isNotNull()
+    keys = leakage_keys(rows).unionByName(
+        rows.filter(able).select("id", F.lit("class").alias("kind"), F.concat_ws(":", "fp", "width", "height", "tone", "shade").alias("key"))
     )
+    members = cut(connected_components(rows, star_edges(keys)), "key-components")
+    classes = near_classes(rows).join(members.withColumnRenamed("component", "origin"), "id")
+    classes = cut(classes, "near-classes")
+    blocks = dedup.default_blocks(classes.count())
+    labels = classes.select("origin").distinct()
+    links, merged = None, labels.withColumn("component", F.col("origin"))
+    for choices in dedup.block_choices(blocks, K.NEAR_HAMMING, rounds):
+        # One row per origin; a component that holds most classes is split by the adaptive skew join.
+        current = classes.join(merged, "origin")
+        found = near_links(current, colours, apart="component", choices=choices, blocks=blocks)
+        origin = classes.select(F.col("id").alias("left_id"), F.col("origin").alias("dst"))
+        other = classes.select(F.col("id").alias("right_id"), F.col("origin").alias("src"))
+        found = cut(found.join(origin, "left_id").join(other, "right_id").select("src", "dst").distinct(), "near-links")
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.unionByName(found)
+        merged = cut(connected_components(labels, links, node="origin"), "near-components")
+    total = members.join(merged.select(F.col("origin").alias("component"), F.col("component").alias("_c")), "component", "left")
+    # An origin is the least id of its rows, so the least origin is the least id of the merged component.
+    whole = cut(total.select("id", F.coalesce("_c", "component").alias("component")), "components")
+    return named_groups(whole, tag)
 
 
 def restrict_groups(groups: DataFrame, selected: DataFrame, reserved: DataFrame) -> DataFrame:

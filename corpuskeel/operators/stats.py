@@ -57,10 +57,10 @@ def histogram_map(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return histogram(df, by, value).groupBy(*by).agg(F.map_from_entries(entries).alias("histogram"))
 
 
-def size_histogram(groups: DataFrame, group: str) -> DataFrame:
-    """How many groups have each size."""
-    sizes = groups.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n_groups"))
+def size_histogram(groups: DataFrame, group: str, *flags: str) -> DataFrame:
+    """Number of groups per size, apart for groups in which some row has a flag set."""
+    sizes = groups.groupBy(group).agg(F.count(F.lit(1)).alias("size"), *[F.max(f).alias(f) for f in flags])
+    return sizes.groupBy("size", *flags).agg(F.count(F.lit(1)).alias("n_groups"))
 
 
 def run_states(expected: DataFrame, observed: DataFrame, statuses: Sequence[str] = ("completed", "failed", "interrupted")) -> DataFrame:

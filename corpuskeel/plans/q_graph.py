@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import bounds as B
 from ..operators import allocate as A
-from ..operators import dedup, graph, stats
+from ..operators import graph, stats
 from ..operators.skew import digest_tree, member_digest
 from ..session import cut
-from .q_joins import SQL_FINGERPRINTS, document_fingerprints
+from .q_joins import SQL_FINGERPRINTS
 from .registry import query, table
-from .views import SQL_NODES, nodes, sql_text_digest
+from .views import SQL_NODES, frame_tables, nodes, sql_text_digest
 
 _KINDS = ("raw", "canonical", "prompt_group", "prompt_seed_group", "producer_group", "unknown_producer_quarantine")
 _COLUMNS = ("raw_sha256", "canonical_pixel_sha256", "prompt_group", "prompt_seed_group", "producer_group",
@@ -64,10 +64,15 @@ def gr1(spark, folder):
 
 @query(
     "gr1_edge_counts",
-    f"WITH {SQL_NODES}, {SQL_KEYS}, c AS (SELECT kind, key, count(*) - 1 AS n FROM keys GROUP BY 1, 2) SELECT kind, CAST(sum(n) AS BIGINT) AS n_edges FROM c GROUP BY 1 HAVING sum(n) > 0",
+    f"""WITH {SQL_NODES}, {SQL_KEYS}, {SQL_FINGERPRINTS}, c AS (SELECT kind, key, count(*) - 1 AS n FROM keys GROUP BY 1, 2),
+       pairs AS (SELECT (SELECT coalesce(sum(n_left * n_right), 0) FROM near) + (SELECT coalesce(sum(n_rows * (n_rows - 1) // 2), 0) FROM classes) AS n)
+       SELECT kind, CAST(sum(n) AS BIGINT) AS n_edges FROM c GROUP BY 1 HAVING sum(n) > 0
+       UNION ALL SELECT 'coarse_near_pixels', CAST(n AS BIGINT) FROM pairs WHERE n > 0""",
 )
 def gr1_counts(spark, folder):
-    return graph.edge_counts(graph.leakage_keys(frame_nodes(spark, folder)))
+    rows, colours = frame_tables(spark, folder)
+    classes = cut(graph.near_classes(rows), "classes")
+    return graph.edge_counts(graph.leakage_keys(rows), graph.near_pair_count(classes, graph.near_links(classes, colours)))
 
 
 @query(
@@ -106,21 +111,17 @@ def gr3_suppliers(spark, folder):
     return graph.connected_components(suppliers, graph.star_edges(lines.withColumn("kind", F.lit("part"))))
 
 
-_NEAR_EDGES = """SELECT src, dst FROM stars UNION SELECT CAST(right_id AS VARCHAR), CAST(left_id AS VARCHAR) FROM near
-  UNION SELECT CAST(p.id AS VARCHAR), CAST(c.id AS VARCHAR) FROM prints p JOIN classes c USING (fhi, flo, width) WHERE p.id <> c.id"""
+_NEAR_EDGES = """SELECT src, dst FROM stars UNION SELECT right_id, left_id FROM near
+  UNION SELECT p.id, c.id FROM prints p JOIN classes c USING (fhi, flo, width, colour) WHERE p.id <> c.id"""
 
 
 def leakage_groups(spark, folder):
-    """(rows, groups): the whole leakage frame with key edges, near pairs and equal fingerprints."""
-    rows = frame_nodes(spark, folder)
-    prints = cut(document_fingerprints(spark, folder).withColumn("id", F.col("id").cast("string")), "prints").filter("fp is not null")
-    classes = cut(dedup.fingerprint_classes(prints, "fp", ("width", "height")), "classes")
-    pairs = dedup.near_class_pairs(classes, condition=dedup.near_aspect()).select("left_id", "right_id")
-    same = graph.class_edges(prints, "fp", ("width", "height"))
-    return rows, graph.group_frame(rows, graph.leakage_keys(rows, producers=False), pairs.unionByName(same))
+    """(rows, groups): the whole leakage frame, with all key edges, the quarantine cohort and near pairs."""
+    rows, colours = frame_tables(spark, folder)
+    return rows, graph.leakage_frame(rows, colours)
 
 
-SQL_GROUPS = f"{SQL_NODES}, {SQL_CONTENT_KEYS}, {_STARS}, {SQL_FINGERPRINTS}, {_components_sql(_NEAR_EDGES)}, {_named_sql(K.TAG_LEAKAGE_GROUP)}"
+SQL_GROUPS = f"{SQL_NODES}, {SQL_KEYS}, {_STARS}, {SQL_FINGERPRINTS}, {_components_sql(_NEAR_EDGES)}, {_named_sql(K.TAG_LEAKAGE_GROUP)}"
 
 
 @query("gr4_leakage_frame", f"WITH RECURSIVE {SQL_GROUPS} SELECT id, group_id, n_members FROM comp JOIN named USING (component)")
@@ -133,7 +134,11 @@ def _content_groups(spark, folder, tag=K.TAG_COMPONENT):
     return rows, cut(graph.group_frame(rows, graph.leakage_keys(rows, producers=False), tag=tag), "content-groups")
 
 
-_CONTENT = f"{SQL_NODES}, {SQL_CONTENT_KEYS}, {_STARS}, {_components_sql('SELECT src, dst FROM stars')}, {_named_sql(K.TAG_COMPONENT)}"
+def _named_content(tag: str) -> str:
+    return f"{SQL_NODES}, {SQL_CONTENT_KEYS}, {_STARS}, {_components_sql('SELECT src, dst FROM stars')}, {_named_sql(tag)}"
+
+
+_CONTENT = _named_content(K.TAG_COMPONENT)
 _SELECTED = """chosen AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 0 AS is_reserved FROM labels)"""
 
 
@@ -209,29 +214,45 @@ def ag4_tree(spark, folder):
     return digest_tree(hashed, ["g"], "d")
 
 
-@query(
-    "ag5_size_histogram",
-    f"""WITH RECURSIVE {_CONTENT}, {_SELECTED}, s AS (SELECT group_id, count(*) AS size FROM comp JOIN named USING (component) JOIN chosen USING (id) GROUP BY 1)
-       SELECT size, count(*) AS n_groups FROM s GROUP BY 1""",
-)
+def _histogram_sql(content: str) -> str:
+    return f"""WITH RECURSIVE {content}, {_SELECTED}, s AS (SELECT group_id, count(*) AS size, bool_or(is_reserved) AS reserved FROM comp JOIN named USING (component) JOIN chosen USING (id) GROUP BY 1)
+       SELECT size, reserved, count(*) AS n_groups FROM s GROUP BY 1, 2"""
+
+
+def _histogram(spark, folder, groups):
+    """Sizes of the groups restricted to labelled documents, apart for groups that hold a reserved one."""
+    selected = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+    chosen = graph.restrict_groups(groups, selected, selected.filter("quality = 0"))
+    return stats.size_histogram(chosen.withColumnRenamed("is_reserved", "reserved"), "group_id", "reserved")
+
+
+@query("ag5_size_histogram", _histogram_sql(_CONTENT))
 def ag5(spark, folder):
-    _, groups = _content_groups(spark, folder)
-    selected = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"))
-    return stats.size_histogram(graph.restrict_groups(groups, selected, selected.limit(0)), "group_id")
+    return _histogram(spark, folder, _content_groups(spark, folder)[1])
+
+
+@query("ag5_size_histogram_producers", _histogram_sql(f"{SQL_NODES}, {SQL_KEYS}, {_STARS}, {_components_sql('SELECT src, dst FROM stars')}, {_named_sql(K.TAG_COMPONENT)}"))
+def ag5_producers(spark, folder):
+    """The other variant of the components: producers and the quarantine cohort link as well."""
+    rows = frame_nodes(spark, folder)
+    return _histogram(spark, folder, cut(graph.group_frame(rows, graph.leakage_keys(rows), tag=K.TAG_COMPONENT), "producer-groups"))
 
 
 # --- splits -----------------------------------------------------------------------------------
 
 
 def split_rows(spark, folder):
-    """Leakage groups of all documents, ready to be split by language."""
+    """The leakage frame, ready to be split by language: toxic documents are the fixed holdout, documents of
+    low quality are reserved for development unless their group holds a toxic one."""
     rows, groups = leakage_groups(spark, folder)
-    return cut(
-        groups.join(rows.select("id", "domain", "status"), "id").select(
-            "id", "group_id", "domain", "status", F.lit(False).alias("is_reserved"), F.lit(False).alias("is_holdout")
-        ),
-        "split-rows",
-    )
+    marked = groups.join(rows.select("id", "domain", "status", "quality", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_holdout")), "id")
+    return cut(reserved_rows(cut(marked, "marked-rows")), "split-rows")
+
+
+def reserved_rows(marked):
+    held = marked.filter("is_holdout").select("group_id").distinct().withColumn("_held", F.lit(True))
+    reserved = F.coalesce(F.col("quality") == 0, F.lit(False)) & F.col("_held").isNull()
+    return marked.join(held, "group_id", "left").select("id", "group_id", "domain", "status", reserved.alias("is_reserved"), "is_holdout")
 
 
 def document_splits(spark, folder):
@@ -241,28 +262,37 @@ def document_splits(spark, folder):
 
 
 _S = K.SPLITS
-_LANGS = ("de", "en", "es", "fr")
-_FRACTION = """list_min(list_transform(list_filter([1, 2, 3, 4], lambda d: c[d] > 0), lambda d: l[(d - 1) * 3 + s]::DOUBLE / b[(d - 1) * 3 + s]))"""
-_FITS = "len(list_filter([1, 2, 3, 4], lambda d: c[d] > l[(d - 1) * 3 + s])) = 0"
+_OF_GROUP = "list_filter(range(1, len(c) + 1), lambda d: c[d] > 0)"
+_FRACTION = f"list_min(list_transform({_OF_GROUP}, lambda d: l[(d - 1) * 3 + s]::DOUBLE / b[(d - 1) * 3 + s]))"
+_FITS = "len(list_filter(range(1, len(c) + 1), lambda d: c[d] > l[(d - 1) * 3 + s])) = 0"
 _TIE = sql_text_digest(K.TAG_SPLIT_TIE, f"q.group_id || ':' || {list(_S)}[s]")
-# The serial rule, one group per step, over the remaining quotas l of (language, split). Fractions are
-# compared as doubles, which keeps equal fractions equal and is exact for counts of this size.
-SQL_SPLITS = f"""{SQL_GROUPS}, sized AS (SELECT id, group_id, domain, status FROM comp JOIN named USING (component) JOIN nodes USING (id)),
-quota AS (SELECT domain, count(*) AS n, count(*) * 2 // 10 AS fifth FROM sized GROUP BY 1),
-budget AS (SELECT list_concat({', '.join(f"(SELECT [n - 2 * fifth, fifth, fifth] FROM quota WHERE domain = '{d}')" for d in _LANGS[:2])}) AS b1,
-  list_concat({', '.join(f"(SELECT [n - 2 * fifth, fifth, fifth] FROM quota WHERE domain = '{d}')" for d in _LANGS[2:])}) AS b2),
-total AS (SELECT CAST(list_concat(b1, b2) AS BIGINT[]) AS b FROM budget),
-grp AS (SELECT group_id, count(*) AS n_members, count(DISTINCT domain) AS n_domains, [{', '.join(f"count(*) FILTER (domain = '{d}')" for d in _LANGS)}] AS c FROM sized GROUP BY 1),
-seq AS (SELECT *, row_number() OVER (ORDER BY n_domains DESC, n_members DESC, {sql_text_digest(K.TAG_SPLIT_RANK, 'group_id')}) AS step FROM grp),
+# The serial rule over `sized` (id, group_id, domain, status, is_reserved, is_holdout): forced groups first, then
+# one group per step, over the remaining quotas l of (domain, split). Fractions are compared as doubles, which
+# keeps equal fractions equal and is exact for counts of this size.
+_SERIAL = f"""quota AS (SELECT domain, count(*) AS n, count(*) * 2 // 10 AS fifth FROM sized GROUP BY 1),
+total AS (SELECT CAST(flatten(list([n - 2 * fifth, fifth, fifth] ORDER BY domain)) AS BIGINT[]) AS b FROM quota),
+cell AS (SELECT group_id, domain, count(*) AS n FROM sized GROUP BY 1, 2),
+kinds AS (SELECT group_id, count(*) AS n_members, count(DISTINCT domain) AS n_domains, bool_or(is_reserved) AS dev, bool_or(is_holdout) AS test FROM sized GROUP BY 1),
+grp AS (SELECT k.group_id, n_members, n_domains, dev, test, list(coalesce(c.n, 0) ORDER BY q.domain) AS c
+  FROM kinds k CROSS JOIN quota q LEFT JOIN cell c ON c.group_id = k.group_id AND c.domain = q.domain GROUP BY ALL),
+forced AS (SELECT q.domain, s.k, coalesce(sum(CASE WHEN (g.dev AND s.k = 1) OR (NOT g.dev AND g.test AND s.k = 3) THEN c.n END), 0) AS n
+  FROM quota q CROSS JOIN (VALUES (1), (2), (3)) s(k) LEFT JOIN cell c ON c.domain = q.domain LEFT JOIN kinds g ON g.group_id = c.group_id GROUP BY 1, 2),
+opened AS (SELECT b, list_transform(list_zip(b, f), lambda z: z[1] - z[2]) AS l FROM total, (SELECT CAST(list(n ORDER BY domain, k) AS BIGINT[]) AS f FROM forced)),
+seq AS (SELECT *, row_number() OVER (ORDER BY n_domains DESC, n_members DESC, {sql_text_digest(K.TAG_SPLIT_RANK, 'group_id')}) AS step FROM grp WHERE NOT dev AND NOT test),
 walk AS (
-  SELECT 0::BIGINT AS step, NULL::VARCHAR AS group_id, NULL::INTEGER AS pick, b AS l, b FROM total
+  SELECT 0::BIGINT AS step, NULL::VARCHAR AS group_id, NULL::INTEGER AS pick, l, b FROM opened
   UNION ALL
   SELECT step, group_id, pick, list_transform(l, lambda x, i: x - CASE WHEN (i - 1) % 3 + 1 = pick THEN c[((i - 1) // 3) + 1] ELSE 0 END), b FROM (
     SELECT q.step, q.group_id, q.c, w.l, w.b,
       list_max(list_transform(list_filter([1, 2, 3], lambda s: {_FITS}), lambda s: {{'f': {_FRACTION}, 't': {_TIE}, 's': CAST(s AS INTEGER)}})).s AS pick
     FROM walk w JOIN seq q ON q.step = w.step + 1)),
-splits AS (SELECT s.id, s.group_id, s.domain, s.status, {list(_S)}[w.pick] AS split FROM sized s JOIN walk w USING (group_id)),
+placed AS (SELECT group_id, {list(_S)}[pick] AS split FROM walk WHERE step > 0 UNION ALL SELECT group_id, CASE WHEN dev THEN '{_S[0]}' ELSE '{_S[2]}' END FROM kinds WHERE dev OR test),
+splits AS (SELECT s.id, s.group_id, s.domain, s.status, p.split FROM sized s JOIN placed p USING (group_id)),
 reps AS (SELECT group_id, domain, arg_min(id, {sql_text_digest(K.TAG_REPRESENTATIVE, "group_id || ':' || id")}) AS rep FROM splits GROUP BY 1, 2)"""
+_RESERVED = "coalesce(quality = 0, false) AND NOT bool_or(is_holdout) OVER (PARTITION BY group_id) AS is_reserved"
+SQL_SPLITS = f"""{SQL_GROUPS}, marked AS (SELECT c.id, group_id, domain, status, quality, coalesce(toxic = 1, false) AS is_holdout
+  FROM comp c JOIN named USING (component) JOIN nodes n ON n.id = c.id LEFT JOIN labels ON CAST(doc_id AS VARCHAR) = c.id),
+sized AS (SELECT id, group_id, domain, status, {_RESERVED}, is_holdout FROM marked), {_SERIAL}"""
 
 
 @query(
@@ -289,15 +319,15 @@ def ag6(spark, folder):
 
 @query(
     "wn10_source_splits",
-    f"""SELECT source AS domain, count(*) - 2 * (count(*) * 2 // 10) AS {_S[0]}, count(*) * 2 // 10 AS {_S[1]}, count(*) * 2 // 10 AS {_S[2]},
-       0::BIGINT AS n_leaking FROM documents GROUP BY 1""",
+    f"""WITH RECURSIVE {_named_content(K.TAG_LEAKAGE_GROUP)}, marked AS (SELECT c.id, group_id, source AS domain, '' AS status, quality, false AS is_holdout
+         FROM comp c JOIN named USING (component) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.id LEFT JOIN labels l ON l.doc_id = d.doc_id),
+       sized AS (SELECT id, group_id, domain, status, {_RESERVED}, is_holdout FROM marked), {_SERIAL} SELECT id, group_id, domain, split FROM splits""",
 )
 def wn10_sources(spark, folder):
-    """Splits by source, where groups do span domains: quotas are met and no group leaks."""
+    """Splits by source, where groups do span domains; documents of low quality are reserved."""
     documents = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("domain"))
+    labels = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
     _, groups = _content_groups(spark, folder, K.TAG_LEAKAGE_GROUP)
-    rows = cut(groups.join(documents, "id").select("id", "group_id", "domain", F.lit(False).alias("is_reserved"), F.lit(False).alias("is_holdout")), "split-rows")
-    splits = cut(A.allocate(rows, A.proportional_budgets(rows)), "splits")
-    leaking = splits.groupBy("group_id").agg((F.min("split") != F.max("split")).cast("long").alias("leak")).agg(F.sum("leak").alias("n_leaking"))
-    counts = splits.groupBy("domain").agg(*[F.count_if(F.col("split") == s).alias(s) for s in K.SPLITS])
-    return counts.crossJoin(F.broadcast(leaking))  # one row
+    marked = groups.join(documents, "id").join(labels, "id", "left").withColumns({"status": F.lit(""), "is_holdout": F.lit(False)})
+    rows = cut(reserved_rows(cut(marked, "marked-rows")), "split-rows")
+    return A.allocate(rows, A.proportional_budgets(rows)).select("id", "group_id", "domain", "split")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.codes import simhash64
-from ..functions.keys import folded_text, text_group
-from ..operators import dedup, evidence, reconcile
+from ..functions.keys import text_group
+from ..operators import evidence, graph, reconcile
+from ..session import cut
 from .q_rows import SQL_MANIFEST, manifest
-from .registry import query, spread_table, table
-from .views import SQL_RECORDS, records, sql_fold, sql_text_group
+from .registry import query, table
+from .views import SQL_RECORDS, frame_tables, records, sql_fold, sql_text_group
 
 
 @query(
@@ -107,36 +107,30 @@ def jn6(spark, folder):
     )
 
 
-def document_fingerprints(spark, folder):
-    """(id, fp, width, height): word SimHash of each document, characters as width."""
-    documents = spread_table(spark, folder, "documents", "doc_id")
-    return documents.select(
-        F.col("doc_id").alias("id"), simhash64(folded_text("text")).alias("fp"), F.col("n_chars").alias("width"),
-        F.lit(1).cast("long").alias("height"),
-    )  # texts without words keep a null fingerprint and meet nothing
-
-
 _BITS = ", ".join(
     f"sum(CASE WHEN ({'lo' if b < 32 else 'hi'} >> {b % 32}) & 1 = 1 THEN 1 ELSE -1 END) AS b{b}" for b in range(64)
 )
 _HALF = lambda start: " + ".join(f"CASE WHEN b{start + b} > 0 THEN {1 << b} ELSE 0 END" for b in range(32))
-SQL_FINGERPRINTS = f"""words AS (SELECT doc_id, n_chars, unnest(string_split({sql_fold('text')}, ' ')) AS word FROM documents),
+# The near rule of the frame: fingerprints, aspect and colours of passing rows; equal rows form one class.
+SQL_FINGERPRINTS = f"""words AS (SELECT doc_id, n_chars, unnest(string_split({sql_fold('text')}, ' ')) AS word FROM documents WHERE n_chars >= 64),
 hashed AS (SELECT doc_id, n_chars, CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) AS hi, CAST(('0x' || substr(md5(word), 9, 8)) AS BIGINT) AS lo FROM words),
 bits AS (SELECT doc_id, n_chars, {_BITS} FROM hashed GROUP BY 1, 2),
-prints AS (SELECT doc_id AS id, n_chars AS width, CAST({_HALF(32)} AS BIGINT) AS fhi, CAST({_HALF(0)} AS BIGINT) AS flo FROM bits),
-classes AS (SELECT fhi, flo, width, min(id) AS id, count(*) AS n_rows FROM prints GROUP BY 1, 2, 3),
+shares AS (SELECT doc_id, hi % {K.COLOUR_BYTES} AS k, count(*) AS c FROM hashed GROUP BY 1, 2),
+colours AS (SELECT doc_id, list(CAST(least(255, coalesce(c, 0) * 4080 // t) AS INTEGER) ORDER BY k) AS colour
+  FROM (SELECT doc_id, t, range AS k FROM (SELECT doc_id, sum(c) AS t FROM shares GROUP BY 1), range({K.COLOUR_BYTES})) LEFT JOIN shares USING (doc_id, k) GROUP BY 1),
+prints AS (SELECT CAST(doc_id AS VARCHAR) AS id, n_chars AS width, CAST({_HALF(32)} AS BIGINT) AS fhi, CAST({_HALF(0)} AS BIGINT) AS flo, colour FROM bits JOIN colours USING (doc_id)),
+classes AS (SELECT fhi, flo, width, colour, min(id) AS id, count(*) AS n_rows FROM prints GROUP BY 1, 2, 3, 4),
 near AS (SELECT a.id AS left_id, b.id AS right_id, a.n_rows AS n_left, b.n_rows AS n_right,
     CAST(bit_count(xor(a.fhi, b.fhi)) AS INTEGER) + CAST(bit_count(xor(a.flo, b.flo)) AS INTEGER) AS distance
   FROM classes a JOIN classes b ON a.id < b.id AND 100 * abs(a.width - b.width) <= {K.NEAR_ASPECT_PERCENT} * greatest(a.width, b.width)
-  WHERE CAST(bit_count(xor(a.fhi, b.fhi)) AS INTEGER) + CAST(bit_count(xor(a.flo, b.flo)) AS INTEGER) <= {K.NEAR_HAMMING})"""
+    AND CAST(bit_count(xor(a.fhi, b.fhi)) AS INTEGER) + CAST(bit_count(xor(a.flo, b.flo)) AS INTEGER) <= {K.NEAR_HAMMING}
+  WHERE list_sum(list_transform(list_zip(a.colour, b.colour), lambda z: abs(z[1] - z[2]))) <= {K.NEAR_COLOUR_MAE * K.COLOUR_BYTES})"""
 
 
 @query("jn7_near_pairs", f"WITH {SQL_FINGERPRINTS} SELECT left_id, right_id, n_left, n_right, distance FROM near")
 def jn7(spark, folder):
-    from ..session import cut
-
-    classes = cut(dedup.fingerprint_classes(document_fingerprints(spark, folder), "fp", ("width", "height")), "classes")
-    return dedup.near_class_pairs(classes.filter("fp is not null"), condition=dedup.near_aspect())
+    rows, colours = frame_tables(spark, folder)
+    return graph.near_links(cut(graph.near_classes(rows), "classes"), colours)
 
 
 @query(

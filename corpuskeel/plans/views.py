@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.keys import tagged_digest, text_digest, text_group, uint_be
+from ..functions.codes import text_prints
+from ..functions.keys import folded_text, tagged_digest, text_digest, text_group, uint_be
+from ..session import cut
 from .registry import spread_table, table
 
 # --- SQL fragments ----------------------------------------------------------------------------
@@ -131,26 +133,28 @@ SQL_NODES = f"""nodes AS (
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
-def nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """documents as rows of the leakage frame; toxic ones have no known producer."""
-    documents, labels = spread_table(spark, folder, "documents", "doc_id"), table(spark, folder, "labels")
-    passed = F.col("n_chars") >= 64
-    group = text_group("text")
-    unknown = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    # Digests first: the text stays at the scan, only narrow rows meet the labels.
-    digests = documents.withColumn("prompt_group", group).select(
+def node_digests(documents: DataFrame, *more: str) -> DataFrame:
+    """All that the frame needs of a document's text; the text itself stays at the scan."""
+    return documents.withColumn("prompt_group", text_group("text")).select(
         "doc_id",
         F.sha2("text", 256).alias("raw_sha256"),
-        F.when(passed, F.sha2(F.trim("text"), 256)).alias("canonical_pixel_sha256"),
+        F.when(F.col("n_chars") >= 64, F.sha2(F.trim("text"), 256)).alias("canonical_pixel_sha256"),
         "prompt_group",
         F.concat_ws(":", "source", "n_chars").alias("_producer"),
         "lang",
+        "source",
         "n_chars",
+        *more,
     )
+
+
+def labelled_nodes(digests: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """Rows of the leakage frame; toxic ones have no known producer. `more` names further columns to keep."""
+    unknown = F.coalesce(F.col("toxic") == 1, F.lit(False))
     return digests.join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("id"),
         "raw_sha256",
-        F.when(passed, K.STATUS_PASS).otherwise(K.STATUS_REJECT).alias("status"),
+        F.when(F.col("n_chars") >= 64, K.STATUS_PASS).otherwise(K.STATUS_REJECT).alias("status"),
         "canonical_pixel_sha256",
         "prompt_group",
         tagged_digest(K.TAG_TEXT_SEED, F.unhex("prompt_group"), uint_be("n_chars", 4)).alias("prompt_seed_group"),
@@ -158,9 +162,29 @@ def nodes(spark: SparkSession, folder: str) -> DataFrame:
         F.when(unknown, K.STATUS_UNKNOWN_PRODUCER).otherwise(K.STATUS_KNOWN_PRODUCER).alias("producer_status"),
         F.col("lang").alias("domain"),
         "n_chars",
+        *more,
     )
 
 
+def nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """documents as rows of the leakage frame."""
+    return labelled_nodes(node_digests(spread_table(spark, folder, "documents", "doc_id")), table(spark, folder, "labels"))
+
+
+def frame_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, colours): the leakage frame with the columns of the near rule, from one scan of the texts.
+
+    Texts without words keep a null fingerprint and are near to nothing.
+    """
+    documents = spread_table(spark, folder, "documents", "doc_id")
+    prints = documents.select("*", text_prints(folded_text("text")).alias("_p"))
+    digests = node_digests(prints, "_p.fp", "_p.tone", "_p.shade", "_p.colour")
+    digests = cut(digests.withColumns({"width": F.col("n_chars"), "height": F.lit(1).cast("long")}), "digests")
+    narrow = digests.drop("colour")
+    rows = labelled_nodes(narrow, table(spark, folder, "labels"), "quality", "toxic", "source", "fp", "tone", "shade", "width", "height")
+    return cut(rows, "frame"), digests.select(F.col("doc_id").cast("string").alias("id"), "colour")
+
+
 # --- scores -----------------------------------------------------------------------------------
 
 _CONDITIONS = (K.POSITIVE_CONDITION, *K.NEGATIVE_CONDITIONS)

@@ -162,3 +162,44 @@ def test_value_slices_stay_even(spark, shape):
     got = {(r["key"], r["id"]): r["rank"] for r in skew.range_rank(rows, ["key"], "at", ["id"], slices=slices).collect()}
     plain = Window.partitionBy("key").orderBy("at", "id")
     assert got == {(r["key"], r["id"]): r["p"] for r in rows.withColumn("p", F.row_number().over(plain)).collect()}
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_leakage_frame_links_by_every_kind(spark, rounds):
+    """Keys, quarantine, equal classes and near pairs together, against union-find over all pairs."""
+    rng = random.Random(rounds)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        v = base[i % 12]
+        for _ in range(rng.randrange(4)):
+            v ^= 1 << rng.randrange(64)
+        shade = [rng.choice([0, 3, 9])] * 192
+        rows.append(
+            (f"n{i:03}", f"raw{rng.randrange(80)}", rng.choice(["canonical_pass"] * 4 + ["canonical_reject"]), f"px{rng.randrange(200)}", f"t{rng.randrange(300)}",
+             f"p{rng.randrange(300)}", "unknown-or-deleted" if i % 40 == 7 else "known-hash", None if i % 17 == 0 else (v - 2**64 if v >= 2**63 else v), 20 + i % 2, 10, shade)
+        )
+    names = "id string, raw_sha256 string, status string, canonical_pixel_sha256 string, prompt_group string, producer_group string, producer_status string, fp long, width long, height long, colour array<int>"
+    df = spark.createDataFrame(rows, names).withColumn("prompt_seed_group", F.lit(None).cast("string"))
+    df = df.withColumn("tone", F.aggregate("colour", F.lit(0), lambda s, x: s + x)).withColumn("shade", F.md5(F.array_join("colour", ",")))
+    edges, seen, n_near = [], {}, 0
+    for r in rows:
+        keys = [("raw", r[1]), ("text", r[4]), ("producer", r[5])]
+        keys += [("pixels", r[3])] if r[2] == "canonical_pass" else []
+        keys += [("unknown", "")] if r[6] == "unknown-or-deleted" else []
+        edges += [(r[0], seen.setdefault(k, r[0])) for k in keys]
+    able = [r for r in rows if r[2] == "canonical_pass" and r[7] is not None]
+    for a in able:
+        for b in able:
+            if a[0] < b[0] and near((0, a[7], a[8], a[9], a[10]), (0, b[7], b[8], b[9], b[10])):
+                edges.append((b[0], a[0]))
+                n_near += 1
+    want = union_find([r[0] for r in rows], edges)
+    colours = df.select("id", "colour")
+    got = {}
+    for r in graph.leakage_frame(df, colours, rounds).collect():
+        got.setdefault(r.group_id, set()).add(r.id)
+        assert r.n_members == sum(want[x] == want[r.id] for x in want)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x for x in want if want[x] == c) for c in set(want.values()))
+    classes = graph.near_classes(df)
+    assert graph.near_pair_count(classes, graph.near_links(classes, colours)) == n_near
