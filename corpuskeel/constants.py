@@ -91,3 +91,7 @@ PATTERN_IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,127}\z"
 PATTERN_HEX64 = r"^[0-9a-f]{64}\z"
 PATTERN_POSITIVE_DECIMAL = r"^[1-9][0-9]*\z"
 PATTERN_UUID4_PNG = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\.png\z"
+
+# States of a cell of the sample-size report.
+STATUS_SHORT_CELL = "conditional_actual_N_shortfall"
+STATUS_FULL_CELL = "conditional_actual_N_matches_plan"

@@ -304,17 +304,35 @@ def wn10(spark, folder):
     return splits.select("id", "group_id", "domain", "split", "is_representative")
 
 
+_CELLS = f"""g AS (SELECT domain, split, group_id, count(*) AS n, count(*) FILTER (status <> '{K.STATUS_PASS}') AS r FROM splits GROUP BY 1, 2, 3),
+cells AS (SELECT domain, split, CAST(sum(n) AS BIGINT) AS n_images, CAST(sum(r) AS BIGINT) AS n_rejected, count(*) AS n_groups, count(*) FILTER (r > 0) AS n_unresolved,
+  count(*) FILTER (r = 0) AS n_candidates, CAST(sum(n) AS BIGINT) AS target FROM g GROUP BY 1, 2)"""
+
+
 @query(
     "ag6_cell_report",
-    f"""WITH RECURSIVE {SQL_SPLITS}, g AS (SELECT domain, split, group_id, count(*) AS n, max(CASE WHEN status <> '{K.STATUS_PASS}' THEN 1 ELSE 0 END) AS u FROM splits GROUP BY 1, 2, 3)
-       SELECT domain, split, CAST(sum(n) AS BIGINT) AS n_images, count(*) AS n_groups, CAST(sum(u) AS BIGINT) AS n_unresolved, CAST(count(*) - sum(u) AS BIGINT) AS n_candidates,
-         CAST(sum(n) - count(*) + sum(u) AS BIGINT) AS shortfall, CAST(sum(n) AS BIGINT) AS target,
-         round({B.Z_95} / (2 * sqrt(count(*) - sum(u) + {B.Z_95 * B.Z_95})), 6) AS wilson FROM g GROUP BY 1, 2""",
+    f"""WITH RECURSIVE {SQL_SPLITS}, {_CELLS} SELECT *, target - n_candidates AS shortfall, n_candidates >= 299 AS resolves_percent,
+         round(CASE WHEN n_candidates > 0 THEN 1 - {K.ONE_SIDED_ALPHA} ** (1.0 / n_candidates) END, 6) AS zero_fp_upper,
+         round({B.Z_95} / (2 * sqrt(n_candidates + {B.Z_95 * B.Z_95})), 6) AS wilson FROM cells""",
 )
 def ag6(spark, folder):
     splits, budgets = document_splits(spark, folder)
     report = A.cell_report(splits, budgets, F.col("status") != K.STATUS_PASS)
-    return report.withColumn("wilson", F.round(B.wilson_half_width("n_candidates"), 6))
+    return report.withColumns({"wilson": F.round(B.wilson_half_width("n_candidates"), 6), "zero_fp_upper": F.round("zero_fp_upper", 6)})
+
+
+_CLASSES = (K.POSITIVE_CONDITION, *K.NEGATIVE_CONDITIONS)
+
+
+@query(
+    "ag6_class_cells",
+    f"""WITH RECURSIVE {SQL_SPLITS}, {_CELLS} SELECT domain, split, class, target AS n_planned, n_candidates AS n_actual, n_images AS n_rows,
+         CASE WHEN target <> n_candidates THEN '{K.STATUS_SHORT_CELL}' ELSE '{K.STATUS_FULL_CELL}' END AS status
+       FROM cells, (VALUES {', '.join(f"('{c}')" for c in _CLASSES)}) t(class)""",
+)
+def ag6_classes(spark, folder):
+    splits, budgets = document_splits(spark, folder)
+    return A.class_cells(A.cell_report(splits, budgets, F.col("status") != K.STATUS_PASS), _CLASSES)
 
 
 @query(

@@ -6,9 +6,12 @@ each case ends once (completed or failed) and keeps the identity it was planned
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..operators.skew import range_lag
 from ..session import scratch_path
@@ -85,26 +88,41 @@ def _drain(stream: DataFrame, label: str, mode: str) -> DataFrame:
     return spark.read.schema(schema).parquet(target)
 
 
-def stream_replay(journal: DataFrame) -> DataFrame:
-    """Keyed state over a journal stream: last known (case_id, state, n_repeated, n_nonterminal).
+def _latest(log: DataFrame, key: str) -> DataFrame:
+    """The last update of every key in the log of a stream that ran in update mode."""
+    columns = [c for c in log.columns if c not in (key, "_batch")]
+    return log.groupBy(key).agg(F.max_by(F.struct(*columns), "_batch").alias("s")).select(key, "s.*")
+
 
-    The state is a streaming aggregate: the earliest terminal event by `seq` and two counts. It merges
-    inside each task first, so a case with a third of the events sends a few rows, and late or
-    repeated files cannot change which event ended a case.
+def stream_replay(planned: DataFrame, journal: DataFrame) -> DataFrame:
+    """`replay` over a journal stream, with every violation: one row per planned or journalled case.
+
+    Columns: case_id, state, n_repeated (ends after the first), n_nonterminal, rewritten, unexpected (a case that
+    nobody planned). The plan is a static side of the stream. The state of a case is an aggregate that merges
+    inside each task first, so a case with a third of the events sends a few rows; a micro-batch touches the
+    state of its own cases only, and late or repeated files cannot change which event ended a case.
     """
     terminal = F.col("status").isin(*TERMINAL)
-    updates = journal.groupBy("case_id").agg(
-        F.min_by("status", F.when(terminal, F.col("seq"))).alias("_end"),
+    plan = planned.select("case_id", F.col("identity").alias("_planned"), F.lit(True).alias("_known"))
+    end = F.when(terminal, F.col("seq"))
+    updates = journal.join(plan, "case_id", "left").groupBy("case_id").agg(
+        F.min_by("status", end).alias("_end"),
         F.count_if(terminal).alias("_n_terminal"),
         F.count_if(~terminal).alias("n_nonterminal"),
+        F.max(F.coalesce((F.col("identity") != F.col("_planned")), F.lit(False))).alias("rewritten"),
+        F.max(F.col("_known").isNull()).alias("unexpected"),
     ).select(
         "case_id",
         F.when(F.col("_n_terminal") > 0, F.col("_end")).otherwise("pending").alias("state"),
         F.greatest(F.col("_n_terminal") - 1, F.lit(0).cast("long")).alias("n_repeated"),
         "n_nonterminal",
+        "rewritten",
+        "unexpected",
     )
-    log = _drain(updates, "replay", "update")
-    return log.groupBy("case_id").agg(F.max_by(F.struct("state", "n_repeated", "n_nonterminal"), "_batch").alias("s")).select("case_id", "s.*")
+    seen = _latest(_drain(updates, "replay", "update"), "case_id")
+    silent = planned.select("case_id").join(seen, "case_id", "left_anti")
+    none, no = F.lit(0).cast("long"), F.lit(False)
+    return seen.unionByName(silent.select("case_id", F.lit("pending").alias("state"), none.alias("n_repeated"), none.alias("n_nonterminal"), no.alias("rewritten"), no.alias("unexpected")))
 
 
 def stream_snapshot(journal: DataFrame, by: list[str]) -> DataFrame:
@@ -114,51 +132,49 @@ def stream_snapshot(journal: DataFrame, by: list[str]) -> DataFrame:
 
 
 def stream_interrupted(events: DataFrame, key: str, time: str, is_final: Column, gap: str) -> DataFrame:
-    """Runs without a final record `gap` after their last event, by event time.
+    """One row per run without a final record: (`key`, started_at, last_at, n_events, timed_out).
 
-    The watermark closes a session once the stream has moved past it; only closed sessions are
-    reported. The timeout is an addition of this library.
+    A run is all events of its key: a final record after any pause ends it, and a run that is still open when
+    the stream has been read is reported as well. `timed_out` says whether the stream's clock (the latest event
+    of all) has reached `gap` after the run's last event. The state is one mergeable row per run.
     """
-    sessions = (
-        events.withColumn("_final", is_final)
-        .withColumn(time, F.col(time).cast("timestamp"))
-        .withWatermark(time, gap)
-        .groupBy(F.session_window(time, gap).alias("w"), key)
-        .agg(F.count_if("_final").alias("n_final"), F.count(F.lit(1)).alias("n_events"))
-        .filter("n_final = 0")
-        .select(
-            key,
-            F.col("w.start").cast("timestamp_ntz").alias("started_at"),
-            F.col("w.end").cast("timestamp_ntz").alias("timed_out_at"),
-            "n_events",
-        )
+    runs = events.withColumn("_final", is_final).groupBy(key).agg(
+        F.min(time).alias("started_at"), F.max(time).alias("last_at"), F.count(F.lit(1)).alias("n_events"), F.max("_final").alias("_final")
     )
-    return _drain(sessions, "interrupted", "append").drop("_batch")
+    log = _drain(runs, "interrupted", "update")
+    clock = log.agg(F.max("last_at").alias("_clock"))  # one row
+    open_runs = _latest(log, key).filter("not _final").crossJoin(F.broadcast(clock))
+    silent = F.col("last_at") + F.expr(f"INTERVAL {gap}") <= F.col("_clock")
+    return open_runs.select(key, "started_at", "last_at", "n_events", silent.alias("timed_out"))
+
+
+_CHANGE = StructType([StructField("key", StringType()), StructField("seq", LongType()), StructField("token", StringType())])
+_LAST = StructType([StructField("seq", LongType()), StructField("token", StringType())])
 
 
 def stream_changes(events: DataFrame, key: str, order: str, fingerprint: Column) -> DataFrame:
     """(key, seq, token) for events whose token differs from the last one of the key.
 
-    Every micro-batch is compared with the last token of each key, which is kept as one small row per
-    key in a table of the batch. A batch that is run again writes the same rows.
+    The last (seq, token) of a key is keyed state of the stream: a micro-batch reads and writes the state of
+    its own keys only, whatever the number of silent ones. Events of one micro-batch are ordered by seq; an
+    event that arrives after a later one of its key is compared with the newest token known by then. A task
+    holds the events of one key and micro-batch, two narrow columns each.
     """
-    spark = events.sparkSession
-    target, memory, mark = (scratch_path(spark, label) for label in ("changes", "last-tokens", "changes-log"))
-    marked = events.select(
-        F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("seq"), fingerprint.alias("token")
-    )
-
-    def compare(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.withColumn("_new", F.lit(True))
-        if batch_id > 0:
-            old = spark.read.parquet(f"{memory}/batch={batch_id - 1}").withColumn("_new", F.lit(False))
-            fresh = fresh.unionByName(old)
-        found = changes(fresh.drop("_new"), "key", "seq", F.col("token"))
-        known = fresh.filter(~F.col("_new")).select("key", "seq")
-        found.join(known, ["key", "seq"], "left_anti").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-        last = F.max_by(F.struct("seq", "token"), "seq").alias("l")
-        fresh.groupBy("key").agg(last).select("key", "l.*").write.mode("overwrite").parquet(f"{memory}/batch={batch_id}")
-
-    query = marked.writeStream.option("checkpointLocation", mark).trigger(availableNow=True).foreachBatch(compare).start()
-    query.awaitTermination()
-    return spark.read.schema("key string, seq long, token string").parquet(target).select("key", "seq", "token")
+    marked = events.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("seq"), fingerprint.alias("token"))
+
+    def compare(name: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        before = rows["token"].shift()
+        last = state.getOption
+        if last is not None:
+            before.iloc[0] = last[1]
+        same = (rows["token"] == before) | (rows["token"].isna() & before.isna())
+        if last is None:
+            same.iloc[0] = False
+        newest = rows.iloc[-1]
+        if last is None or newest["seq"] >= last[0]:
+            state.update((int(newest["seq"]), newest["token"]))
+        yield rows.loc[~same, ["key", "seq", "token"]]
+
+    found = marked.groupBy("key").applyInPandasWithState(compare, _CHANGE, _LAST, "append", "NoTimeout")
+    return _drain(found, "changes", "append").drop("_batch")

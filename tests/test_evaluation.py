@@ -180,9 +180,18 @@ def test_streams_over_several_files_equal_the_batch(spark, tmp_path):
         spark.createDataFrame(rows[50 * k : 50 * k + 50], schema).coalesce(1).write.mode("append").parquet(folder)
     source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     batch = spark.createDataFrame(rows, schema)
-    planned = batch.select("case_id").distinct().withColumn("identity", F.lit("id"))
-    want = {(r.case_id, r.state, r.n_repeated, r.n_nonterminal) for r in J.replay(planned, batch).collect()}
-    assert {(r.case_id, r.state, r.n_repeated, r.n_nonterminal) for r in J.stream_replay(source()).collect()} == want
+    planned = spark.createDataFrame([(c, "other" if c == "c1" else "id") for c in ("c0", "c1", "c2", "c3", "silent")], "case_id string, identity string")
+    names = ("case_id", "state", "n_repeated", "n_nonterminal", "rewritten")
+    streamed = J.stream_replay(planned, source()).collect()
+    assert {tuple(r[n] for n in names) for r in streamed if not r.unexpected} == {tuple(r[n] for n in names) for r in J.replay(planned, batch).collect()}
+    assert {r.case_id for r in streamed if r.unexpected} == {"c4", "c5"} and {r.case_id for r in streamed if r.rewritten} == {"c1"}
+    runs = {}
+    for case, seq, status, _ in rows:
+        runs.setdefault(case, []).append((seq, status))
+    timed = lambda: source().withColumn("at", F.timestamp_seconds("seq"))
+    final = F.col("status").isin("failed") & (F.col("seq") > 170)
+    got = {r.case_id: (r.n_events, r.timed_out) for r in J.stream_interrupted(timed(), "case_id", "at", final, "5 seconds").collect()}
+    assert got == {c: (len(e), e[-1][0] + 5 <= 199) for c, e in runs.items() if not any(s == "failed" and q > 170 for q, s in e)}
     counts = {(r.status, r.n_events) for r in J.stream_snapshot(source(), ["status"]).collect()}
     assert counts == {(r.status, r["count"]) for r in batch.groupBy("status").count().collect()}
     wanted = {(r.case_id, r.seq) for r in J.changes(batch, "case_id", "seq", F.col("status"), slices=7).collect()}
