@@ -3,7 +3,7 @@
 * `hashed_rank`    row numbers in the order of a uniform digest, with no global sort in one task
 * `range_rank`, `range_lag`  the same idea for numeric orders: numbers and predecessors by slices
 * `join_per_key`   join of rows with one row per key, hot keys broadcast, the rest shuffled
-* `member_digest`  one digest per group over its sorted members, groups of any size
+* `digest_tree`, `member_digest`  one digest per group over its members, by a radix tree of bounded nodes
 * `exact_quantiles` exact interpolated percentiles without holding a group in one buffer
 """
 
@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # A key with more rows than this is joined by broadcast. At most rows / HOT_ROWS keys can be that
 # frequent, which bounds the broadcast: 10^12 rows allow 500,000 of them.
 HOT_ROWS = 2_000_000
@@ -64,11 +66,14 @@ def _range_slices(df: DataFrame, order: str, slices: int) -> DataFrame:
     """
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = df.agg(F.percentile_approx(order, shares, 50 * slices).alias("_cuts"))
-    # Binary search: the number of cuts at or below the value.
+    return df.crossJoin(F.broadcast(cuts)).withColumn("_slice", _passed_cuts(F.col(order), slices)).drop("_cuts")  # `cuts` is one row
+
+
+def _passed_cuts(value: Column, slices: int) -> Column:
+    """Number of the sorted `_cuts` at or below the value, by binary search."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(slices.bit_length()))])
-    passed = lambda at, step: F.get("_cuts", at + step - 1) <= F.col(order)
-    number = F.aggregate(steps, F.lit(0), lambda at, step: F.when(passed(at, step), at + step).otherwise(at))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("_slice", number).drop("_cuts")  # `cuts` is one row
+    passed = lambda at, step: F.get("_cuts", at + step - 1) <= value
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(passed(at, step), at + step).otherwise(at))
 
 
 def range_rank(
@@ -139,28 +144,66 @@ def _tagged(tag: str, body: Column) -> Column:
     return F.sha2(F.concat(F.lit(tag).cast("binary"), F.unhex(F.lit("00")), body.cast("binary")), 256)
 
 
-def digest_tree(df: DataFrame, group: Sequence[str], digest: str) -> DataFrame:
-    """Fold 64-digit hex digests to one per group, in three levels of at most 65,536-way fan-in.
+# Most entries that one node of a digest tree holds; inner nodes have at most sixteen.
+FAN_IN = 256
+
+
+def digest_tree(df: DataFrame, group: Sequence[str], digest: str, fan_in: int = FAN_IN) -> DataFrame:
+    """Fold 64-digit hex digests to one per group: (*group, tree_sha256, n_members).
 
-    Equal digests are first collapsed to digest:count, so repeats cannot fill a slice. Input order
-    and partitioning do not matter.
+    The tree is a radix tree over the hex digits, and its depth follows the members: a prefix with at most
+    `fan_in` distinct digests is a leaf, any other has one child per next digit. So no node holds more than
+    `fan_in` entries at any number of members, and the result depends on the members alone. Equal digests
+    count as one entry digest:count; input order and partitioning do not matter. Rows without a group key or
+    without a digest are in no tree.
     """
-    group = list(group)
-    unique = df.groupBy(*group, digest).agg(F.count(F.lit(1)).alias("_n"))
-    level = unique.select(
-        *group,
-        F.substring(digest, 1, 4).alias("_p"),
-        F.concat_ws(":", F.col(digest), F.col("_n")).alias("_d"),
-        F.col("_n"),
+    keys = list(group) or ["_g"]
+    source = (df if group else df.withColumn("_g", F.lit(0))).dropna(subset=[*keys, digest])
+    unique = cut(source.groupBy(*keys, digest).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(digest, "_d"), "digests")
+    sizes = unique.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_total"))
+    entry = F.concat_ws(":", "_d", "_n")
+    most = sizes.agg(F.max("_size")).first()[0] or 0
+    joined = lambda kind: F.sha2(F.concat(F.lit(kind + "\n"), F.array_join(F.array_sort(F.collect_list("_e")), "\n")), 256)
+    if most <= fan_in:
+        roots = unique.withColumn("_e", entry).groupBy(*keys).agg(joined("leaf").alias("tree_sha256"), F.sum("_n").alias("n_members"))
+        return roots if group else roots.drop("_g")
+    # Digits after which every prefix is a leaf: digests are uniform, so the first guess nearly always holds.
+    depth = max(1, math.ceil(math.log(4 * most / fan_in, 16)))
+    while True:
+        counts = cut(unique.groupBy(*keys, F.substring("_d", 1, depth).alias("_p")).agg(F.count(F.lit(1)).alias("_c")), "prefixes")
+        if counts.filter(F.col("_c") > fan_in).isEmpty():
+            break
+        depth += 1
+    # A leaf is the shortest prefix with few members. Counts of shorter prefixes are sums over the longest ones,
+    # at most 16**depth rows per group.
+    length = F.lit(depth)
+    for digits in reversed(range(depth)):
+        short = counts.groupBy(*keys, F.substring("_p", 1, digits).alias("_q")).agg(F.sum("_c").alias(f"_c{digits}"))
+        counts = counts.withColumn("_q", F.substring("_p", 1, digits)).join(short, [*keys, "_q"]).drop("_q")
+        length = F.when(F.col(f"_c{digits}") <= fan_in, digits).otherwise(length)
+    leaves = counts.select(*keys, "_p", length.alias("_l"))
+    level = (
+        unique.withColumn("_p", F.substring("_d", 1, depth))
+        .join(leaves, [*keys, "_p"])
+        .select(*keys, F.expr("substring(_p, 1, _l)").alias("_p"), entry.alias("_e"))
+        .groupBy(*keys, "_p")
+        .agg(joined("leaf").alias("_d"))
     )
-    for width in (4, 2, 0):
-        prefix = F.substring("_p", 1, width) if width else F.lit("")
-        level = (
-            level.groupBy(*group, prefix.alias("_q"))
-            .agg(F.array_sort(F.collect_list(F.concat_ws(":", "_p", "_d"))).alias("_l"), F.sum("_n").alias("_n"))
-            .select(*group, F.col("_q").alias("_p"), F.sha2(F.array_join("_l", "\n"), 256).alias("_d"), "_n")
+    # A long prefix may be a leaf at any depth: nodes climb digit by digit, those already higher wait.
+    for digits in reversed(range(depth)):
+        below = F.length("_p") > digits
+        folded = (
+            level.filter(below)
+            .select(*keys, F.substring("_p", 1, digits).alias("_q"), F.concat_ws(":", F.substring("_p", digits + 1, 1), "_d").alias("_e"))
+            .groupBy(*keys, "_q")
+            .agg(joined("node").alias("_d"))
+            .withColumnRenamed("_q", "_p")
         )
-    return level.select(*group, F.col("_d").alias("tree_sha256"), F.col("_n").alias("n_members"))
+        level = level.filter(~below).unionByName(folded)
+        if digits:
+            level = cut(level, "tree-level")
+    out = level.join(sizes, keys).select(*keys, F.col("_d").alias("tree_sha256"), F.col("_total").alias("n_members"))
+    return out if group else out.drop("_g")
 
 
 def member_digest(members: DataFrame, group: str, member: str, tag: str) -> DataFrame:
@@ -173,74 +216,88 @@ def member_digest(members: DataFrame, group: str, member: str, tag: str) -> Data
     return digest_tree(hashed, [group], "_h").select(group, _tagged(tag, F.col("tree_sha256")).alias("group_id"), "n_members")
 
 
+# Most distinct values of a key that one window task orders, and cells per turn of narrowing.
+WINDOW_VALUES = 10_000
+CELLS = 512
+
+
 def exact_quantiles(
-    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float], accuracy: int = 10_000
+    df: DataFrame, group: Sequence[str], value: str, probabilities: dict[str, float], limit: int = WINDOW_VALUES, cells: int = CELLS
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, one column per entry of `probabilities`.
 
-    A sketch with rank error n/accuracy brackets each wanted rank; only values inside a bracket are
-    then counted and cumulated. The sketch merges map-side, and the exact part handles about
-    6n/accuracy values of a group, collapsed to distinct values first. Groups of at most ten times
-    `accuracy` rows need no bracket. A bracket that misses its rank fails the job.
+    Values are collapsed to (value, count) first. Keys of at most `limit` distinct values are cumulated in one
+    window. For larger keys the bracket of every wanted rank is narrowed in turns, all keys at once: quantiles
+    of a sketch cut the values of a bracket in cells, cells are counted exactly, and the cell that holds the
+    rank is the next bracket, until it has at most `limit` distinct values. Cells only have to be even, never
+    right, so no rank can be missed, and no task orders more than max(`limit`, `cells`) rows.
     """
-    whole = 10 * accuracy
     keys = list(group) or ["_g"]
-    margin = 3.0 / accuracy
     source = df if group else df.withColumn("_g", F.lit(0))
     data = source.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    brackets = [
-        F.percentile_approx(
-            "_v", F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))), accuracy
-        ).alias(f"_b{i}")
-        for i, q in enumerate(probabilities.values())
+    counts = cut(data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_d"))
+    position = {name: (F.col("_n") - 1) * F.lit(float(q)) for name, q in probabilities.items()}
+    lower = {name: F.floor(p) for name, p in position.items()}
+    upper = {name: F.least(F.floor(p) + 1, F.col("_n") - 1) for name, p in position.items()}
+
+    def mixed(name: str, low: Column, up: Column) -> Column:
+        return (low + (up - low) * (position[name] - lower[name])).alias(name)
+
+    run = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    small = counts.join(sizes.filter(F.col("_d") <= limit), keys).withColumn("_cum", F.sum("_c").over(run))
+    first = lambda rank: F.min(F.when(F.col("_cum") > rank, F.col("_v")))
+    wide = small.groupBy(*keys, "_n").agg(*[f(n) for n in probabilities for f in (lambda n: first(lower[n]).alias(f"_l_{n}"), lambda n: first(upper[n]).alias(f"_u_{n}"))])
+    out = wide.select(*keys, *[mixed(n, F.col(f"_l_{n}"), F.col(f"_u_{n}")) for n in probabilities])
+    large = sizes.filter(F.col("_d") > limit)
+    if not large.isEmpty():
+        found = _values_at_ranks(counts, _rank_targets(large, keys, lower, upper), keys, limit, cells)
+        at = lambda name, side: F.max(F.when((F.col("_i") == name) & (F.col("_side") == side), F.col("_v")))
+        wide = found.groupBy(*keys).agg(*[f(n) for n in probabilities for f in (lambda n: at(n, 0).alias(f"_l_{n}"), lambda n: at(n, 1).alias(f"_u_{n}"))])
+        wide = wide.join(large, keys)
+        out = out.unionByName(wide.select(*keys, *[mixed(n, F.col(f"_l_{n}"), F.col(f"_u_{n}")) for n in probabilities]))
+    return out if group else out.drop("_g")
+
+
+def _rank_targets(sizes: DataFrame, keys: list[str], lower: dict[str, Column], upper: dict[str, Column]) -> DataFrame:
+    """One row per key, percentile and side: the 0-based rank whose value is wanted, and its bracket so far."""
+    entries = [
+        F.struct(F.lit(name).alias("_i"), F.lit(side).alias("_side"), rank.cast("long").alias("_rank"))
+        for name in lower
+        for side, rank in enumerate((lower[name], upper[name]))
     ]
-    wanted = (
-        data.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), *brackets)
-        .select(
-            *keys,
-            "_n",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("_i"),
-                            ((F.col("_n") - 1) * F.lit(float(q))).alias("_pos"),
-                            F.when(F.col("_n") > whole, F.col(f"_b{i}")[0]).otherwise(-math.inf).alias("_lo"),
-                            F.when(F.col("_n") > whole, F.col(f"_b{i}")[1]).otherwise(math.inf).alias("_hi"),
-                        )
-                        for i, q in enumerate(probabilities.values())
-                    ]
-                )
-            ).alias("_w"),
+    bounds = {"_lo": F.lit(-math.inf), "_hi": F.lit(math.inf), "_below": F.lit(0).cast("long")}
+    return sizes.select(*keys, "_d", F.explode(F.array(*entries)).alias("_t")).select(*keys, "_d", "_t.*").withColumns(bounds)
+
+
+def _values_at_ranks(counts: DataFrame, targets: DataFrame, keys: list[str], limit: int, cells: int) -> DataFrame:
+    """The value at every target's rank, by narrowing its bracket [_lo, _hi]; `_below` rows lie under `_lo`."""
+    bracket = [*keys, "_lo", "_hi", "_below"]
+    targets = cut(targets, "targets")
+    shares = F.array(*[F.lit(i / cells) for i in range(1, cells)])
+    within = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    while True:
+        open_ = targets.filter(F.col("_d") > limit)
+        if open_.isEmpty():
+            break
+        # Few brackets per key: the planner broadcasts them, or the adaptive skew join splits a hot key.
+        inside = counts.join(open_.select(*bracket).distinct(), keys).filter(within)
+        cuts = inside.groupBy(*bracket).agg(F.percentile_approx("_v", shares, 10 * cells).alias("_cuts"))
+        parts = (
+            inside.join(cuts, bracket)
+            .withColumn("_cell", _passed_cuts(F.col("_v"), cells))
+            .groupBy(*bracket, "_cell")
+            .agg(F.sum("_c").alias("_w"), F.count(F.lit(1)).alias("_cd"), F.min("_v").alias("_clo"), F.max("_v").alias("_chi"))
         )
-        .select(*keys, "_n", "_w.*")
-    )
-    counts = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    # `wanted` holds a few rows per key: broadcast by the planner if it is small; otherwise keys are
-    # many, and the adaptive skew join splits the partition of a hot one.
-    joined = counts.join(wanted, keys)
-    below = joined.groupBy(*keys, "_i").agg(
-        F.sum(F.when(F.col("_v") < F.col("_lo"), F.col("_c")).otherwise(F.lit(0))).alias("_below")
-    )
-    inside = joined.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    run = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.join(below, [*keys, "_i"]).withColumn("_cum", F.col("_below") + F.sum("_c").over(run))
-    lower = F.floor("_pos")
-    upper = F.least(lower + 1, F.col("_n") - 1)
-    picked = ranked.groupBy(*keys, "_i").agg(
-        F.min(F.when(F.col("_cum") > lower, F.col("_v"))).alias("_low"),
-        F.min(F.when(F.col("_cum") > upper, F.col("_v"))).alias("_up"),
-        F.max(F.col("_pos") - lower).alias("_f"),
-        F.max((F.col("_below") > lower).cast("int")).alias("_missed"),
-    )
-    exact = F.when(
-        (F.col("_missed") == 1) | F.col("_low").isNull() | F.col("_up").isNull(),
-        F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-    ).otherwise(F.col("_low") + (F.col("_up") - F.col("_low")) * F.col("_f"))
-    wide = (
-        picked.withColumn("_q", exact)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(probabilities)])
-    )
-    return wide if group else wide.drop("_g")
+        upto = Window.partitionBy(*bracket).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)  # at most `cells` rows
+        parts = parts.withColumn("_upto", F.col("_below") + F.sum("_w").over(upto))
+        holds = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_w"))
+        narrowed = open_.join(parts, bracket).filter(holds).select(
+            *keys, F.col("_cd").alias("_d"), "_i", "_side", "_rank", F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi"), (F.col("_upto") - F.col("_w")).alias("_below")
+        )
+        targets = cut(targets.filter(F.col("_d") <= limit).unionByName(narrowed), "targets")
+    inside = counts.join(targets.select(*bracket).distinct(), keys).filter(within)
+    run = Window.partitionBy(*bracket).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)  # at most `limit` rows
+    ranked = inside.withColumn("_upto", F.col("_below") + F.sum("_c").over(run))
+    holds = (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))
+    return targets.join(ranked, bracket).filter(holds).select(*keys, "_i", "_side", "_v")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import bounds as B
 from ..operators import allocate as A
 from ..operators import graph, stats
-from ..operators.skew import digest_tree, member_digest
+from ..operators.skew import FAN_IN, digest_tree, member_digest
 from ..session import cut
 from .q_joins import SQL_FINGERPRINTS
 from .registry import query, table
@@ -39,18 +37,30 @@ reach AS (SELECT id AS src, id AS dst FROM nodes UNION SELECT r.src, b.dst FROM
 comp AS (SELECT src AS id, min(dst) AS component FROM reach GROUP BY 1)"""
 
 
-_TREE = """unique_rows AS (SELECT g, d, count(*) AS n FROM hashed GROUP BY 1, 2),
-l0 AS (SELECT g, substr(d, 1, 4) AS p, d || ':' || n AS d, n FROM unique_rows),
-l1 AS (SELECT g, substr(p, 1, 4) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l0 GROUP BY 1, 2),
-l2 AS (SELECT g, substr(p, 1, 2) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l1 GROUP BY 1, 2),
-l3 AS (SELECT g, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l2 GROUP BY 1)"""
+def tree_sql(name: str, depth: int = 5) -> str:
+    """CTEs that fold `<name>_hashed` (g, d) to `<name>_root` (g, d, n) by the rule of the digest tree."""
+    t = name + "_"
+    prefix = f"""{t}unique AS (SELECT g, d, count(*) AS n FROM {t}hashed GROUP BY 1, 2),
+{t}counts AS (SELECT g, l, substr(d, 1, l) AS p, count(*) AS c FROM {t}unique, (SELECT CAST(range AS INTEGER) AS l FROM range({depth + 1})) GROUP BY 1, 2, 3),
+{t}leaf AS (SELECT a.g, a.l, a.p FROM {t}counts a LEFT JOIN {t}counts b ON b.g = a.g AND b.l = a.l - 1 AND b.p = substr(a.p, 1, a.l - 1)
+  WHERE a.c <= {FAN_IN} AND (a.l = 0 OR b.c > {FAN_IN})),
+{t}leaves AS (SELECT f.g, f.p, sha256('leaf' || chr(10) || string_agg(u.d || ':' || u.n, chr(10) ORDER BY u.d || ':' || u.n)) AS d
+  FROM {t}leaf f JOIN {t}unique u ON u.g = f.g AND substr(u.d, 1, f.l) = f.p GROUP BY 1, 2),
+{t}level{depth} AS (SELECT * FROM {t}leaves)"""
+    steps = [
+        f"""{t}level{k} AS (SELECT g, p, d FROM {t}level{k + 1} WHERE length(p) <= {k} UNION ALL
+  SELECT g, substr(p, 1, {k}), sha256('node' || chr(10) || string_agg(substr(p, {k + 1}, 1) || ':' || d, chr(10) ORDER BY substr(p, {k + 1}, 1)))
+  FROM {t}level{k + 1} WHERE length(p) > {k} GROUP BY 1, 2)"""
+        for k in reversed(range(depth))
+    ]
+    root = f"{t}root AS (SELECT g, d, n FROM {t}level0 JOIN (SELECT g, CAST(sum(n) AS BIGINT) AS n FROM {t}unique GROUP BY 1) USING (g))"
+    return ", ".join([prefix, *steps, root])
 
 
 def _named_sql(tag: str) -> str:
     """Ids of the components in `comp`: the tagged digest of the digest tree over their members."""
-    tree = re.sub(r"\b(hashed|unique_rows|l[0-3])\b", r"id_\1", _TREE)
-    return f"""id_hashed AS (SELECT component AS g, sha256(id) AS d FROM comp), {tree},
-named AS (SELECT g AS component, {sql_text_digest(tag, 'd')} AS group_id, CAST(n AS BIGINT) AS n_members FROM id_l3)"""
+    return f"""id_hashed AS (SELECT component AS g, sha256(id) AS d FROM comp), {tree_sql('id')},
+named AS (SELECT g AS component, {sql_text_digest(tag, 'd')} AS group_id, n AS n_members FROM id_root)"""
 
 
 def frame_nodes(spark, folder):
@@ -195,16 +205,16 @@ def gr7(spark, folder):
 
 @query(
     "ag4_group_ids",
-    f"""WITH {SQL_NODES}, hashed AS (SELECT prompt_group AS g, sha256(id) AS d FROM nodes), {_TREE}
-       SELECT g AS prompt_group, {sql_text_digest(K.TAG_BYTE_TEXT_COMPONENT, 'd')} AS group_id, CAST(n AS BIGINT) AS n_members FROM l3""",
+    f"""WITH {SQL_NODES}, t_hashed AS (SELECT prompt_group AS g, sha256(id) AS d FROM nodes WHERE prompt_group IS NOT NULL), {tree_sql('t')}
+       SELECT g AS prompt_group, {sql_text_digest(K.TAG_BYTE_TEXT_COMPONENT, 'd')} AS group_id, n AS n_members FROM t_root""",
 )
 def ag4(spark, folder):
-    return member_digest(nodes(spark, folder), "prompt_group", "id", K.TAG_BYTE_TEXT_COMPONENT)
+    return member_digest(nodes(spark, folder).filter("prompt_group IS NOT NULL"), "prompt_group", "id", K.TAG_BYTE_TEXT_COMPONENT)
 
 
 @query(
     "ag4_digest_tree",
-    f"WITH hashed AS (SELECT l_returnflag AS g, sha256(l_orderkey || ':' || l_linenumber) AS d FROM lineitem), {_TREE} SELECT g, d AS tree_sha256, CAST(n AS BIGINT) AS n_members FROM l3",
+    f"WITH t_hashed AS (SELECT l_returnflag AS g, sha256(l_orderkey || ':' || l_linenumber) AS d FROM lineitem), {tree_sql('t')} SELECT g, d AS tree_sha256, n AS n_members FROM t_root",
 )
 def ag4_tree(spark, folder):
     """Ids of groups far too large for one member list: a third of lineitem each."""

@@ -14,6 +14,7 @@ from ..session import cut, scratch_path
 from ..sources import archive as Z
 from ..sources import files as S
 from .pictures import png_table
+from .q_graph import tree_sql
 from .registry import query, table
 from .views import SQL_RECORDS
 
@@ -184,11 +185,8 @@ def io10(spark, folder):
 
 @query(
     "io11_table_digest",
-    """WITH hashed AS (SELECT sha256(to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey})) AS d FROM customer),
-       u AS (SELECT d, count(*) AS n FROM hashed GROUP BY 1), l0 AS (SELECT substr(d, 1, 4) AS p, d || ':' || n AS d, n FROM u),
-       l1 AS (SELECT p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l0 GROUP BY 1),
-       l2 AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS d, sum(n) AS n FROM l1 GROUP BY 1)
-       SELECT sha256(string_agg(p || ':' || d, chr(10) ORDER BY p || ':' || d)) AS tree_sha256, CAST(sum(n) AS BIGINT) AS n_members FROM l2""",
+    f"""WITH t_hashed AS (SELECT 0 AS g, sha256(to_json({{'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey}})) AS d FROM customer),
+       {tree_sql('t')} SELECT d AS tree_sha256, n AS n_members FROM t_root""",
 )
 def io11(spark, folder):
     return S.table_digest(table(spark, folder, "customer"), ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"])

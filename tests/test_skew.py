@@ -40,6 +40,42 @@ def test_member_digest_is_one_rule_free_of_order(spark):
     assert more["a"] == one["a"][0] and more["b"] != one["b"][0]
 
 
+def tree_by_rule(entries, fan, depth=0, prefix=""):
+    """The digest tree of (digest, count) pairs, written as its definition."""
+    mine = sorted(f"{d}:{n}" for d, n in entries if d.startswith(prefix))
+    if len(mine) <= fan:
+        return hashlib.sha256(("leaf\n" + "\n".join(mine)).encode()).hexdigest()
+    below = [(h, tree_by_rule(entries, fan, depth + 1, prefix + h)) for h in "0123456789abcdef" if any(d.startswith(prefix + h) for d, _ in entries)]
+    return hashlib.sha256(("node\n" + "\n".join(f"{h}:{d}" for h, d in below)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("fan", [1, 4, 40, 256])
+def test_digest_tree_by_its_rule(spark, fan):
+    """Nodes of bounded size, skewed prefixes, repeats; a group's digest does not depend on other groups."""
+    hexed = lambda x: hashlib.sha256(str(x).encode()).hexdigest()
+    groups = {"big": [hexed(i) for i in range(700)] + [hexed(3)] * 5, "small": [hexed("a"), hexed("b")], "close": ["abc" + hexed(i)[3:] for i in range(60)]}
+    rows = [(g, d) for g, ds in groups.items() for d in ds] + [(None, hexed(1)), ("big", None)]
+    df = spark.createDataFrame(rows, "g string, d string").repartition(5)
+    got = {r.g: (r.tree_sha256, r.n_members) for r in skew.digest_tree(df, ["g"], "d", fan).collect()}
+    assert got == {g: (tree_by_rule([(d, ds.count(d)) for d in set(ds)], fan), len(ds)) for g, ds in groups.items()}
+    alone = skew.digest_tree(df.filter("g = 'small'").select("d"), [], "d", fan).first()
+    assert (alone.tree_sha256, alone.n_members) == got["small"]
+
+
+def test_quantiles_of_a_hot_key_in_small_windows(spark, monkeypatch):
+    """90 % of the rows in one key: no window sees more rows of a key than the limit."""
+    rows = spark.range(120_000).select(F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"), (F.xxhash64("id") % 10**9).cast("double").alias("v"))
+    seen = []
+    plain = Window.partitionBy
+    monkeypatch.setattr(skew.Window, "partitionBy", lambda *c: seen.append(c) or plain(*c))
+    got = {r.g: (r.a, r.b) for r in skew.exact_quantiles(rows, ["g"], "v", {"a": 0.025, "b": 0.5}, 100, 16).collect()}
+    values = {g: np.array([r.v for r in rows.filter(F.col("g") == g).collect()]) for g in ("hot", "cold")}
+    for g, v in values.items():
+        assert got[g] == (pytest.approx(np.quantile(v, 0.025), abs=1e-6), pytest.approx(np.quantile(v, 0.5), abs=1e-6))
+    # Windows over large keys are per bracket, never per key alone.
+    assert seen[0] == ("g",) and all("_lo" in c for c in seen[1:]) and len(seen) > 2
+
+
 @pytest.mark.parametrize("accuracy", [50, 10_000])
 def test_exact_quantiles(spark, accuracy):
     rng = np.random.default_rng(1)
