@@ -11,7 +11,7 @@ from .. import constants as K
 from ..functions.keys import as_bytes, text_digest, uid_hash
 from ..session import cut, drop_cut
 from .checks import ContractViolation, duplicate_keys, require_none
-from .skew import hashed_rank, join_per_key
+from .skew import hashed_rank, join_per_key, range_scan
 
 # Up to this many rows per key a row_number filter is pushed below the shuffle by the optimizer.
 GROUP_LIMIT = 1_000
@@ -142,7 +142,8 @@ def cohort_shortfall(cohort: DataFrame, domains: DataFrame, domain: str, per_dom
 def shortest_prefix(parts: DataFrame, rows: DataFrame, part: str, group: str, target: int, rows_per_part: int | None = None) -> DataFrame:
     """Ranked parts with new and cumulated groups, and which belong to the shortest sufficient prefix.
 
-    `parts` (part, part_rank) is the short candidate list; every candidate is counted, used or not.
+    `parts` (part, part_rank) are the candidates; `rows` are all their rows, with a null group where a row
+    does not qualify. Every candidate is counted, used or not.
     Status: ready, blocked_missing, blocked_incomplete or blocked_insufficient.
     """
     listed = parts.select(part, "part_rank")
@@ -150,23 +151,20 @@ def shortest_prefix(parts: DataFrame, rows: DataFrame, part: str, group: str, ta
     firsts = candidates.filter(F.col(group).isNotNull()).groupBy(group).agg(F.min("part_rank").alias("part_rank"))
     fresh = firsts.groupBy("part_rank").agg(F.count(F.lit(1)).alias("new_groups"))
     seen = candidates.groupBy(part).agg(F.count(F.lit(1)).alias("n_rows"))
-    running = Window.partitionBy(F.lit(0)).orderBy("part_rank").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(F.lit(0))
-    table = (
-        listed.join(fresh, "part_rank", "left")
-        .join(seen, part, "left")
-        .na.fill(0, ["new_groups", "n_rows"])
-        .withColumn("total_groups", F.sum("new_groups").over(running))
+    counted = cut(listed.join(fresh, "part_rank", "left").join(seen, part, "left").na.fill(0, ["new_groups", "n_rows"]), "parts")
+    table = cut(range_scan(counted, [], "part_rank", "new_groups", "total_groups"), "prefix")
+    partial = F.lit(False) if rows_per_part is None else F.max(F.col("n_rows") != rows_per_part)
+    verdict = table.agg(  # one row
+        F.min(F.when(F.col("total_groups") >= target, F.col("part_rank"))).alias("_need"),
+        F.max(F.col("n_rows") == 0).alias("_missing"),
+        partial.alias("_partial"),
     )
-    need = F.min(F.when(F.col("total_groups") >= target, F.col("part_rank"))).over(whole)
-    missing = F.max((F.col("n_rows") == 0).cast("int")).over(whole) == 1
-    partial = F.lit(False) if rows_per_part is None else F.max((F.col("n_rows") != rows_per_part).cast("int")).over(whole) == 1
     status = (
-        F.when(missing, "blocked_missing").when(partial, "blocked_incomplete").when(need.isNull(), "blocked_insufficient").otherwise("ready")
-    )
-    return table.withColumn("status", status).withColumn(
-        "selected", F.coalesce((F.col("status") == "ready") & (F.col("part_rank") <= need), F.lit(False))
+        F.when(F.col("_missing"), "blocked_missing").when(F.col("_partial"), "blocked_incomplete").when(F.col("_need").isNull(), "blocked_insufficient").otherwise("ready")
     )
+    judged = table.crossJoin(F.broadcast(verdict)).withColumn("status", status)
+    chosen = F.coalesce((F.col("status") == "ready") & (F.col("part_rank") <= F.col("_need")), F.lit(False))
+    return judged.withColumn("selected", chosen).drop("_need", "_missing", "_partial")
 
 
 def propose_sources(members: DataFrame, target: int) -> tuple[DataFrame, DataFrame]:

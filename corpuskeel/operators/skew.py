@@ -1,7 +1,7 @@
 """Building blocks that stay distributed when one key holds a large share of all rows.
 
 * `hashed_rank`    row numbers in the order of a uniform digest, with no global sort in one task
-* `range_rank`, `range_lag`  the same idea for numeric orders: numbers and predecessors by slices
+* `range_rank`, `range_lag`, `range_scan`  the same idea for numeric orders: numbers, predecessors, running folds
 * `join_per_key`   join of rows with one row per key, hot keys broadcast, the rest shuffled
 * `digest_tree`, `member_digest`  one digest per group over its members, by a radix tree of bounded nodes
 * `exact_quantiles` exact interpolated percentiles without holding a group in one buffer
@@ -120,6 +120,29 @@ def range_lag(df: DataFrame, by: Sequence[str], order: str, value: str, name: st
     )
 
 
+def range_scan(
+    df: DataFrame, by: Sequence[str], order: str, value: str, name: str, ties: Sequence[str] = (), how: str = "sum", slices: int = 1024
+) -> DataFrame:
+    """Running sum or maximum of `value` per key in (`order`, *`ties`) order, the row itself included.
+
+    A segmented scan in two passes: every slice of the value range is folded to one number, the numbers of
+    the slices before it are carried in, and rows are cumulated inside their slice only.
+    """
+    by = list(by)
+    fold = {"sum": F.sum, "max": F.max}[how]
+    sliced = _range_slices(df, order, slices)
+    per_slice = sliced.groupBy(*by, "_slice").agg(fold(value).alias("_fold"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most `slices` rows
+    carried = per_slice.select(*by, "_slice", fold("_fold").over(before).alias("_carried"))
+    if not by:
+        carried = F.broadcast(carried)  # at most `slices` rows
+    inside = Window.partitionBy(*by, "_slice").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.withColumn("_local", fold(value).over(inside)).join(carried, [*by, "_slice"])
+    # Both folds skip nulls: the first slice has nothing to carry.
+    whole = F.greatest("_local", "_carried") if how == "max" else F.coalesce(F.col("_local") + F.col("_carried"), "_local", "_carried")
+    return local.withColumn(name, whole).drop("_slice", "_local", "_carried")
+
+
 def join_per_key(
     rows: DataFrame,
     per_key: DataFrame,

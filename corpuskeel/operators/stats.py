@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .skew import exact_quantiles, range_rank
+from .skew import exact_quantiles, join_per_key, range_scan
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -105,34 +106,30 @@ def paired_effect(differences: DataFrame) -> DataFrame:
     ).select("n", "mean_difference", F.when(F.col("_sd") > 0, F.col("mean_difference") / F.col("_sd")).alias("cohens_dz"))
 
 
-def bootstrap_draws(units: DataFrame, unit: str, n_units: int, samples: int, seed: int) -> DataFrame:
-    """Long table (sample, position) of drawn unit positions: position = md5(seed:sample:i) mod n.
+# Share of a Poisson variable of mean 1 up to k events, k = 0, 1, ...; beyond the last it is 1 in 32 bits.
+POISSON_CUTS = [math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
+DRAWS_PER_DIGEST = 4
 
-    Every unit row creates its own slot i of every sample, so the table grows where the units are;
-    draws depend on (seed, sample, i) only, never on partitioning.
-    """
-    slots = units.select(F.col(unit).alias("slot")).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("sample"), F.col("slot"))
-    number = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
-    return slots.select("sample", F.pmod(number, F.lit(n_units)).alias("position"))
+
+def bootstrap_multiplicity(unit: Column, sample: Column, seed: int) -> Column:
+    """How often a unit enters a resample: a Poisson draw of mean 1 from 32 bits of md5(seed:unit:sample div 4)."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), unit.cast("string"), F.floor(sample / DRAWS_PER_DIGEST).cast("string")))
+    number = F.conv(F.substring(digest, sample % DRAWS_PER_DIGEST * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    return sum((F.when(number >= cut_, 1).otherwise(0) for cut_ in POISSON_CUTS), F.lit(0))
 
 
-def bootstrap_means(values: DataFrame, samples: int, seed: int) -> DataFrame:
-    """Mean per resample of `values` (position 0..n-1, total, weight): sum of totals over weights.
+def bootstrap_means(values: DataFrame, unit: str, samples: int, seed: int) -> DataFrame:
+    """(sample, estimate): mean per resample of `values` (`unit`, total, weight), totals over weights.
 
-    Draws of one unit within a sample are counted before they meet its value, so the join carries one
-    row per (sample, unit). Units may be single pairs (weight 1) or whole clusters.
+    A Poisson bootstrap: units enter a resample independently, as often as a Poisson variable of mean 1 says,
+    which for many units is the usual bootstrap with a random number of draws. The draw depends on (seed,
+    unit, sample) alone, so every unit is drawn where it lies and the sums merge map-side: what is shuffled is
+    one row per task and sample. A resample without any weight has a null estimate.
     """
-    values = cut(values, "units")
-    n = values.count()
-    if n == 0:
-        return values.sparkSession.createDataFrame([], "sample int, estimate double")
-    drawn = bootstrap_draws(values, "position", n, samples, seed).groupBy("position", "sample").agg(F.count(F.lit(1)).alias("times"))
-    return (
-        drawn.join(values, "position")
-        .groupBy("sample")
-        .agg((F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("weight"))).alias("estimate"))
-    )
+    drawn = values.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    times = bootstrap_multiplicity(F.col(unit), F.col("sample"), seed)
+    weight = F.sum(times * F.col("weight"))
+    return drawn.groupBy("sample").agg(F.when(weight != 0, F.sum(times * F.col("total")) / weight).alias("estimate"))
 
 
 def percentile_interval(means: DataFrame, level: float = 0.95) -> DataFrame:
@@ -143,42 +140,38 @@ def percentile_interval(means: DataFrame, level: float = 0.95) -> DataFrame:
 def paired_bootstrap(
     differences: DataFrame, seed_col: str, samples: int, seed: int, complete: bool, min_pairs: int = 5
 ) -> DataFrame:
-    """Percentile interval of the mean difference; withheld (nulls) below `min_pairs` or if incomplete.
-
-    Pairs are numbered in seed order by range-sliced ranks, so the numbering needs no single task.
-    """
-    numbered = positions(differences, seed_col).select("position", F.col("difference").alias("total"), F.lit(1.0).alias("weight"))
+    """Percentile interval of the mean difference; withheld (nulls) below `min_pairs` or if incomplete."""
     n = differences.count()
     if n < min_pairs or not complete:
         return differences.sparkSession.range(1).select(
             F.lit(n).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(True).alias("withheld")
         )
-    return percentile_interval(bootstrap_means(numbered, samples, seed)).select(
+    units = differences.select(seed_col, F.col("difference").alias("total"), F.lit(1.0).alias("weight"))
+    return percentile_interval(bootstrap_means(units, seed_col, samples, seed)).select(
         F.lit(n).cast("long").alias("n"), "low", "high", F.lit(False).alias("withheld")
     )
 
 
-def positions(df: DataFrame, order: str) -> DataFrame:
-    """0-based `position` in the order of a unique numeric column, without a global sort."""
-    return range_rank(df, [], order, name="position").withColumn("position", F.col("position") - 1)
-
-
 def clustered_bootstrap(df: DataFrame, group: str, value: str, samples: int, seed: int) -> DataFrame:
     """Percentile interval of the mean with whole groups as the unit of resampling."""
     units = df.groupBy(group).agg(F.sum(value).alias("total"), F.count(value).cast("double").alias("weight"))
-    numbered = positions(units, group).select("position", "total", "weight")
-    return percentile_interval(bootstrap_means(numbered, samples, seed))
-
-
-def holm(df: DataFrame, family: Sequence[str], test: str, p: str) -> DataFrame:
-    """Holm-adjusted p values within each declared family (families are short lists by design)."""
-    order = Window.partitionBy(*family).orderBy(p, test)
-    whole = Window.partitionBy(*family)
-    factor = F.count(F.lit(1)).over(whole) - F.row_number().over(order) + 1
-    step = F.least(F.lit(1.0), factor * F.col(p))
-    return df.withColumn("_step", step).withColumn(
-        "adjusted", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ).drop("_step")
+    return percentile_interval(bootstrap_means(units, group, samples, seed))
+
+
+def holm(df: DataFrame, family: Sequence[str], p: str) -> DataFrame:
+    """Holm-adjusted p values (`adjusted`) within each family, of any size; a null p has a null adjusted value.
+
+    Equal p values of a family get one adjusted value, so they are counted first; the number of smaller ones
+    and the running maximum are segmented scans over slices of p.
+    """
+    keys = list(family)
+    counts = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
+    ranked = range_scan(cut(counts, "p-values"), keys, p, "_c", "_upto").join(sizes, keys)
+    step = F.least(F.lit(1.0), (F.col("_m") - F.col("_upto") + F.col("_c")) * F.col(p))
+    adjusted = range_scan(cut(ranked.withColumn("_step", step), "holm-steps"), keys, p, "_step", "adjusted", how="max")
+    known = join_per_key(df, adjusted.select(*keys, p, "_c", "adjusted"), [*keys, p], "_c").drop("_c")
+    return known.unionByName(df.filter(F.col(p).isNull()).withColumn("adjusted", F.lit(None).cast("double")))
 
 
 def quality_profile(df: DataFrame, by: Sequence[str], value: str, passes: Column) -> DataFrame:

@@ -135,30 +135,43 @@ def wn7_shortfall(spark, folder):
     return rank.cohort_shortfall(_cohort(spark, folder), domains, "domain", 30)
 
 
-@query(
-    "wn8_shortest_prefix",
-    f"""WITH {SQL_ELIGIBLE}, {SQL_PARTS}, c AS (SELECT * FROM parts WHERE part_rank <= 14),
-       goal AS (SELECT CAST(count(*) // 5 AS BIGINT) AS target FROM documents),
+def _prefix_sql(expected: str) -> str:
+    return f"""WITH {SQL_ELIGIBLE}, {SQL_PARTS}, c AS (SELECT * FROM parts WHERE part_rank <= 14),
+       goal AS (SELECT CAST(count(*) // 5 AS BIGINT) AS target, {expected} AS expected FROM documents),
        e AS (SELECT part_rank, prompt_group_sha256 AS g FROM eligible JOIN c USING (part_id)),
        f AS (SELECT g, min(part_rank) AS part_rank FROM e WHERE g IS NOT NULL GROUP BY 1),
        t AS (SELECT c.part_id, c.part_rank, (SELECT count(*) FROM f WHERE f.part_rank = c.part_rank) AS new_groups,
              (SELECT count(*) FROM e WHERE e.part_rank = c.part_rank) AS n_rows FROM c),
        r AS (SELECT *, CAST(sum(new_groups) OVER (ORDER BY part_rank) AS BIGINT) AS total_groups FROM t),
-       s AS (SELECT *, CASE WHEN min(n_rows) OVER () = 0 THEN 'blocked_missing' WHEN max(total_groups) OVER () < (SELECT target FROM goal) THEN 'blocked_insufficient' ELSE 'ready' END AS status,
-             min(CASE WHEN total_groups >= (SELECT target FROM goal) THEN part_rank END) OVER () AS need FROM r)
-       SELECT part_id, part_rank, new_groups, n_rows, total_groups, status, coalesce(status = 'ready' AND part_rank <= need, false) AS selected FROM s""",
-)
-def wn8(spark, folder):
+       s AS (SELECT *, CASE WHEN min(n_rows) OVER () = 0 THEN 'blocked_missing' WHEN bool_or(n_rows <> expected) OVER () THEN 'blocked_incomplete'
+             WHEN max(total_groups) OVER () < target THEN 'blocked_insufficient' ELSE 'ready' END AS status,
+             min(CASE WHEN total_groups >= target THEN part_rank END) OVER () AS need FROM r, goal)
+       SELECT part_id, part_rank, new_groups, n_rows, total_groups, status, coalesce(status = 'ready' AND part_rank <= need, false) AS selected FROM s"""
+
+
+def _prefix(spark, folder, expected):
+    """The prefix over all rows of the parts; `expected` reads the rows that a part has to have from all documents."""
     from .q_rows import eligible_rows
 
     rows = cut(eligible_rows(spark, folder), "ledger")
     parts = rank.ranked_partitions(metadata(spark, folder), "part_id", X.part_rank("part_id"), 14)
-    target = table(spark, folder, "documents").count() // 5
-    return rank.shortest_prefix(parts, rows, "part_id", "prompt_group_sha256", target).select(
+    n, per_part = table(spark, folder, "documents").agg(F.count(F.lit(1)), expected).first()
+    return rank.shortest_prefix(parts, rows, "part_id", "prompt_group_sha256", n // 5, per_part).select(
         "part_id", "part_rank", "new_groups", "n_rows", "total_groups", "status", "selected"
     )
 
 
+@query("wn8_shortest_prefix", _prefix_sql("count(*) // count(DISTINCT source)"))
+def wn8(spark, folder):
+    return _prefix(spark, folder, F.floor(F.count(F.lit(1)) / F.count_distinct("source")))
+
+
+@query("wn8_incomplete_parts", _prefix_sql("1 + count(*) // count(DISTINCT source)"))
+def wn8_incomplete(spark, folder):
+    """Every part is a row short of what it has to have, so nothing is selected."""
+    return _prefix(spark, folder, F.floor(F.count(F.lit(1)) / F.count_distinct("source")) + 1)
+
+
 # Groups of documents by (source, size class): their texts collide across sources, so picks compete.
 _POOL_GROUP = "source || ':' || (n_chars % 5)"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import text_group
 from ..operators import stats
+from ..session import cut
 from .registry import query, table
 from .views import sql_text_group
 
@@ -77,26 +78,39 @@ def ag17(spark, folder):
 
 
 def _boot_sql(units: str, samples: int, seed: int) -> str:
-    """`units` (position, total, weight) resampled by md5(seed:sample:slot) mod n."""
-    return f"""n AS (SELECT count(*) AS n FROM {units}),
-draws AS (SELECT s.s AS sample, CAST(('0x' || substr(md5('{seed}:' || s.s || ':' || u.position), 1, 12)) AS BIGINT) % n.n AS position
-  FROM {units} u, range({samples}) s(s), n),
-boot AS (SELECT d.sample, sum(u.total) / sum(u.weight) AS estimate FROM draws d JOIN {units} u USING (position) GROUP BY 1)"""
+    """`units` (unit, total, weight) resampled by Poisson multiplicities from md5(seed:unit:sample div 4)."""
+    times = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in stats.POISSON_CUTS)
+    return f"""draws AS (SELECT s.s AS sample, total, weight, CAST(('0x' || substr(md5('{seed}:' || u.unit || ':' || s.s // 4), 1 + 8 * (s.s % 4), 8)) AS BIGINT) AS u
+  FROM {units} u, (SELECT CAST(range AS BIGINT) AS s FROM range({samples})) s),
+boot AS (SELECT sample, sum(({times}) * total) / nullif(sum(({times}) * weight), 0) AS estimate FROM draws GROUP BY 1)"""
+
+
+_PAIRED = f"{_MEANS}, units AS (SELECT user_id AS unit, difference AS total, 1.0::DOUBLE AS weight FROM pairs), {_boot_sql('units', 200, 7)}"
 
 
 @query(
     "ag18_paired_bootstrap",
-    f"""WITH {_MEANS}, units AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS position, difference AS total, 1.0::DOUBLE AS weight FROM pairs),
-       {_boot_sql('units', 200, 7)}
-       SELECT (SELECT n FROM n) AS n, round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high, false AS withheld FROM boot""",
+    f"""WITH {_PAIRED} SELECT (SELECT count(*) FROM units) AS n, round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high, false AS withheld FROM boot""",
 )
 def ag18(spark, folder):
-    from ..session import cut
-
     differences = cut(_differences(spark, folder), "differences")
     return _rounded(stats.paired_bootstrap(differences, "user_id", 200, 7, complete=True), "low", "high")
 
 
+@query(
+    "ag18_withheld_bootstrap",
+    f"""WITH {_PAIRED}, seen AS (SELECT (SELECT count(*) FROM units) AS n, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT unit FROM units)) AS n_missing)
+       SELECT n, CASE WHEN n_missing = 0 THEN round((SELECT quantile_cont(estimate, 0.025) FROM boot), 6) END AS low,
+         CASE WHEN n_missing = 0 THEN round((SELECT quantile_cont(estimate, 0.975) FROM boot), 6) END AS high, n_missing > 0 AS withheld FROM seen""",
+)
+def ag18_withheld(spark, folder):
+    """Every customer is expected to have a pair: with one missing, the interval is withheld."""
+    differences = cut(_differences(spark, folder), "differences")
+    expected = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
+    complete = expected.join(differences, "user_id", "left_anti").isEmpty()
+    return _rounded(stats.paired_bootstrap(differences, "user_id", 200, 7, complete), "low", "high")
+
+
 @query(
     "ag18_run_states",
     """WITH e AS (SELECT c_custkey, 'r' || c_custkey AS run_id, c_custkey AS seed FROM customer),
@@ -117,8 +131,7 @@ def ag18_states(spark, folder):
 
 @query(
     "dx2_clustered_bootstrap",
-    f"""WITH g AS (SELECT user_id, sum(value) AS total, count(value)::DOUBLE AS weight FROM events GROUP BY 1),
-       units AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS position, total, weight FROM g), {_boot_sql('units', 200, 11)}
+    f"""WITH units AS (SELECT user_id AS unit, sum(value) AS total, count(value)::DOUBLE AS weight FROM events GROUP BY 1), {_boot_sql('units', 200, 11)}
        SELECT round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high FROM boot""",
 )
 def dx2(spark, folder):
@@ -135,7 +148,7 @@ def dx3(spark, folder):
     tests = table(spark, folder, "documents").groupBy("lang", "source").agg(
         (F.count(F.lit(1)).cast("double") / 1000 / (1 + F.max("n_chars"))).alias("p")
     )
-    return stats.holm(tests, ["lang"], "source", "p").select("lang", "source", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
+    return stats.holm(tests, ["lang"], "p").select("lang", "source", F.round("p", 9).alias("p"), F.round("adjusted", 9).alias("adjusted"))
 
 
 @query(

@@ -202,3 +202,37 @@ def test_streams_over_several_files_equal_the_batch(spark, tmp_path):
         last[case] = status
     assert wanted == brute
     assert {(r.key, r.seq) for r in J.stream_changes(source(), "case_id", "seq", F.col("status")).collect()} == brute
+
+
+def test_holm_of_one_large_family_with_ties(spark):
+    rng = random.Random(8)
+    ps = [rng.choice([1.0, 0.5, 0.04, rng.random() / 50, rng.random() / 1000]) for _ in range(1500)]
+    rows = [("f", i, p) for i, p in enumerate(ps)] + [("g", 0, 0.01), ("g", 1, None), ("g", 2, 0.04)]
+    got = {(r.f, r.t): r.adjusted for r in stats.holm(spark.createDataFrame(rows, "f string, t int, p double"), ["f"], "p").collect()}
+    top = 0.0
+    for k, (p, i) in enumerate(sorted((p, i) for i, p in enumerate(ps))):
+        top = max(top, min(1.0, (1500 - k) * p))
+        assert got["f", i] == pytest.approx(top)
+    assert (got["g", 0], got["g", 1], got["g", 2]) == (pytest.approx(0.02), None, pytest.approx(0.04))
+
+
+@pytest.mark.parametrize("how", ["sum", "max"])
+def test_running_folds_by_slices(spark, how):
+    from corpuskeel.operators.skew import range_scan
+
+    rng = random.Random(9)
+    rows = [(rng.choice("aab"), rng.randrange(400), i, rng.choice([None, rng.randrange(-50, 50)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, o int, i int, v int").repartition(6)
+    got = {r.i: r.x for r in range_scan(df, ["k"], "o", "v", "x", ["i"], how, slices=13).collect()}
+    state = {}
+    for k, _, i, v in sorted(rows, key=lambda r: r[1:3]):
+        if v is not None:
+            state[k] = v if k not in state else state[k] + v if how == "sum" else max(state[k], v)
+        assert got[i] == state.get(k)
+
+
+def test_multiplicities_are_poisson(spark):
+    n = F.count(F.lit(1))
+    drawn = spark.range(20_000).select(stats.bootstrap_multiplicity(F.col("id"), F.col("id") % 7, 3).alias("k")).groupBy("k").agg(n.alias("n")).collect()
+    share = {r.k: r.n / 20_000 for r in drawn}
+    assert all(abs(share.get(k, 0) - np.exp(-1) / f) < 0.012 for k, f in enumerate((1, 1, 2, 6, 24)))
