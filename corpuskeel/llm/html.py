@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 
 from .common import bounded_batches, narrow, query, table
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+# A quote opens a value right after "=" only; elsewhere, as in title=John's, it is a letter like any other.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^\s>=]++|\s++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>""")
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 # Elements whose content is no markup: it ends at the closing tag only, as in a browser.
@@ -72,8 +73,12 @@ class Block:
 
 @dataclass
 class _Open:
+    """An open container; `around` is the nearest one outside it that says something of itself."""
+
     tag: str
     says: int
+    around: _Open | None = None
+    told: tuple[int, bool] = (0, False)
 
 
 @dataclass
@@ -84,7 +89,17 @@ class _Reader:
     links: int = 0
     stack: list[_Open] = field(default_factory=list)
     tag: str = ""
-    within: list[list[_Open]] = field(default_factory=list)
+    within: list[_Open | None] = field(default_factory=list)
+    speaking: list[_Open] = field(default_factory=list)
+
+    def nearest(self) -> _Open | None:
+        top = self.stack[-1] if self.stack else None
+        return top if top is None or top.says else top.around
+
+    def open(self, tag: str, says: int) -> None:
+        self.stack.append(_Open(tag, says, self.nearest()))
+        if says:
+            self.speaking.append(self.stack[-1])
 
     def text(self, piece: str) -> None:
         if piece:
@@ -97,7 +112,7 @@ class _Reader:
             words = html.unescape("".join(self.parts)).split()
             if words:
                 self.blocks.append(Block(" ".join(words), len(words), self.linked, self.tag, 0, False))
-                self.within.append([o for o in self.stack if o.says])
+                self.within.append(self.nearest())
             self.parts = []
         self.linked = 0
 
@@ -111,9 +126,12 @@ class _Reader:
     def finish(self) -> list[Block]:
         self.flush()
         self.drop(0)
+        # Outer containers were opened first, so one pass tells of each what holds inside it.
+        for o in self.speaking:
+            innermost, any_boilerplate = o.around.told if o.around else (0, False)
+            o.told = (o.says or innermost, o.says == -1 or any_boilerplate)
         for block, within in zip(self.blocks, self.within):
-            told = [o.says for o in within if o.says]
-            block.container, block.boilerplate = told[-1] if told else 0, -1 in told
+            block.container, block.boilerplate = within.told if within else (0, False)
         return self.blocks
 
 
@@ -227,7 +245,7 @@ def blocks(page: str) -> list[Block]:
                 # These end an open one of their kind by themselves.
                 while r.stack and r.stack[-1].tag in ({"p", *HEADINGS} if tag not in ROWS else {"p", tag, *HEADINGS}):
                     r.stack.pop()
-            r.stack.append(_Open(tag, -1 if tag in EMBEDDED else says(tag, attributes)))
+            r.open(tag, -1 if tag in EMBEDDED else says(tag, attributes))
             r.tag = tag
     return r.finish()
 

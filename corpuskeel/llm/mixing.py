@@ -87,7 +87,7 @@ def mix(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """(`key`, size, source_size, target, copies, taken, place): how often the mix takes every document.
+    """(`key`, size, source_size, target, copies, taken, place, source): how often the mix takes every document.
 
     A source whose target is r times its size takes each document floor(r) times and, for the rest,
     once more the documents that come first in a seeded order until the target is reached; the last
@@ -136,7 +136,7 @@ def mix(
     ended = ended.withColumn("_more", (F.col("_at") + F.col("size") / 2 <= F.col("_rest")).cast("long")).drop("_at")
     copies = F.col("_whole") + F.col("_more")
     return settled.unionByName(ended).select(
-        F.col("id").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "place"
+        F.col("id").alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "place", F.when(~F.col("_null"), F.col("_s")).alias("source")
     )
 
 
@@ -160,4 +160,4 @@ SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c"
 
 @query("op4_mix", SQL_MIX)
 def op4(spark, folder):
-    return mix(table(spark, folder, "documents")).drop("place")
+    return mix(table(spark, folder, "documents")).drop("place", "source")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
+from ..operators.skew import join_per_key
 from ..session import cut
 from . import shingles as S
 from .common import bounded_batches, narrow, query, table
@@ -47,7 +48,9 @@ STAR = 256
 
 
 def sketches(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, set_id, signature): one narrow row per document, whole texts read once."""
+    """(id, n_shingles, set_id, signature, content): one narrow row per document, whole texts read once.
+
+    `content` is a hash of the text, which together with the id finds the text again."""
     bounded_batches(documents.sparkSession)
     family = S.minhash_family(SYMBOLS, SEED)
 
@@ -60,13 +63,13 @@ def sketches(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 sets.append(S.set_digest(shingles) if len(shingles) else None)
                 signatures.append(S.minhash(shingles, family).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signatures, pa.binary())],
-                ["id", "n_shingles", "set_id", "signature"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signatures, pa.binary()), batch.column(2)],
+                ["id", "n_shingles", "set_id", "signature", "content"],
             )
 
-    rows = narrow(documents, [key, text])
+    rows = narrow(documents, [key, text]).toDF("id", "text").withColumn("content", F.xxhash64("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_shingles long, set_id binary, signature binary")
+    return rows.mapInArrow(run, f"id {kind}, n_shingles long, set_id binary, signature binary, content long")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:
@@ -166,24 +169,38 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     """(`key`, n_shingles, component_id, kept) for every row of `documents`.
 
     Texts without words are linked with nothing. A row without a key is linked with nothing either: its
-    component is null and it is kept. A key names one document; repeated rows are returned as often as
-    they come and fall in one component. Further columns are ignored; an empty table gives an empty one.
+    component is null and it is kept. A key names one document: repeated rows are returned as often as
+    they come and fall in one component, also if their texts differ; each text is compared with all others.
+    Further columns are ignored; an empty table gives an empty one.
     """
     spark = documents.sparkSession
     rows = cut(sketches(documents, key, text), "sketches")
-    kind = rows.schema["id"].dataType.simpleString()
     counted = rows.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = cut(counted.groupBy("set_id").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")
+    folded = counted.groupBy("set_id").agg(F.min(F.struct("id", "content")).alias("_r"), F.first("signature").alias("signature"))
+    # Keys that come with several sets. A class is named by its smallest key, or by a name of its own if that is one of them.
+    several = cut(counted.groupBy("id").agg((F.min("set_id") != F.max("set_id")).alias("_m")).filter("_m").select(F.col("id").alias("_several")), "several-sets")
+    folded = folded.select("set_id", "signature", F.col("_r.id").alias("first_id"), "_r.content").join(several, F.col("first_id") == F.col("_several"), "left")
+    whole = rows.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    kind = "bigint" if whole else "string"
+    own = F.xxhash64("first_id", "set_id") if whole else F.concat_ws("\x00", "first_id", F.hex("set_id"))
+    classes = cut(folded.select("set_id", "signature", "first_id", "content", F.when(F.col("_several").isNull(), F.col("first_id")).otherwise(own).cast(kind).alias("id")), "classes")
+    # The sets of one key belong together: links from each of its classes to the least of them.
+    named = counted.join(several, F.col("id") == F.col("_several"), "left_semi").select(F.col("id").alias("_k"), "set_id").distinct().join(classes.select("set_id", "id"), "set_id")
+    bridges = named.join(named.groupBy("_k").agg(F.min("id").alias("dst")), "_k").filter("id <> dst").select(F.col("id").alias("src"), "dst")
+    bridges = cut(bridges.distinct(), "bridges")
 
     keys = chunk_keys(classes)
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("n")).filter("leader < _last")
     members = cut(keys.join(shared.drop("_last"), "key"), "bucket-members")
 
     star = cut(members.filter("id <> leader").select("id", "leader").distinct(), "stars")
-    needed = star.select("id").unionByName(star.select(F.col("leader").alias("id"))).distinct()
-    plain = narrow(documents, [key, text]).toDF("id", "text")
+    compared = star.select("id").unionByName(star.select(F.col("leader").alias("id"))).distinct()
+    ends = bridges.select(F.col("src").alias("id")).unionByName(bridges.select(F.col("dst").alias("id")))
+    needed = compared.unionByName(ends).distinct()
+    plain = narrow(documents, [key, text]).toDF("first_id", "text").withColumn("content", F.xxhash64("text"))
+    wanted = classes.join(compared, "id", "left_semi").select("id", "first_id", "content")
     # The ids grow with the corpus, so they are never broadcast, at no size.
-    texts = cut(plain.join(needed.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    texts = cut(plain.join(wanted.hint("merge"), ["first_id", "content"]).groupBy("id").agg(F.max("text").alias("text")), "texts")
 
     sizes = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_slices"))
     placed = star.join(sizes, "leader").select("leader", "id", F.pmod(F.xxhash64("id"), F.col("_slices")).alias("slice"))
@@ -194,7 +211,7 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         .groupBy("leader", "slice")
         .applyInPandas(_star_links, f"src {kind}, dst {kind}")
     )
-    first = cut(first, "star-links")
+    first = cut(first.unionByName(bridges), "star-links")
 
     # Only classes that share a bucket can be in a component with another one.
     tied = cut(connected_components(needed, first), "first-components")
@@ -229,8 +246,13 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     links = first.unionByName(cut(second, "tile-links"))
     final = cut(connected_components(needed, links), "components")
 
-    named = classes.select("set_id", "id").join(final, "id", "left").select("set_id", F.coalesce("component", "id").alias("_c"))
-    return rows.join(named, "set_id", "left").select(
+    if not several.isEmpty():
+        # Names of classes that are no keys must not name a component: the least key of its classes does.
+        firsts = final.join(classes.select("id", "first_id"), "id")
+        low = firsts.groupBy("component").agg(F.min("first_id").alias("_low"), F.count(F.lit(1)).alias("_n"))
+        final = join_per_key(final, low, ["component"], "_n").select("id", F.col("_low").alias("component"))
+    tied_sets = classes.join(final, "id", "left").select("set_id", F.coalesce("component", "first_id").alias("_c"))
+    return rows.join(tied_sets, "set_id", "left").select(
         F.col("id").alias(key),
         "n_shingles",
         F.when(F.col("id").isNotNull(), F.coalesce("_c", "id")).alias("component_id"),

@@ -245,7 +245,11 @@ def judge(
 
 
 def passing(documents: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows of `documents`, all columns, that no rule rejects; texts never leave their partition."""
+    """The rows of `documents`, all columns, that no rule rejects; texts never leave their partition.
+
+    A null text counts as empty; repeated rows are judged alike and all kept or all rejected; columns may have
+    any names; an empty table stays empty.
+    """
     bounded_batches(documents.sparkSession)
     by_name = {r.name: r for r in rules}
     order = [by_name[n] for n in estimate(sample_texts(documents, text), rules)["name"]]
@@ -255,7 +259,8 @@ def passing(documents: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
         for batch in batches:
             yield batch.filter(pa.array(cascade(batch.column(place).to_pylist(), order) < 0))
 
-    return documents.mapInArrow(run, documents.schema)
+    numbered = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*documents.columns)
 
 
 SQL_QUALITY = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -159,6 +159,36 @@ def test_pipeline_keeps_columns(spark, documents):
         assert stage(spark, empty, "").collect() == []
 
 
+def test_one_id_with_two_texts_loses_no_link(spark):
+    words = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    rows = [(1, words("p")), (1, words("q")), (2, words("q") + " end"), (3, words("p") + " end"), (4, words("r")), (0, words("r")), (0, words("s")), (5, words("s") + " end"), (6, words("t"))]
+    for order in (rows, rows[::-1]):
+        for kind in ("long", "string"):
+            df = spark.createDataFrame(order, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+            got = {(str(r.doc_id), str(r.component_id), r.kept) for r in near.near_duplicates(df).collect()}
+            assert got == {("1", "1", True), ("2", "1", False), ("3", "1", False), ("0", "0", True), ("4", "0", False), ("5", "0", False), ("6", "6", True)}
+
+
+def test_pipeline_keeps_clean_rows_of_one_id_and_one_of_equal_rows(spark):
+    other = PLAIN.replace("word", "term")
+    rows = [(1, PLAIN, "en", "a", 1), (1, other, "en", "a", 2), (1, other, "en", "b", 2), (None, PLAIN + " x", "en", "c", 3), (None, PLAIN + " x", "en", "c", 3)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("a.b", F.lit("dot"))
+    docs = corpus_pipeline.quality_rules(spark, df, "")
+    assert docs.count() == 5 and docs.columns == df.columns
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), r.text, r["a.b"]) for r in kept) == sorted([("1", PLAIN, "dot"), ("1", other, "dot"), ("None", PLAIN + " x", "dot")])
+
+
+def test_pipeline_writes_what_the_mix_takes(spark):
+    """Equal id and text in two sources, and repeated rows, get their own number of copies."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "en", "small", 1)] * 30 + [(None, text, "en", "large", 1)] * 200 + [(i, f"{text} {i}", "en", "large", 1) for i in range(100)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    wanted = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    written = {r.source: r["count"] for r in corpus_pipeline.source_mix(spark, docs, "").groupBy("source").count().collect()}
+    assert written == wanted
+
+
 def test_pipeline_masks_rows_without_id_among_clashing_columns(spark):
     rows = [(None, "password = hunter22 " + PLAIN, "en", "a", 0), (1, PLAIN.replace("word", "term"), "en", "a", 0)]
     names = [c for c in CLASHING if c != "id"] + ["id", "copies", "_i", "_d"]
@@ -217,3 +247,19 @@ def test_names_of_boilerplate_still_count():
     for tag, attributes in (("div", "class='main-nav'"), ("div", "class='post-comments'"), ("article", "class='comment-body'"), ("section", "id=sidebar"), ("footer", "class=content")):
         assert html.says(tag, " " + attributes) == -1
     assert [html.says(t, " class='has-sidebar'") for t in ("body", "div", "main", "article")] == [0, 0, 1, 1]
+
+
+def test_quotes_open_a_value_after_the_equals_sign_only():
+    tree = html.trained_tree()
+    for tag in ("p title=John's", "p title = John's", "p data-x=a'b'c\"", "p john's", "p 'x' title=\"a > b\"", "p title='a > \"b'", "p title=\"don't\"", "p class=\"\" title=a=b'"):
+        page = f"<article><{tag}>{PLAIN} don't stop.</p><p>{PLAIN} it's two.</p></article>"
+        assert html.main_text(page, tree) == f"{PLAIN} don't stop.\n{PLAIN} it's two.", tag
+
+
+def test_deep_nesting_takes_linear_room():
+    import time
+
+    start = time.perf_counter()
+    found = html.blocks("<nav>a" * 40_000 + "<article><p>b")
+    assert len(found) == 40_001 and [found[0].container, found[-1].container, found[-1].boilerplate] == [-1, 1, True]
+    assert time.perf_counter() - start < 20
