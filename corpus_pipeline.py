@@ -6,7 +6,7 @@ next one's docs. All but the last return the columns they were given.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuskeel.llm import bpe, mixing, near, quality, secrets
@@ -27,13 +27,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; rows without an id are kept as they are."""
-    verdicts = near.near_duplicates(docs)
-    gone = verdicts.filter("NOT kept").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    columns = docs.columns
-    single = kept.groupBy("doc_id").agg(F.first(F.struct(*columns)).alias("_d")).select("_d.*")
-    return single.select(columns).unionByName(docs.filter("doc_id IS NULL").select(columns))
+    """One document of each near-duplicate group: that of the smallest id, and of its equal rows one.
+
+    Rows of one id with different texts all stay if their group does. Rows without an id are compared with
+    nothing but one another: of those with equal texts one stays.
+    """
+    gone = near.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
+    content = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = whole_rows(docs, F.struct(F.col("doc_id").alias("id"), content.alias("content")).alias("_k")).select("_row", F.col("_k.id").alias("_id"), F.col("_k.content").alias("_content"))
+    kept = rows.join(gone, "_id", "left_anti")
+    return kept.groupBy("_id", "_content").agg(F.first("_row").alias("_row")).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +56,22 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").groupBy("place").agg(F.max("copies").alias("copies"))
-    taken = whole_rows(docs, mixing.seeded_place(mixing.SEED, "doc_id", "text").alias("place")).join(copies, "place")
-    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+    """Every document as often as the mix takes it.
+
+    Rows that agree in source, id and text share what the mix takes of them: each gets an equal number of
+    repetitions and the first ones, in the order of their other columns, one more.
+    """
+    taken = mixing.mix(docs).groupBy("source", "place").agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")).filter("_sum > 0")
+    taken = taken.select(F.col("source").alias("_source"), F.col("place").alias("_place"), "_sum", "_rows")
+    rows = whole_rows(docs, mixing.seeded_place(mixing.SEED, "doc_id", "text").alias("_place"))
+    met = rows.join(taken, (rows["_place"] == taken["_place"]) & F.col("_row.source").eqNullSafe(F.col("_source"))).drop(rows["_place"])
+    single = met.filter("_rows = 1").select("_row", F.col("_sum").alias("_copies"))
+    equal = Window.partitionBy("_source", "_place").orderBy("_order")
+    several = met.filter("_rows > 1").withColumn("_order", F.to_json("_row")).withColumn("_i", F.row_number().over(equal))
+    shared = F.expr("_sum div _rows + CASE WHEN _i <= _sum % _rows THEN 1 ELSE 0 END")
+    whole = single.unionByName(several.select("_row", shared.alias("_copies"))).filter("_copies > 0")
+    repeated = whole.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_i"))
+    return repeated.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
