@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from .. import constants as K
 from ..session import cut, drop_cut
 from . import dedup
 from .checks import ContractViolation, require_none
-from .skew import HOT_ROWS, join_per_key, member_digest
+from .skew import HOT_ROWS, join_per_key, member_digest, range_rank
 
 
 def shared_keys(rows: DataFrame, node: str, kinds: Mapping[str, Column]) -> DataFrame:
@@ -229,33 +228,85 @@ def holdout_closure(groups: DataFrame, holdout: DataFrame) -> DataFrame:
     return groups.join(touched, "group_id", "left_semi").select("id", "group_id")
 
 
+def _follow_chains(single: DataFrame, n: int) -> DataFrame:
+    """Pointer doubling over tasks with one open parent: (id, parent, w, low) with `parent` outside `single`.
+
+    A row says level(id) = max(low, level(parent) + w); two such rows compose to one, so every round doubles
+    the length of what is known. A chain that never leaves `single` is a cycle.
+    """
+    for _ in range(n.bit_length() + 1):
+        above = single.select(F.col("id").alias("parent"), F.col("parent").alias("_p"), F.col("w").alias("_w"), F.col("low").alias("_low"))
+        following = cut(
+            single.join(above, "parent", "left").select(
+                "id",
+                F.coalesce("_p", "parent").alias("parent"),
+                (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"),
+                F.greatest("low", F.col("_low") + F.col("w")).alias("low"),
+                F.col("_p").isNotNull().alias("_moved"),
+            ),
+            "chains",
+        )
+        if following.filter("_moved").isEmpty():
+            return following.drop("_moved")
+        single = following.drop("_moved")
+    raise ContractViolation("task graph contains a cycle")
+
+
 def task_levels(tasks: DataFrame, edges: DataFrame, preferred: str) -> DataFrame:
-    """(id, preferred, level): tasks whose parents are all placed form the next level.
+    """(id, preferred, level, position): a task's level is the length of the longest way that leads to it.
 
-    `edges` hold (id, parent). A round drops the edges from placed parents; tasks that thereby lose
-    their last edge are ready. A round that frees nothing while edges remain is a cycle. The order
-    inside a level is (preferred, id), see `task_order`.
+    `edges` hold (id, parent). A round places tasks without open parents and folds them in their children;
+    tasks with a single open parent are then taken out by pointer doubling, and what hung on them hangs on
+    the end of their chain. So a chain of n tasks takes about log n steps, not n. They get their levels when
+    all others have theirs. A round that changes nothing is a cycle. `position` is the place in the level by
+    (preferred, id), numbered by slices.
     """
-    spark = tasks.sparkSession
-    open_edges = cut(edges.select("id", "parent").distinct(), "task-edges")
+    zero = F.lit(0).cast("long")
+    open_edges = cut(edges.select("id", "parent", F.lit(1).cast("long").alias("w")).distinct(), "task-edges")
     require_none(open_edges.join(tasks.select(F.col("id").alias("parent")), "parent", "left_anti"), "unknown parent task")
-    ready = cut(tasks.select("id").join(open_edges, "id", "left_anti"), "ready")
-    placed = ready.withColumn("level", F.lit(0).cast("long"))
-    for level in count(1):
-        following = cut(open_edges.join(ready.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", "parent"), "task-edges")
-        ready = cut(open_edges.select("id").distinct().join(following, "id", "left_anti"), "ready")
-        drop_cut(spark, open_edges)
-        open_edges = following
-        if ready.isEmpty():
+    waiting = cut(tasks.select("id", zero.alias("low")), "waiting")  # low: a level that the task reaches in any case
+    placed, taken_out = [], []
+    while True:
+        ready = cut(waiting.join(open_edges, "id", "left_anti").select("id", F.col("low").alias("level")), "ready")
+        placed.append(ready)
+        waiting = waiting.join(ready, "id", "left_anti")
+        met = open_edges.join(ready.select(F.col("id").alias("parent"), "level"), "parent", "left")
+        met = cut(met, "met-edges")
+        reached = met.filter("level IS NOT NULL").groupBy("id").agg(F.max(F.col("level") + F.col("w")).alias("_low"))
+        waiting = cut(waiting.join(reached, "id", "left").select("id", F.greatest("low", "_low").alias("low")), "waiting")
+        open_edges = cut(met.filter("level IS NULL").groupBy("id", "parent").agg(F.max("w").alias("w")), "task-edges")
+        if open_edges.isEmpty():
+            placed.append(waiting.select("id", F.col("low").alias("level")))
             break
-        placed = placed.unionByName(ready.withColumn("level", F.lit(level).cast("long")))
-    if not open_edges.isEmpty():
-        raise ContractViolation("task graph contains a cycle")
-    return tasks.select("id", preferred).join(placed, "id")
-
-
-def task_order(levels: DataFrame, preferred: str) -> DataFrame:
-    return levels.orderBy("level", preferred, "id")
+        lone = open_edges.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("parent").alias("parent"), F.first("w").alias("w")).filter("_n = 1")
+        single = cut(lone.join(waiting, "id").select("id", "parent", "w", "low"), "single-parents")
+        n = single.count()
+        if not n and ready.isEmpty():
+            raise ContractViolation("task graph contains a cycle")
+        if not n:
+            continue
+        chains = _follow_chains(single, n)
+        taken_out.append(chains)
+        rest = open_edges.join(chains.select("id"), "id", "left_anti")
+        above = chains.select(F.col("id").alias("parent"), F.col("parent").alias("_p"), F.col("w").alias("_w"), F.col("low").alias("_low"))
+        moved = cut(rest.join(above, "parent", "left"), "moved-edges")
+        reached = moved.filter("_p IS NOT NULL").groupBy("id").agg(F.max(F.col("_low") + F.col("w")).alias("_l"))
+        waiting = waiting.join(chains.select("id"), "id", "left_anti").join(reached, "id", "left")
+        waiting = cut(waiting.select("id", F.greatest("low", "_l").alias("low")), "waiting")
+        hung = moved.select("id", F.coalesce("_p", "parent").alias("parent"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"))
+        open_edges = cut(hung.groupBy("id", "parent").agg(F.max("w").alias("w")), "task-edges")
+    levels = placed[0]
+    for part in placed[1:]:
+        levels = levels.unionByName(part)
+    for chains in reversed(taken_out):
+        ends = levels.select(F.col("id").alias("parent"), "level")
+        levels = cut(levels.unionByName(chains.join(ends, "parent").select("id", F.greatest("low", F.col("level") + F.col("w")).alias("level"))), "levels")
+    whole = cut(tasks.select("id", preferred).join(levels, "id"), "task-levels")
+    return range_rank(whole, ["level"], preferred, ["id"], "position")
+
+
+def task_order(levels: DataFrame) -> DataFrame:
+    return levels.orderBy("level", "position")
 
 
 def contract_graph(edges: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -188,10 +188,11 @@ _LEVELS = "lv AS (SELECT id, 0 AS level FROM task WHERE id NOT IN (SELECT id FRO
 
 @query(
     "gr6_task_levels",
-    f"WITH RECURSIVE {_TASKS}, {_EDGES}, {_LEVELS} SELECT id, CAST(max(level) AS BIGINT) AS level FROM lv GROUP BY 1",
+    f"""WITH RECURSIVE {_TASKS}, {_EDGES}, {_LEVELS}, l AS (SELECT id, CAST(max(level) AS BIGINT) AS level FROM lv GROUP BY 1)
+       SELECT id, level, row_number() OVER (PARTITION BY level ORDER BY pref, id) AS position FROM l JOIN task USING (id)""",
 )
 def gr6(spark, folder):
-    return graph.task_levels(*_tasks(spark, folder), "pref").select("id", "level")
+    return graph.task_levels(*_tasks(spark, folder), "pref").select("id", "level", "position")
 
 
 @query(

@@ -174,12 +174,32 @@ def test_task_levels_and_cycles(spark):
 
     tasks = spark.createDataFrame([(i, 10 - i) for i in range(5)], "id long, pref long")
     edges = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (3, 2), (4, 3)], "id long, parent long")
-    ordered = graph.task_order(graph.task_levels(tasks, edges, "pref"), "pref").collect()
+    ordered = graph.task_order(graph.task_levels(tasks, edges, "pref")).collect()
     assert [(r.id, r.level) for r in ordered] == [(0, 0), (2, 1), (1, 1), (3, 2), (4, 3)]
     with pytest.raises(ContractViolation):
         graph.task_levels(tasks, edges.union(spark.createDataFrame([(0, 4)], "id long, parent long")), "pref")
 
 
+def test_levels_of_long_chains_and_random_graphs(spark):
+    """A chain of 5,000 with shortcuts and branches; levels against the longest ways, positions against a sort."""
+    rng = random.Random(12)
+    edges = [(i, i - 1) for i in range(1, 5000)] + [(i, i - 700) for i in range(900, 5000, 611)] + [(6000, 10), (6001, 6000), (6001, 4999), (6002, 6001)]
+    edges += [(i, rng.randrange(7000, i)) for i in range(7001, 7060) for _ in range(rng.randrange(3))]
+    nodes = sorted({x for e in edges for x in e})
+    parents = {}
+    for child, parent in set(edges):
+        parents.setdefault(child, []).append(parent)
+    level = {}
+    for v in nodes:  # every parent has a smaller number
+        level[v] = max((level[p] + 1 for p in parents.get(v, [])), default=0)
+    tasks = spark.createDataFrame([(v, -v % 13) for v in nodes], "id long, pref long")
+    got = {r.id: (r.level, r.position) for r in graph.task_levels(tasks, spark.createDataFrame(edges, "id long, parent long"), "pref").collect()}
+    assert {v: l for v, (l, _) in got.items()} == level
+    for k in set(level.values()):
+        mine = sorted((-v % 13, v) for v in nodes if level[v] == k)
+        assert [got[v][1] for _, v in mine] == list(range(1, len(mine) + 1))
+
+
 @pytest.mark.parametrize("shape", ["outlier", "hot key", "nulls", "empty", "constant"])
 def test_value_slices_stay_even(spark, shape):
     n, slices = 20_000, 16
