@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.keys import text_group
-from ..operators import evidence, graph, reconcile
+from ..operators import dedup, evidence, graph, reconcile
 from ..session import cut
 from .q_rows import SQL_MANIFEST, manifest
 from .registry import query, table
