@@ -55,8 +55,8 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     """`captures` with active_lists (sorted, comma-joined), n_active and blocked.
 
     A capture without URL, host or fetch day matches nothing and is not blocked. Repeated rows stay
-    repeated; the capture's other columns pass through, but those three names are replaced. An empty table
-    on either side gives no matches.
+    repeated; the capture's other columns pass through under any name, but those three are replaced. An empty
+    table on either side gives no matches.
     """
     asked = narrow(captures, [url, fetched]).toDF("_url", "_day").filter("_url IS NOT NULL AND _day IS NOT NULL").distinct()
     under = asked.select("_url", "_day", F.explode(patterns_of(F.col("_url"))).alias("pattern")).withColumn("_month", F.trunc("_day", "month"))
@@ -75,10 +75,13 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
         .groupBy("_url", "_day")
         .agg(F.array_join(F.array_sort(F.collect_list("list")), ",").alias("_lists"), F.sum("_n").alias("_n"))
     )
-    rest = captures.drop("active_lists", "n_active", "blocked")
-    joined = rest.join(hits, (F.col(f"`{url}`") == F.col("_url")) & (F.col(f"`{fetched}`") == F.col("_day")), "left")
+    # A capture travels as one struct: no column of its own can clash with those of the join.
+    rest = [c for c in captures.columns if c.lower() not in ("active_lists", "n_active", "blocked")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row")
+    rows = captures.select(whole, F.struct(F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").alias("day")).alias("_k"))
+    joined = rows.select("_row", F.col("_k.url").alias("_url"), F.col("_k.day").alias("_day")).join(hits, ["_url", "_day"], "left")
     return joined.select(
-        *[rest[f"`{c}`"] for c in rest.columns],
+        *[F.col(f"_row.`{c}`") for c in rest],
         F.coalesce("_lists", F.lit("")).alias("active_lists"),
         F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"),
         F.col("_n").isNotNull().alias("blocked"),

@@ -109,6 +109,46 @@ def test_ledger_skips_what_it_has_seen(documents):
     assert by_id(findings)[7].spans == by_id(secrets.scan(documents)[0])[7].spans
 
 
+def test_new_rule_scans_only_its_own_pairs(documents):
+    _, first = secrets.scan(documents, rules=secrets.BASE)
+    findings, second = secrets.scan(documents, first)
+    more, base = ({secrets.rule_version(r) for r in rules} for rules in (secrets.MORE, secrets.BASE))
+    assert {frozenset(r.rule_versions) for r in second.collect()} == {frozenset(more)} and second.count() == first.count()
+    assert by_id(findings)[7].spans == by_id(secrets.scan(documents)[0])[7].spans
+    changed = (*secrets.BASE[:2], secrets.Rule("hex", r"[0-9a-f]{24,}", r"[0-9a-f]{24}", version=2))
+    _, third = secrets.scan(documents, first, changed)
+    assert {tuple(r.rule_versions) for r in third.collect()} == {(secrets.rule_version(changed[2]),)}
+    # Spans of rules that a later set no longer holds stay in the ledger and out of its findings.
+    assert by_id(secrets.scan(documents, first, secrets.MORE)[0])[7].spans == []
+    new = documents.select("doc_id", "text").unionByName(documents.sparkSession.createDataFrame([(9, "a text of its own")], "doc_id long, text string"))
+    _, fourth = secrets.scan(new, first.unionByName(second))
+    assert len(fourth.first().rule_versions) == len(secrets.RULES) and fourth.count() == 1 and base <= set(fourth.first().rule_versions)
+
+
+def test_very_many_secrets_in_a_text(spark):
+    words = [("token=%06d" if i % 3 else "%024x\U0001f600") % i for i in range(30_000)]
+    text = " ".join(words)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    findings, _ = secrets.scan(df)
+    spans = findings.first().spans
+    want, at = [], 0
+    for i, w in enumerate(words):
+        want.append((at, 0 if i % 3 else 2, at + (len(w) if i % 3 else 24)))
+        at += len(w) + 1
+    assert [tuple(s) for s in spans] == want
+    clean = findings.join(df, "doc_id").select(secrets.masked(F.col("text"), F.col("spans"), [r.kind for r in secrets.RULES])).first()[0]
+    assert clean == " ".join("[assign]" if i % 3 else "[hex]\U0001f600" for i in range(30_000))
+
+
+def test_overlapping_secrets_are_masked_as_one(spark):
+    text = "x" * 5000 + " password=" + "ab" * 20 + " end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    findings, _ = secrets.scan(df)
+    assert [s.kind for s in findings.first().spans] == [0, 2]
+    clean = findings.join(df, "doc_id").select(secrets.masked(F.col("text"), F.col("spans"), [r.kind for r in secrets.RULES])).first()[0]
+    assert clean == "x" * 5000 + " [assign] end"
+
+
 def test_mix_hits_its_targets(documents):
     rows = mixing.mix(documents).collect()
     per_source = {}
@@ -137,6 +177,11 @@ def test_url_intervals(spark):
     ]
     assert urls.evaluate(captures.limit(0), entries).collect() == []
     assert {r.blocked for r in urls.evaluate(captures, entries.limit(0)).collect()} == {False}
+    own = "_url _day _lists _n _row _k Active_Lists since until list pattern a.b".split()
+    clashing = captures.select("*", *[F.lit(i).alias(c) for i, c in enumerate(own) if c != "list"])
+    result = urls.evaluate(clashing, entries)
+    assert {r["_n"] for r in result.collect()} == {3} and {r["a.b"] for r in result.collect()} == {own.index("a.b")}
+    assert sorted((r.page_id, r.active_lists) for r in result.collect()) == sorted((g[0], g[2]) for g in got)
 
 
 def test_top_k_edges(spark):
