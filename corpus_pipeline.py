@@ -47,7 +47,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     _, ledger = secrets.scan(docs)
     kinds = [r.kind for r in secrets.RULES]
-    hits = ledger.filter(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    hits = secrets.blob_spans(ledger).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     joined = whole_rows(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias("_blob")).join(hits, "_blob", "left")
     text, spans = F.col("_row.text"), F.col("_spans")
     clean = F.when(spans.isNull(), text).otherwise(secrets.masked(text, spans, kinds))
