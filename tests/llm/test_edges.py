@@ -192,6 +192,39 @@ def test_top_k_edges(spark):
     assert knn.top_k(df.limit(0), df, 2).collect() == []
 
 
+def test_top_k_huge_values_and_keys(spark):
+    rows = [("a", [1e17, 3.0]), ("b", [1e17, -5.0]), ("c", [-1e17, 0.0]), ("d", [1e18, 0.0]), ("e", [0.0, 2.0]), ("e", [0.0, 4.0]), ("f", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = {}
+    for r in knn.top_k(df, df, 2).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    top = 2**63 - 1
+    assert sorted(got["a"]) == [(1, "b", top), (2, "e", 192 * 256)] and "d" not in got
+    assert sorted(got["e"]) == [(1, "a", 256 * 192), (2, "a", 128 * 192)]
+    assert sorted(got["f"]) == [(1, "e", 64 * 256), (2, "a", 64 * 192)]
+    dated = df.withColumn("vec_id", F.date_add(F.lit("2024-01-01").cast("date"), F.ascii("vec_id")))
+    assert knn.top_k(dated, dated, 2).count() == len(got) * 2
+
+
+def test_top_k_over_many_groups_and_slices(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(knn, "GROUP_QUERIES", 40)
+    monkeypatch.setattr(knn, "SLICE_ROWS", 150)
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(12, 8)) * 6
+    points = centres[draw.integers(0, 12, 1500)] + draw.normal(size=(1500, 8)) * 0.2
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+    whole = np.floor(64 * points).astype(np.int64)
+    got = {}
+    for r in knn.top_k(df, df.filter("vec_id % 5 = 0"), 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 1500, 5):
+        score = whole @ whole[q]
+        best = sorted((i for i in range(1500) if i != q), key=lambda i: (-score[i], i))[:3]
+        assert sorted(got[q]) == [(n, i, score[i]) for n, i in enumerate(best, 1)]
+
+
 def test_pipeline_keeps_columns(spark, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
