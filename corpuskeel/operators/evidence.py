@@ -12,6 +12,7 @@ from .skew import join_per_key, range_lag, range_rank
 
 DIRECT_KINDS = ("direct-evidence", "author-interpretation")
 ASSUMED_KINDS = ("agent-inference", "open-assumption")
+INSPECTED = ("full-text", "abstract")
 
 
 def identity_conflicts(papers: DataFrame, identities: Mapping[str, Column], order: str) -> DataFrame:
@@ -53,6 +54,31 @@ def source_contract(papers: DataFrame, evidence: DataFrame) -> DataFrame:
     return errors.unionByName(warnings)
 
 
+def inspection_findings(papers: DataFrame, artifacts: DataFrame, identities: Mapping[str, Column], order: str) -> DataFrame:
+    """Counted errors (severity, subject, code, n) of the papers themselves.
+
+    A verified paper names an artifact it was inspected in, read as full text or abstract, and its digest;
+    `artifacts` (artifact, sha256) are the digests of what is there, e.g. from `files.file_digests`. Paths that
+    are absolute or climb with '..' count as missing. Every holder of an id or identity after the first is
+    an error. `order` is a numeric column, unique per row.
+    """
+    held = artifacts.groupBy("artifact").agg(F.min("sha256").alias("_found"))
+    safe = ~(F.col("artifact").startswith("/") | F.array_contains(F.split("artifact", "/"), ".."))
+    read = F.coalesce(F.col("inspected_content").isin(*INSPECTED), F.lit(False)) & F.col("artifact").isNotNull()
+    code = (
+        F.when(~read, "inspection_absent")
+        .when(F.col("_found").isNull() | ~safe, "inspection_missing")
+        .when(~F.col("_found").eqNullSafe(F.col("artifact_sha256")), "inspection_mismatch")
+    )
+    verified = papers.filter(F.col("verification") == "verified").select("paper_id", "inspected_content", "artifact", "artifact_sha256")
+    checked = verified.join(held, "artifact", "left").select("paper_id", code.alias("code")).filter("code IS NOT NULL")
+    counted = checked.groupBy("paper_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    ids = papers.groupBy("paper_id").agg((F.count(F.lit(1)) - 1).alias("n")).filter("n > 0").select("paper_id", F.lit("duplicate_paper_id").alias("code"), "n")
+    repeated = identity_conflicts(papers, identities, order).select("paper_id", F.concat(F.lit("duplicate_"), "kind").alias("code"))
+    same = repeated.groupBy("paper_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    return counted.unionByName(ids).unionByName(same).select(F.lit("error").alias("severity"), F.col("paper_id").alias("subject"), "code", "n")
+
+
 def claim_links(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Long (claim_id, evidence_id) and (claim_id, run_id) tables of claims that carry id arrays."""
     return (

@@ -138,3 +138,38 @@ def self_reviews(spark, folder):
     authors = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("seg-"), "c_mktsegment").alias("author_id"))
     written = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("claim_id"), "o_custkey").join(authors, "o_custkey")
     return E.self_reviews(written, "seg-BUILDING")
+
+
+@query(
+    "jn14_inspections",
+    """WITH a AS (SELECT 'pages/' || page_id || '.html' AS artifact, min(sha256(coalesce(html, ''))) AS found FROM pages GROUP BY 1),
+    s AS (SELECT s_suppkey, s_nationkey || ':' || s_suppkey % 40 AS paper_id, 't' || s_suppkey // 3 AS title,
+      CASE WHEN s_acctbal < 0 THEN 'inaccessible' WHEN s_acctbal < 2000 THEN 'unverified' ELSE 'verified' END AS verification,
+      CASE s_suppkey % 4 WHEN 0 THEN 'abstract' WHEN 3 THEN 'metadata' ELSE 'full-text' END AS inspected,
+      CASE WHEN s_suppkey % 7 > 0 THEN CASE WHEN s_suppkey % 11 = 0 THEN '../' ELSE '' END || 'pages/' || s_suppkey * 3 || '.html' END AS artifact FROM supplier),
+    v AS (SELECT s.*, a.found, CASE WHEN s_suppkey % 5 = 0 THEN sha256(a.found) ELSE a.found END AS pin FROM s LEFT JOIN a USING (artifact) WHERE verification = 'verified'),
+    f AS (SELECT paper_id, CASE WHEN inspected NOT IN ('full-text', 'abstract') OR artifact IS NULL THEN 'inspection_absent'
+        WHEN found IS NULL THEN 'inspection_missing' WHEN found <> pin THEN 'inspection_mismatch' END AS code FROM v
+      UNION ALL SELECT paper_id, CASE WHEN row_number() OVER (PARTITION BY paper_id ORDER BY s_suppkey) > 1 THEN 'duplicate_paper_id' END FROM s
+      UNION ALL SELECT paper_id, CASE WHEN row_number() OVER (PARTITION BY title ORDER BY s_suppkey) > 1 THEN 'duplicate_title' END FROM s)
+    SELECT 'error' AS severity, paper_id AS subject, code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY ALL""",
+)
+def jn14_inspections(spark, folder):
+    """Suppliers are papers that were inspected in pages; some pins are altered, some paths leave the root."""
+    artifacts = table(spark, folder, "pages").select(
+        F.concat(F.lit("pages/"), "page_id", F.lit(".html")).alias("artifact"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha256")
+    )
+    number, balance = F.col("s_suppkey"), F.col("s_acctbal")
+    path = F.concat(F.when(number % 11 == 0, "../").otherwise(""), F.lit("pages/"), number * 3, F.lit(".html"))
+    inspected = table(spark, folder, "supplier").select(
+        "s_suppkey",
+        F.concat_ws(":", "s_nationkey", number % 40).alias("paper_id"),
+        F.concat(F.lit("t"), F.floor(number / 3)).alias("title"),
+        F.when(balance < 0, "inaccessible").when(balance < 2000, "unverified").otherwise("verified").alias("verification"),
+        F.when(number % 4 == 0, "abstract").when(number % 4 == 3, "metadata").otherwise("full-text").alias("inspected_content"),
+        F.when(number % 7 > 0, path).alias("artifact"),
+    )
+    found = artifacts.groupBy("artifact").agg(F.min("sha256").alias("_pin"))
+    pin = F.when(number % 5 == 0, F.sha2("_pin", 256)).otherwise(F.col("_pin")).alias("artifact_sha256")
+    declared = inspected.join(found, "artifact", "left").select(*inspected.columns, pin)
+    return E.inspection_findings(declared, artifacts, {"title": F.col("title")}, "s_suppkey")

@@ -236,3 +236,22 @@ def test_multiplicities_are_poisson(spark):
     drawn = spark.range(20_000).select(stats.bootstrap_multiplicity(F.col("id"), F.col("id") % 7, 3).alias("k")).groupBy("k").agg(n.alias("n")).collect()
     share = {r.k: r.n / 20_000 for r in drawn}
     assert all(abs(share.get(k, 0) - np.exp(-1) / f) < 0.012 for k, f in enumerate((1, 1, 2, 6, 24)))
+
+
+def test_inspections_are_bound_by_digest(spark):
+    rows = [
+        (1, "a", "verified", "full-text", "x.txt", "d1", "t1"), (2, "b", "verified", "abstract", "x.txt", "d2", "t1"),
+        (3, "c", "verified", "metadata", "x.txt", "d1", "t2"), (4, "d", "verified", "full-text", None, None, "t3"),
+        (5, "e", "verified", "full-text", "../x.txt", "d1", "t1"), (6, "f", "unverified", None, None, None, None),
+        (7, "f", "verified", "abstract", "gone.txt", "d1", None), (8, "g", "verified", "abstract", "/x.txt", "d1", None),
+        (9, "h", "verified", None, "x.txt", "d1", None), (10, "i", "verified", "abstract", "x.txt", None, None),
+    ]
+    papers = spark.createDataFrame(rows, "n int, paper_id string, verification string, inspected_content string, artifact string, artifact_sha256 string, title string")
+    artifacts = spark.createDataFrame([("x.txt", "d1"), ("../x.txt", "d1"), ("/x.txt", "d1")], "artifact string, sha256 string")
+    got = evidence.inspection_findings(papers, artifacts, {"title": F.col("title")}, "n").collect()
+    assert sorted((r.subject, r.code, r.n) for r in got) == [
+        ("b", "duplicate_title", 1), ("b", "inspection_mismatch", 1), ("c", "inspection_absent", 1), ("d", "inspection_absent", 1),
+        ("e", "duplicate_title", 1), ("e", "inspection_missing", 1), ("f", "duplicate_paper_id", 1), ("f", "inspection_missing", 1),
+        ("g", "inspection_missing", 1), ("h", "inspection_absent", 1), ("i", "inspection_mismatch", 1),
+    ]
+    assert evidence.inspection_findings(papers.limit(0), artifacts, {"title": F.col("title")}, "n").collect() == []
