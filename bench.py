@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpuskeel.plans import RUNNERS  # noqa: E402
-from corpuskeel.session import local_session  # noqa: E402
+from corpuskeel.session import local_session, scratch_scope  # noqa: E402
 
 HEADLINE = [
     "io1_projected_scan",
@@ -50,7 +50,8 @@ def main() -> None:
     for name in HEADLINE:
         start = time.perf_counter()
         try:
-            RUNNERS[name](spark, folder).write.format("noop").mode("overwrite").save()
+            with scratch_scope(spark):
+                RUNNERS[name](spark, folder).write.format("noop").mode("overwrite").save()
         except Exception as error:  # a failed query must not cost the timings of the others
             failed[name] = f"{type(error).__name__}: {error}"[:300]
             continue

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -52,6 +53,11 @@ def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: unicodedata.normalize("NFC", text), na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _title_key(titles: pd.Series) -> pd.Series:
+    return titles.map(lambda title: re.sub(r"\W+", "", title).casefold(), na_action="ignore")
+
+
 def _is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.char_length(c)
 
@@ -179,8 +185,10 @@ def canonical_url(url: Column | str) -> Column:
 
 
 def title_key(title: Column | str) -> Column:
-    """Title without non-word characters, in lower case."""
-    return F.lower(F.regexp_replace(_col(title), r"(?U)\W+", ""))
+    """Title without non-word characters, casefolded; only titles beyond ASCII are sent to Python."""
+    title = _col(title)
+    plain = F.lower(F.regexp_replace(title, r"\W+", ""))
+    return F.when(_is_ascii(title), plain).otherwise(_title_key(F.when(~_is_ascii(title), title)))
 
 
 def package_name(name: Column | str) -> Column:

@@ -226,7 +226,7 @@ def sf14(spark, folder):
     """SELECT page_id, regexp_extract(url, '^https?://', 0) || lower(regexp_extract(url, '^https?://([^/?#]*)', 1))
          || regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/+$', '')
          || regexp_extract(url, '^[^?#]*(\\?[^#]*)?', 1) AS canonical_url,
-       lower(regexp_replace(html, '[^\\p{L}\\p{M}\\p{N}_]+', '', 'g')) AS title_key,
+       replace(lower(regexp_replace(html, '[^\\p{L}\\p{N}_]+', '', 'g')), 'ß', 'ss') AS title_key,
        lower(regexp_replace(string_split(url, '/')[3], '[-_.]+', '-', 'g')) AS package FROM pages""",
 )
 def sf15(spark, folder):

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..operators.checks import ContractViolation
 from ..operators.images import pixels_of_text
 from ..session import cut, scratch_path
 from ..sources import archive as Z
@@ -44,6 +45,69 @@ def io2(spark, folder):
     return S.pinned_files(spark, folder, cut(pins.unionByName(absent), "pins"), glob="*.parquet", recursive=True)
 
 
+def page_files(spark, folder) -> str:
+    """Every page as a file of its own; returns the folder."""
+    path = scratch_path(spark, "pages")
+    pages = table(spark, folder, "pages").select(F.concat("page_id", F.lit(".html")).alias("name"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    S.written_bytes(pages, path)
+    return path
+
+
+@query(
+    "io2_pinned_pages",
+    """SELECT page_id || '.html' AS name, CASE WHEN page_id % 7 = 3 THEN 'unpinned' WHEN octet_length(encode(html)) > 4000 THEN 'too_large'
+         WHEN page_id % 7 = 1 THEN 'size_mismatch' WHEN page_id % 7 = 2 THEN 'digest_mismatch' ELSE 'ok' END AS status FROM pages
+       UNION ALL SELECT 'item-' || item_id || '.html', 'missing' FROM benchmark""",
+)
+def io2_pages(spark, folder):
+    """Page files against pins made from the table: some altered or left out, those of `benchmark` without a file.
+
+    The limit on the size is part of what is asked: larger files are named, not read.
+    """
+    turn, html = F.col("page_id") % 7, F.coalesce("html", F.lit(""))
+    size, digest = F.octet_length(html).cast("long"), F.sha2(html, 256)
+    pins = table(spark, folder, "pages").filter(turn != 3).select(
+        F.concat("page_id", F.lit(".html")).alias("name"),
+        F.when(turn == 1, size + 1).otherwise(size).alias("bytes"),
+        F.when(turn == 2, F.sha2(digest, 256)).otherwise(digest).alias("sha256"),
+    )
+    absent = table(spark, folder, "benchmark").select(
+        F.concat(F.lit("item-"), "item_id", F.lit(".html")).alias("name"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")
+    )
+    return S.pinned_files(spark, page_files(spark, folder), pins.unionByName(absent), max_bytes=4000)
+
+
+@query(
+    "io2_bound_table",
+    """WITH o AS (SELECT o_orderstatus, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY 1)
+       SELECT o_orderstatus, n_rows, n_customers, CAST(NULL AS VARCHAR) AS refusal FROM o
+       UNION ALL SELECT NULL, NULL, NULL, a FROM (VALUES ('altered'), ('incomplete'), ('unpinned')) t(a)""",
+)
+def io2_bound(spark, folder):
+    """Orders written in parts and read under their pins; each of three other pin tables refuses the read."""
+    root = scratch_path(spark, "bound")
+    table(spark, folder, "orders").repartition(4, "o_orderkey").write.parquet(f"{root}/orders")
+    pins = cut(S.file_digests(spark, f"{root}/orders", glob="*.parquet", recursive=True, root=root), "pins")
+    first = pins.agg(F.min("name").alias("name"))
+    others = {
+        "altered": pins.join(first.withColumn("_first", F.lit(True)), "name", "left").select(
+            "name", "bytes", F.when(F.col("_first"), F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256")
+        ),
+        "incomplete": pins.unionByName(pins.select(F.concat("name", F.lit(".gone")).alias("name"), "bytes", "sha256")),
+        "unpinned": pins.join(first, "name", "left_anti"),
+    }
+    refused = []
+    for reason, wrong in others.items():
+        try:
+            S.bound_table(spark, root, "orders", wrong)
+        except ContractViolation:
+            refused.append((reason,))
+    bound = S.bound_table(spark, root, "orders", pins).groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_custkey").alias("n_customers")
+    )
+    return bound.unionByName(spark.createDataFrame(refused, "refusal string"), allowMissingColumns=True)
+
+
 @query("io3_inventory_records", f"WITH {SQL_RECORDS} SELECT * FROM records")
 def io3(spark, folder):
     documents, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -82,7 +146,7 @@ def io5(spark, folder):
     record = F.struct(F.col("doc_id").alias("id"), "n_chars", "lang")
     bundles = table(spark, folder, "documents").groupBy("source", F.floor(F.col("doc_id") / 200).alias("bundle")).agg(F.collect_list(record).alias("images"))
     content = F.to_json(F.struct("source", "images"), {"pretty": "true"}).cast("binary")
-    S.write_files(bundles.select(F.concat_ws("-", "source", "bundle").alias("name"), content.alias("content")), path).collect()
+    S.written_bytes(bundles.select(F.concat_ws("-", "source", "bundle").alias("name"), content.alias("content")), path)
     return S.read_documents(
         spark, path, "source string, images array<struct<id: long, n_chars: long, lang: string>>", "images", ["source"]
     )
@@ -90,7 +154,15 @@ def io5(spark, folder):
 
 @query("io6_asset_scan")
 def io6(spark, folder):
-    scan = S.asset_scan(spark, folder, "*.parquet", recursive=False)
+    """The table files, also the parts of tables in folders."""
+    scan = S.asset_scan(spark, folder, "*.parquet")
+    return scan.select(F.substring_index("path", folder.rstrip("/") + "/", -1).alias("name"), "bytes", "sha256", "md5")
+
+
+@query("io6_asset_pages", "SELECT page_id || '.html' AS name, octet_length(encode(html)) AS bytes, sha256(html) AS sha256, md5(html) AS md5 FROM pages")
+def io6_pages(spark, folder):
+    """Page files, those above 4,000 bytes digested in blocks on the executors."""
+    scan = S.asset_scan(spark, page_files(spark, folder), loaded=4000)
     return scan.select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256", "md5")
 
 
@@ -109,7 +181,7 @@ def io7(spark, folder):
         documents.select(F.concat("doc_id", F.lit(".png")).alias("name"), "lang"), "name"
     )
     cut_short = F.when(F.col("lang") == "es", F.substring("content", 1, 40)).otherwise(F.col("content"))
-    S.write_files(files.select("name", cut_short.alias("content")), path).agg(F.sum("bytes")).collect()
+    S.written_bytes(files.select("name", cut_short.alias("content")), path)
     return S.image_scan(spark, path, max_pixels=40_000).drop("image")
 
 
@@ -125,7 +197,7 @@ def document_archives(spark, folder) -> str:
     """ZIP files of a hundred documents each; returns the path pattern."""
     path = scratch_path(spark, "archives")
     parts = table(spark, folder, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 100).alias("part"))
-    S.write_files(parts.groupBy("part").applyInPandas(_zip, "name string, content binary"), path).collect()
+    S.written_bytes(parts.groupBy("part").applyInPandas(_zip, "name string, content binary"), path)
     return f"{path}/*.zip"
 
 
@@ -221,7 +293,4 @@ def io12(spark, folder):
 
 @query("io13_run_inventory", "SELECT page_id || '.html' AS path, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages")
 def io13(spark, folder):
-    run = scratch_path(spark, "run")
-    pages = table(spark, folder, "pages").select(F.concat("page_id", F.lit(".html")).alias("name"), F.col("html").cast("binary").alias("content"))
-    S.write_files(pages, run).collect()
-    return S.run_inventory(spark, run)
+    return S.run_inventory(spark, page_files(spark, folder))

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: dict[str, str] = {}
+# Scratch paths of the open scopes, innermost last.
+_OWNERS: list[list[str]] = []
 
 
 def local_session(cores: int | str = 8, app: str = "corpuskeel", **conf) -> SparkSession:
@@ -48,8 +52,48 @@ def scratch_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without stands on the file system that Spark itself would use."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+def file_system(uri: str):
+    """(file system, path in it) for reading or writing a qualified path inside a task."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/corpuskeel/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/corpuskeel/{label}-{uuid.uuid4().hex}"
+    for paths in _OWNERS:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns all scratch tables made inside and deletes them at the end, also after an error.
+
+    Results of queries are lazy and read these tables, so they have to be written or collected before the
+    scope ends. Scopes nest; the tables of an inner one are gone when it ends.
+    """
+    paths: list[str] = []
+    _OWNERS.append(paths)
+    try:
+        yield paths
+    finally:
+        _OWNERS[:] = [held for held in _OWNERS if held is not paths]
+        for path in paths:
+            delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -62,9 +106,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 def drop_cut(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a table made by `cut` (used between rounds of a loop)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     roots = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
     for root in roots:
         if "/corpuskeel/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(conf).delete(path, True)
+            delete_path(spark, root)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..session import scratch_path
+from ..session import file_system, qualified, scratch_path
 
 BLOCK = 1 << 20
 SCHEMA = (
@@ -26,12 +26,6 @@ SCHEMA = (
 )
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-
-
 @dataclass
 class MemberRange(InputPartition):
     path: str
@@ -71,7 +65,7 @@ class MemberReader(DataSourceReader):
         from pyarrow import fs
 
         folder, _, pattern = self.path.rpartition("/")
-        system, base = _filesystem(folder)
+        system, base = file_system(folder)
         scheme = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
         import fnmatch
 
@@ -83,7 +77,7 @@ class MemberReader(DataSourceReader):
         return [MemberRange(scheme + name, r, self.ranges) for name in names for r in range(self.ranges)]
 
     def read(self, partition: MemberRange) -> Iterator[tuple]:
-        system, path = _filesystem(partition.path)
+        system, path = file_system(partition.path)
         archive_name = path.rsplit("/", 1)[-1]
         with system.open_input_file(path) as handle, zipfile.ZipFile(handle) as archive:
             seen: set[str] = set()
@@ -124,10 +118,12 @@ class ZipMembers(DataSource):
         return MemberReader(self.options)
 
 
-def archive_members(spark: SparkSession, path: str, ranges: int = 1, content: bool = False, **options) -> DataFrame:
+def archive_members(spark: SparkSession, path: str, ranges: int = 1, content: bool = False, max_member_bytes: int = 1 << 31, **options) -> DataFrame:
+    """(SCHEMA) of the members of all archives `path` matches; larger members are reported, not read."""
     spark.dataSource.register(ZipMembers)
     reader = spark.read.format("zip_members").option("ranges", ranges).option("content", str(content).lower())
-    return reader.options(**options).load(path)
+    folder, _, pattern = path.rpartition("/")
+    return reader.option("max_member_bytes", max_member_bytes).options(**options).load(f"{qualified(spark, folder)}/{pattern}")
 
 
 def archive_contract(members: DataFrame, expected: DataFrame) -> DataFrame:

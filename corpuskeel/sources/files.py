@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -15,10 +14,12 @@ from .. import constants as K
 from ..functions.keys import is_hex64, is_positive_decimal
 from ..operators.checks import ContractViolation, require_none, row_violations
 from ..operators.skew import digest_tree
+from ..session import file_system, qualified
 
 # Files up to the first size are digested by Spark as one value, larger ones in blocks of the second.
 LOADED_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
+ASSETS = "path string, bytes long, sha256 string, md5 string"
 RAW_INVENTORY = (
     "source string, source_id string, relative_path string, bytes string, sha256 string, width string, "
     "height string, mode string, format string, license_id string"
@@ -45,48 +46,72 @@ def projected_scan(spark: SparkSession, path: str, columns: Sequence[str], expec
 
 
 def _block_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     for pdf in batches:
-        digests = []
+        rows = []
         for path in pdf["path"]:
-            system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
-            digest = hashlib.sha256()
+            system, inner = file_system(path)
+            sha256, md5 = hashlib.sha256(), hashlib.md5(usedforsecurity=False)
             with system.open_input_stream(inner) as stream:
                 while block := stream.read(BLOCK_BYTES):
-                    digest.update(block)
-            digests.append(digest.hexdigest())
-        yield pd.DataFrame({"name": pdf["name"], "sha256": digests})
+                    sha256.update(block)
+                    md5.update(block)
+            rows.append((sha256.hexdigest(), md5.hexdigest()))
+        yield pdf.assign(sha256=[r[0] for r in rows], md5=[r[1] for r in rows])
 
 
-def file_digests(
-    spark: SparkSession, path: str, max_bytes: int | None = None, glob: str | None = None, recursive: bool = False, loaded: int = LOADED_BYTES
+def asset_scan(
+    spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True, max_bytes: int | None = None, loaded: int = LOADED_BYTES
 ) -> DataFrame:
-    """(name, bytes, sha256) per file; names are relative to `path`.
+    """(path, bytes, sha256, md5) per file, one pass without a shuffle.
 
     Files of at most `loaded` bytes are read by Spark, larger ones in blocks on the executors, so no file
-    is ever one value. Files above `max_bytes` get no digest; length filters reach the source, so content
-    that is not digested there is never loaded.
+    is ever one value. Files above `max_bytes` get no digests; length filters reach the source, so content
+    that is not digested there is never loaded. Spark deals the listing to tasks by bytes. Its file
+    sources pass over files of no bytes: these are not listed.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         listing = listing.option("pathGlobFilter", glob)
-    files = listing.load(path)
-    name = F.substring_index("path", path.rstrip("/") + "/", -1).alias("name")
-    wanted = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
-    small = wanted.filter(F.col("length") <= loaded).select(name, F.sha2("content", 256).alias("sha256"))
-    large = wanted.filter(F.col("length") > loaded).select(name, "path").mapInPandas(_block_digests, "name string, sha256 string")
-    return files.select(name, F.col("length").alias("bytes")).join(small.unionByName(large), "name", "left")
+    files, size = listing.load(path), F.col("length")
+    wanted = files if max_bytes is None else files.filter(size <= max_bytes)
+    small = wanted.filter(size <= loaded).select("path", size.alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    large = wanted.filter(size > loaded).select("path", size.alias("bytes")).mapInPandas(_block_digests, ASSETS)
+    scan = small.unionByName(large)
+    if max_bytes is None:
+        return scan
+    nothing = F.lit(None).cast("string")
+    return scan.unionByName(files.filter(size > max_bytes).select("path", size.alias("bytes"), nothing.alias("sha256"), nothing.alias("md5")))
+
+
+def file_digests(
+    spark: SparkSession,
+    path: str,
+    max_bytes: int | None = None,
+    glob: str | None = None,
+    recursive: bool = False,
+    loaded: int = LOADED_BYTES,
+    root: str | None = None,
+) -> DataFrame:
+    """(name, bytes, sha256) of `asset_scan`; names are relative to `root`, which is `path` if not given."""
+    scan = asset_scan(spark, path, glob, recursive, max_bytes, loaded)
+    return scan.select(F.substring_index("path", (root or path).rstrip("/") + "/", -1).alias("name"), "bytes", "sha256")
 
 
 def pinned_files(
-    spark: SparkSession, path: str, pins: DataFrame, max_bytes: int | None = None, glob: str | None = None, recursive: bool = False, loaded: int = LOADED_BYTES
+    spark: SparkSession,
+    path: str,
+    pins: DataFrame,
+    max_bytes: int | None = None,
+    glob: str | None = None,
+    recursive: bool = False,
+    loaded: int = LOADED_BYTES,
+    root: str | None = None,
 ) -> DataFrame:
     """Status per pinned file: ok, missing, too_large, size_mismatch, digest_mismatch, unpinned.
 
     Files above `max_bytes` are refused by length, without reading them; without it every file is digested.
     """
-    files = file_digests(spark, path, max_bytes, glob, recursive, loaded)
+    files = file_digests(spark, path, max_bytes, glob, recursive, loaded, root)
     seen = files.select("name", F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
     return pins.join(seen, "name", "full_outer").select(
         "name",
@@ -100,11 +125,17 @@ def pinned_files(
     )
 
 
-def bound_table(spark: SparkSession, path: str, name: str, pins: DataFrame, max_bytes: int) -> DataFrame:
-    """Read a Parquet file only after its size and digest equal their pins."""
-    report = pinned_files(spark, path, pins.filter(F.col("name") == name), max_bytes, glob=name)
+def bound_table(spark: SparkSession, root: str, name: str, pins: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Read the Parquet table `name` below `root` only after all its files equal their pins.
+
+    The table is a file or a folder of parts; `pins` (name, bytes, sha256) are relative to `root` and may
+    name other tables too. A file without a pin, a pin without a file and any difference refuse the read.
+    """
+    path = f"{root.rstrip('/')}/{name}"
+    own = pins.filter((F.col("name") == name) | F.col("name").startswith(f"{name}/"))
+    report = pinned_files(spark, path, own, max_bytes, glob="*.parquet", recursive=True, root=root)
     require_none(report.filter(F.col("status") != "ok"), "input pin mismatch")
-    return spark.read.parquet(f"{path.rstrip('/')}/{name}")
+    return spark.read.parquet(path)
 
 
 def read_inventory(spark: SparkSession, path: str, layout: str) -> DataFrame:
@@ -149,13 +180,7 @@ def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
     raise ContractViolation(f"unknown metrics format: {suffix}")
 
 
-def asset_scan(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, bytes, sha256, md5) per file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
-
-
-def run_inventory(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
+def run_inventory(spark: SparkSession, directory: str, glob: str | None = None) -> DataFrame:
     """Manifest of everything below a run directory, paths relative to it."""
     root = directory.rstrip("/") + "/"
     files = asset_scan(spark, directory, glob)
@@ -196,11 +221,10 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
 
     A retried task writes the same bytes to the same names. Returns (name, bytes).
     """
+    folder = qualified(df.sparkSession, root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        target, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        target, base = file_system(folder)
         target.create_dir(base, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["name"], pdf["content"]):
@@ -211,6 +235,11 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
     return df.select("name", "content").mapInPandas(run, "name string, bytes long")
 
 
+def written_bytes(df: DataFrame, root: str) -> int:
+    """`write_files`, run at once; the driver gets one sum."""
+    return write_files(df, root).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+
+
 def table_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row (tree_sha256, n_members) for a table: independent of row order and partitioning.
 

@@ -112,3 +112,45 @@ def test_large_files_are_compared_with_their_pins(spark, tmp_path):
     digests = {n: hashlib.sha256((folder / n).read_bytes()).hexdigest() for n in names}
     for loaded in (0, 1 << 30):
         assert {r.name: r.sha256 for r in S.file_digests(spark, str(folder), recursive=True, loaded=loaded).collect()} == digests
+
+
+def test_bound_tables_refuse_and_scopes_clean_up(spark, tmp_path):
+    from corpuskeel.session import cut, scratch_scope
+
+    root = str(tmp_path)
+    spark.range(40).repartition(3).write.parquet(f"{root}/t")
+    spark.range(5).coalesce(1).write.parquet(f"{root}/t2")
+    pins = S.file_digests(spark, root, glob="*.parquet", recursive=True).cache()
+    assert pins.count() == 4
+    assert S.bound_table(spark, root, "t", pins).count() == 40 and S.bound_table(spark, root, "t2", pins, max_bytes=1 << 20).count() == 5
+    for wrong in (pins.limit(0), pins.withColumn("bytes", F.col("bytes") + 1), pins.withColumn("sha256", F.lit("0"))):
+        with pytest.raises(ContractViolation, match="input pin mismatch"):
+            S.bound_table(spark, root, "t", wrong)
+    with pytest.raises(ContractViolation, match="input pin mismatch"):
+        S.bound_table(spark, root, "t", pins, max_bytes=1)
+    import os
+
+    def gone(path):
+        return not os.path.exists(path.removeprefix("file:"))
+
+    with scratch_scope(spark) as outer:
+        kept = cut(spark.range(3), "outer")
+        with pytest.raises(ZeroDivisionError), scratch_scope(spark) as inner:
+            assert cut(spark.range(4), "inner").count() == 4
+            raise ZeroDivisionError
+        assert len(inner) == 1 and gone(inner[0]) and kept.count() == 3 and not gone(outer[0])
+    assert all(gone(path) for path in outer)
+    assert cut(spark.range(2), "free").count() == 2
+
+
+def test_assets_with_spaces_and_in_blocks(spark, tmp_path):
+    (tmp_path / "a dir").mkdir()
+    bodies = {"a dir/x y.bin": b"x", "z.bin": b"z" * 9_000_000}
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    wanted = {n: (len(b), hashlib.sha256(b).hexdigest(), hashlib.md5(b).hexdigest()) for n, b in bodies.items()}
+    for loaded in (-1, 1 << 30):
+        scan = S.asset_scan(spark, str(tmp_path), loaded=loaded)
+        got = {r.path.split(f"{tmp_path}/")[-1]: (r.bytes, r.sha256, r.md5) for r in scan.collect()}
+        assert got == wanted

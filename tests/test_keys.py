@@ -1,6 +1,7 @@
 """Known answers and predicates of the column functions."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -129,3 +130,9 @@ def test_exact_bounds_closed_forms(spark):
 
 def test_split_names_and_their_order_are_fixed():
     assert K.SPLITS == ("development", "validation", "test")
+
+
+def test_title_keys_are_casefolded(spark):
+    titles = ["Stra\u00dfe: A_1!", "STRASSE a_1", "\u0130x \u00c9\u0301", "", None]
+    got = [r.k for r in spark.createDataFrame([(t,) for t in titles], "t string").select(X.title_key("t").alias("k")).collect()]
+    assert got == ["strassea_1", "strassea_1", re.sub(r"\W+", "", titles[2]).casefold(), "", None]
