@@ -178,7 +178,8 @@ _EDGES = "edge AS (SELECT id, id // 2 AS parent FROM task WHERE id > 0 UNION SEL
 
 
 def _tasks(spark, folder):
-    tasks = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("long").alias("pref"))
+    # The SQL's cast rounds a balance to the nearest whole number, ties to even; Spark's cuts it off.
+    tasks = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.rint("s_acctbal").cast("long").alias("pref"))
     edges = tasks.filter("id > 0").select("id", F.explode(F.array(F.floor(F.col("id") / 2), F.floor(F.col("id") / 3))).alias("parent"))
     return tasks, edges.distinct()
 
