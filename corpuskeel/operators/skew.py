@@ -179,21 +179,29 @@ def digest_tree(df: DataFrame, group: Sequence[str], digest: str, fan_in: int =
     `fan_in` entries at any number of members, and the result depends on the members alone. Equal digests
     count as one entry digest:count; input order and partitioning do not matter. Rows without a group key or
     without a digest are in no tree.
+
+    Digests travel as 32 bytes, with their count only where it is not one, and become text at their leaf.
     """
     keys = list(group) or ["_g"]
     source = (df if group else df.withColumn("_g", F.lit(0))).dropna(subset=[*keys, digest])
-    unique = cut(source.groupBy(*keys, digest).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(digest, "_d"), "digests")
+    packed = source.select(*keys, F.unhex(digest).alias("_d"))
+    unique = cut(packed.groupBy(*keys, "_d").agg(F.count(F.lit(1)).alias("_n")), "digests")
     sizes = unique.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.sum("_n").alias("_total"))
-    entry = F.concat_ws(":", "_d", "_n")
+    entry = F.when(F.col("_n") == 1, F.col("_d")).otherwise(F.concat("_d", F.col("_n").cast("string").cast("binary")))
+    count = lambda e: F.when(F.octet_length(e) == 32, "1").otherwise(F.substring(e, 33, 20).cast("string"))
+    text = lambda e: F.concat_ws(":", F.lower(F.hex(F.substring(e, 1, 32))), count(e))
+    prefix = lambda digits: F.substring(F.lower(F.hex(F.substring("_d", 1, (digits + 1) // 2))), 1, digits)
     most = sizes.agg(F.max("_size")).first()[0] or 0
-    joined = lambda kind: F.sha2(F.concat(F.lit(kind + "\n"), F.array_join(F.array_sort(F.collect_list("_e")), "\n")), 256)
+    joined = lambda kind, entries: F.sha2(F.concat(F.lit(kind + "\n"), F.array_join(F.array_sort(entries), "\n")), 256)
+    leaf = joined("leaf", F.transform(F.collect_list("_e"), text))
     if most <= fan_in:
-        roots = unique.withColumn("_e", entry).groupBy(*keys).agg(joined("leaf").alias("tree_sha256"), F.sum("_n").alias("n_members"))
+        roots = unique.withColumn("_e", entry).groupBy(*keys).agg(leaf.alias("tree_sha256"), F.sum("_n").alias("n_members"))
         return roots if group else roots.drop("_g")
-    # Digits after which every prefix is a leaf: digests are uniform, so the first guess nearly always holds.
-    depth = max(1, math.ceil(math.log(4 * most / fan_in, 16)))
+    # Digits after which every prefix is a leaf: digests are uniform, so prefixes that hold five eighths of a leaf
+    # on average nearly always fit. One digit too many would make the table of prefixes sixteen times as long.
+    depth = max(1, math.ceil(math.log(1.6 * most / fan_in, 16)))
     while True:
-        counts = cut(unique.groupBy(*keys, F.substring("_d", 1, depth).alias("_p")).agg(F.count(F.lit(1)).alias("_c")), "prefixes")
+        counts = cut(unique.groupBy(*keys, prefix(depth).alias("_p")).agg(F.count(F.lit(1)).alias("_c")), "prefixes")
         if counts.filter(F.col("_c") > fan_in).isEmpty():
             break
         depth += 1
@@ -206,11 +214,11 @@ def digest_tree(df: DataFrame, group: Sequence[str], digest: str, fan_in: int =
         length = F.when(F.col(f"_c{digits}") <= fan_in, digits).otherwise(length)
     leaves = counts.select(*keys, "_p", length.alias("_l"))
     level = (
-        unique.withColumn("_p", F.substring("_d", 1, depth))
+        unique.withColumn("_p", prefix(depth))
         .join(leaves, [*keys, "_p"])
         .select(*keys, F.expr("substring(_p, 1, _l)").alias("_p"), entry.alias("_e"))
         .groupBy(*keys, "_p")
-        .agg(joined("leaf").alias("_d"))
+        .agg(leaf.alias("_d"))
     )
     # A long prefix may be a leaf at any depth: nodes climb digit by digit, those already higher wait.
     for digits in reversed(range(depth)):
@@ -219,7 +227,7 @@ def digest_tree(df: DataFrame, group: Sequence[str], digest: str, fan_in: int =
             level.filter(below)
             .select(*keys, F.substring("_p", 1, digits).alias("_q"), F.concat_ws(":", F.substring("_p", digits + 1, 1), "_d").alias("_e"))
             .groupBy(*keys, "_q")
-            .agg(joined("node").alias("_d"))
+            .agg(joined("node", F.collect_list("_e")).alias("_d"))
             .withColumnRenamed("_q", "_p")
         )
         level = level.filter(~below).unionByName(folded)
