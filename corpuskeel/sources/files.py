@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -31,6 +32,22 @@ def _names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
 
+@contextmanager
+def small_files(spark: SparkSession, open_cost: int = 64 << 10) -> Iterator[None]:
+    """Scans that run inside deal files to tasks at this cost of opening one.
+
+    Spark counts 4 MB for every file, so that a task gets some thirty files however small they are, and tasks
+    grow with the files, not with their bytes. A scan has to run inside, not only to be named there.
+    """
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(open_cost))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def projected_scan(spark: SparkSession, path: str, columns: Sequence[str], expected_rows: int | None = None) -> DataFrame:
     """Column-pruned Parquet scan; missing columns and a wrong total fail before anything is used.
 

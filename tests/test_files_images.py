@@ -154,3 +154,17 @@ def test_assets_with_spaces_and_in_blocks(spark, tmp_path):
         scan = S.asset_scan(spark, str(tmp_path), loaded=loaded)
         got = {r.path.split(f"{tmp_path}/")[-1]: (r.bytes, r.sha256, r.md5) for r in scan.collect()}
         assert got == wanted
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Tasks follow the bytes of small files, not their number; the setting is back afterwards."""
+    from corpuskeel.plans import RUNNERS
+
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("<p>"), "id").alias("html"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    for query in ("io13_run_inventory", "io6_asset_pages"):
+        out = RUNNERS[query](spark, str(tmp_path))
+        assert out.count() == 600 and len(out.inputFiles()) <= 16
+    assert spark.conf.get(name) == before
