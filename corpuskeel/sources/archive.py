@@ -1,8 +1,8 @@
 """ZIP archives as a Spark data source: one row per member, nothing extracted to disk.
 
 `spark.read.format("zip_members").option("ranges", 4).load("/folder/*.zip")`. Every archive is read
-as `ranges` partitions; a task opens the archive, reads its directory and streams its own members in
-blocks, so neither archives nor members have to fit in memory. With `content=true` the bytes of each
+as `ranges` partitions, small archives bundled; a task opens each archive, reads its directory and streams its
+own members in blocks, so neither archives nor members have to fit in memory. With `content=true` the bytes of each
 member are returned as well.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..session import file_system, qualified, scratch_path
 
 BLOCK = 1 << 20
+# Archives are bundled up to this size, so that partitions follow the bytes and not the number of archives.
+BUNDLE_BYTES = 8 << 20
 SCHEMA = (
     "archive string, member string, bytes long, compressed_bytes long, crc_ok boolean, sha256 string, "
     "problem string, content binary"
@@ -28,7 +30,7 @@ SCHEMA = (
 
 @dataclass
 class MemberRange(InputPartition):
-    path: str
+    paths: tuple[str, ...]
     index: int
     ranges: int
 
@@ -69,15 +71,26 @@ class MemberReader(DataSourceReader):
         scheme = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
         import fnmatch
 
-        names = sorted(
-            info.path
+        files = sorted(
+            (info.path, info.size)
             for info in system.get_file_info(fs.FileSelector(base))
             if info.type == fs.FileType.File and fnmatch.fnmatch(info.base_name, pattern)
         )
-        return [MemberRange(scheme + name, r, self.ranges) for name in names for r in range(self.ranges)]
+        bundles, room = [], 0
+        for name, size in files:
+            if not bundles or size > room:
+                bundles.append([])
+                room = BUNDLE_BYTES
+            bundles[-1].append(scheme + name)
+            room -= size
+        return [MemberRange(tuple(names), r, self.ranges) for names in bundles for r in range(self.ranges)]
 
     def read(self, partition: MemberRange) -> Iterator[tuple]:
-        system, path = file_system(partition.path)
+        for path in partition.paths:
+            yield from self._members(path, partition)
+
+    def _members(self, uri: str, partition: MemberRange) -> Iterator[tuple]:
+        system, path = file_system(uri)
         archive_name = path.rsplit("/", 1)[-1]
         with system.open_input_file(path) as handle, zipfile.ZipFile(handle) as archive:
             seen: set[str] = set()
@@ -159,10 +172,13 @@ def stage_preview(members: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def stage_members(members: DataFrame, selected: DataFrame, label: str = "staged") -> DataFrame:
-    """Copy only the selected bytes to a table by archive and hash them again after the write."""
+    """Copy only the selected bytes to a table by archive and hash them again after the write.
+
+    The rows of an archive come to one task first, so there is one file per archive, not one per archive and task.
+    """
     spark = members.sparkSession
     path = scratch_path(spark, label)
-    _staging_checks(members, selected).write.mode("errorifexists").partitionBy("archive").parquet(path)
+    _staging_checks(members, selected).repartition("archive").write.mode("errorifexists").partitionBy("archive").parquet(path)
     staged = spark.read.parquet(path)
     again = F.sha2("content", 256) == F.col("sha256")
     checked = F.when(again, True).otherwise(F.raise_error(F.lit("staged bytes changed")).cast("boolean"))

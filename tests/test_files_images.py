@@ -168,3 +168,15 @@ def test_small_files_share_tasks(spark, tmp_path):
         out = RUNNERS[query](spark, str(tmp_path))
         assert out.count() == 600 and len(out.inputFiles()) <= 16
     assert spark.conf.get(name) == before
+
+
+def test_staging_writes_one_file_per_archive(spark, tmp_path):
+    """Small archives share partitions, and a staged archive is one file however many tasks there are."""
+    for a in range(6):
+        with zipfile.ZipFile(tmp_path / f"{a}.zip", "w") as archive:
+            for m in range(20):
+                archive.writestr(f"{m}.txt", f"{a}:{m}")
+    members = Z.archive_members(spark, f"{tmp_path}/*.zip", ranges=2, content=True)
+    assert members.rdd.getNumPartitions() == 2 and members.count() == 120
+    staged = Z.stage_members(members, members.select("archive", "member", "sha256").repartition(16))
+    assert staged.filter("verified").count() == 120 and len(staged.inputFiles()) == 6
