@@ -136,3 +136,18 @@ def test_title_keys_are_casefolded(spark):
     titles = ["Stra\u00dfe: A_1!", "STRASSE a_1", "\u0130x \u00c9\u0301", "", None]
     got = [r.k for r in spark.createDataFrame([(t,) for t in titles], "t string").select(X.title_key("t").alias("k")).collect()]
     assert got == ["strassea_1", "strassea_1", re.sub(r"\W+", "", titles[2]).casefold(), "", None]
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """No Arrow batch of ten thousand texts, whatever the session prefers for Python functions."""
+    texts = spark.createDataFrame([("Größe  " * 3,), ("ascii",), (None,)], "t string")
+    columns = [X.text_group("t").alias("g"), X.nfc("t").alias("n"), X.title_key("t").alias("k"), codes.simhash64(X.folded_text("t")).alias("s"), codes.text_prints(X.folded_text("t")).alias("p")]
+    spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
+    try:
+        found = texts.select(*columns)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.pythonUDF.arrow.enabled")
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert rows[0].k == "grössegrössegrösse" and rows[0].s == rows[0].p.fp and rows[2].p.colour is None
