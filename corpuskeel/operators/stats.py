@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .skew import exact_quantiles, join_per_key, range_scan
+from .skew import exact_quantiles, join_per_key, range_rank, range_scan
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -152,10 +152,27 @@ def paired_bootstrap(
     )
 
 
+def drawn_means(units: DataFrame, unit: str, samples: int, seed: int) -> DataFrame:
+    """(sample, estimate): mean per resample of exactly as many draws, with replacement, as there are units.
+
+    `units` hold a numeric `unit`, total and weight and are numbered in its order. Draw i of a sample is the unit
+    at position md5(seed:sample:i) mod n; every unit makes its own draw of every sample, so the table of draws
+    grows where the units are. It meets the units by a join that Spark turns into a broadcast while they are few.
+    """
+    numbered = range_rank(units, [], unit, name="position").select((F.col("position") - 1).alias("position"), "total", "weight")
+    numbered = cut(numbered, "units")
+    slots = numbered.select(F.col("position").alias("slot")).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample"), F.col("slot")))
+    number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+    drawn = slots.select("sample", F.pmod(number, F.lit(numbered.count())).alias("position"))
+    weight = F.sum("weight")
+    return drawn.join(numbered, "position").groupBy("sample").agg(F.when(weight != 0, F.sum("total") / weight).alias("estimate"))
+
+
 def clustered_bootstrap(df: DataFrame, group: str, value: str, samples: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean with whole groups as the unit of resampling."""
+    """Percentile interval of the mean with whole groups as the unit of resampling, n draws for n groups."""
     units = df.groupBy(group).agg(F.sum(value).alias("total"), F.count(value).cast("double").alias("weight"))
-    return percentile_interval(bootstrap_means(units, group, samples, seed))
+    return percentile_interval(drawn_means(cut(units, "clusters"), group, samples, seed))
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str) -> DataFrame:

@@ -129,9 +129,18 @@ def ag18_states(spark, folder):
     return stats.run_states(expected, observed)
 
 
+def _draws_sql(units: str, samples: int, seed: int) -> str:
+    """`units` (position, total, weight) resampled by md5(seed:sample:slot) mod n, n draws each."""
+    return f"""n AS (SELECT count(*) AS n FROM {units}),
+draws AS (SELECT s.s AS sample, CAST(('0x' || substr(md5('{seed}:' || s.s || ':' || u.position), 1, 12)) AS BIGINT) % n.n AS position
+  FROM {units} u, range({samples}) s(s), n),
+boot AS (SELECT d.sample, sum(u.total) / sum(u.weight) AS estimate FROM draws d JOIN {units} u USING (position) GROUP BY 1)"""
+
+
 @query(
     "dx2_clustered_bootstrap",
-    f"""WITH units AS (SELECT user_id AS unit, sum(value) AS total, count(value)::DOUBLE AS weight FROM events GROUP BY 1), {_boot_sql('units', 200, 11)}
+    f"""WITH g AS (SELECT user_id, sum(value) AS total, count(value)::DOUBLE AS weight FROM events GROUP BY 1),
+       units AS (SELECT row_number() OVER (ORDER BY user_id) - 1 AS position, total, weight FROM g), {_draws_sql('units', 200, 11)}
        SELECT round(quantile_cont(estimate, 0.025), 6) AS low, round(quantile_cont(estimate, 0.975), 6) AS high FROM boot""",
 )
 def dx2(spark, folder):

@@ -1,6 +1,7 @@
 """Calibration, statistics, evidence and journals."""
 
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
@@ -255,3 +256,11 @@ def test_inspections_are_bound_by_digest(spark):
         ("g", "inspection_missing", 1), ("h", "inspection_absent", 1), ("i", "inspection_mismatch", 1),
     ]
     assert evidence.inspection_findings(papers.limit(0), artifacts, {"title": F.col("title")}, "n").collect() == []
+
+
+def test_clustered_resamples_hold_exactly_as_many_draws_as_units(spark):
+    """With equal totals and weights in every unit, the weight of a resample is the number of its draws."""
+    units = spark.range(40).select((F.col("id") * 3).alias("u"), F.col("id").cast("double").alias("total"), F.lit(1.0).alias("weight"))
+    got = {r.sample: r.estimate for r in stats.drawn_means(units, "u", 25, 5).collect()}
+    draw = lambda s, i: int(hashlib.md5(f"5:{s}:{i}".encode()).hexdigest()[:12], 16) % 40
+    assert got == pytest.approx({s: sum(draw(s, i) for i in range(40)) / 40 for s in range(25)})
