@@ -96,6 +96,19 @@ def st4(spark, folder):
 
 @query(
     "st4_stream_interrupted",
+    """WITH o AS (SELECT user_id, ts, event_type = 'purchase' AS fin, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+       s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM o),
+       w AS (SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 6 HOUR AS timed_out_at, count(*) AS n_events, bool_or(fin) AS fin FROM s GROUP BY user_id, n)
+       SELECT user_id, started_at, timed_out_at, n_events FROM w WHERE NOT fin
+       AND timed_out_at <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 6 HOUR FROM events)""",
+)
+def st4_sessions(spark, folder):
+    events = event_stream(spark, folder).select("user_id", "ts", "event_type")
+    return J.stream_silent_sessions(events, "user_id", "ts", F.col("event_type") == "purchase", "6 hours")
+
+
+@query(
+    "st4_stream_runs",
     """WITH r AS (SELECT user_id, min(ts) AS started_at, max(ts) AS last_at, count(*) AS n_events, bool_or(event_type = 'purchase' AND value > 100) AS fin FROM events GROUP BY 1)
        SELECT user_id, started_at, last_at, n_events, last_at + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) AS timed_out FROM r WHERE NOT fin""",
 )

@@ -148,6 +148,29 @@ def stream_interrupted(events: DataFrame, key: str, time: str, is_final: Column,
     return open_runs.select(key, "started_at", "last_at", "n_events", silent.alias("timed_out"))
 
 
+def stream_silent_sessions(events: DataFrame, key: str, time: str, is_final: Column, gap: str) -> DataFrame:
+    """One row per session without a final record that timed out: (`key`, started_at, timed_out_at, n_events).
+
+    A session ends with a pause of `gap`; a key has as many as it has such pauses. The watermark closes a session
+    once the stream has moved past it, and only then is it reported and its state dropped.
+    """
+    sessions = (
+        events.withColumn("_final", is_final)
+        .withColumn(time, F.col(time).cast("timestamp"))
+        .withWatermark(time, gap)
+        .groupBy(F.session_window(time, gap).alias("w"), key)
+        .agg(F.count_if("_final").alias("n_final"), F.count(F.lit(1)).alias("n_events"))
+        .filter("n_final = 0")
+        .select(
+            key,
+            F.col("w.start").cast("timestamp_ntz").alias("started_at"),
+            F.col("w.end").cast("timestamp_ntz").alias("timed_out_at"),
+            "n_events",
+        )
+    )
+    return _drain(sessions, "sessions", "append").drop("_batch")
+
+
 _CHANGE = StructType([StructField("key", StringType()), StructField("seq", LongType()), StructField("token", StringType())])
 _LAST = StructType([StructField("seq", LongType()), StructField("token", StringType())])
 

@@ -264,3 +264,14 @@ def test_clustered_resamples_hold_exactly_as_many_draws_as_units(spark):
     got = {r.sample: r.estimate for r in stats.drawn_means(units, "u", 25, 5).collect()}
     draw = lambda s, i: int(hashlib.md5(f"5:{s}:{i}".encode()).hexdigest()[:12], 16) % 40
     assert got == pytest.approx({s: sum(draw(s, i) for i in range(40)) / 40 for s in range(25)})
+
+
+def test_every_silent_session_of_a_key_is_reported(spark, tmp_path):
+    """A key with several pauses has several sessions; a final record ends its own session only."""
+    rows = [("a", 0, False), ("a", 3, False), ("a", 20, True), ("a", 40, False), ("b", 1, True), ("b", 30, False), ("z", 100, False)]
+    schema = "k string, at long, fin boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "events")).withColumn("ts", F.timestamp_seconds("at"))
+    got = J.stream_silent_sessions(stream.select("k", "ts", "fin"), "k", "ts", F.col("fin"), "5 seconds").collect()
+    second = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds())
+    assert sorted((r.k, second(r.started_at), second(r.timed_out_at), r.n_events) for r in got) == [("a", 0, 8, 2), ("a", 40, 45, 1), ("b", 30, 35, 1)]
