@@ -151,3 +151,19 @@ def test_texts_reach_python_in_small_batches(spark):
         spark.conf.unset("spark.sql.execution.pythonUDF.arrow.enabled")
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     assert rows[0].k == "grössegrössegrösse" and rows[0].s == rows[0].p.fp and rows[2].p.colour is None
+
+
+def test_cohort_shortfall_sends_texts_in_small_batches(spark):
+    """wn7_shortfall folds its texts in one Python step without Arrow batches; domains without documents are all short."""
+    from corpuskeel.plans import RUNNERS
+
+    spark.conf.set("spark.sql.execution.pythonUDF.arrow.enabled", "true")
+    try:
+        found = RUNNERS["wn7_shortfall"](spark, "/root/testdata/sf0.001")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.pythonUDF.arrow.enabled")
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert len(rows) == 9 and all(r.n_selected + r.shortfall == 30 for r in rows)
+    assert all(r.n_selected == 0 for r in rows if r.domain.startswith("none-"))
