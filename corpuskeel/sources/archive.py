@@ -38,7 +38,7 @@ class MemberRange(InputPartition):
         super().__init__(self.index)
 
 
-def _directory_problem(info: zipfile.ZipInfo, repeated: bool, max_bytes: int) -> str | None:
+def _directory_problem(info: zipfile.ZipInfo, repeated: bool, max_bytes: int, min_bytes: int = 1) -> str | None:
     name = info.filename
     kind = (info.external_attr >> 28) & 0xF
     if repeated:
@@ -51,7 +51,7 @@ def _directory_problem(info: zipfile.ZipInfo, repeated: bool, max_bytes: int) ->
         return "not_regular"
     if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
         return "unsupported_compression"
-    if not 0 < info.file_size <= max_bytes:
+    if not min_bytes <= info.file_size <= max_bytes:
         return "size_out_of_bounds"
     return None
 
@@ -61,6 +61,7 @@ class MemberReader(DataSourceReader):
         self.path = options["path"]
         self.ranges = int(options.get("ranges", 1))
         self.max_bytes = int(options.get("max_member_bytes", 1 << 31))
+        self.min_bytes = int(options.get("min_member_bytes", 1))
         self.content = str(options.get("content", "false")).lower() == "true"
 
     def partitions(self):
@@ -99,7 +100,7 @@ class MemberReader(DataSourceReader):
                 seen.add(info.filename)
                 if number % partition.ranges != partition.index:
                     continue
-                problem = _directory_problem(info, repeated, self.max_bytes)
+                problem = _directory_problem(info, repeated, self.max_bytes, self.min_bytes)
                 row = (archive_name, info.filename, info.file_size, info.compress_size)
                 if problem:
                     yield (*row, None, None, problem, None)
@@ -131,12 +132,13 @@ class ZipMembers(DataSource):
         return MemberReader(self.options)
 
 
-def archive_members(spark: SparkSession, path: str, ranges: int = 1, content: bool = False, max_member_bytes: int = 1 << 31, **options) -> DataFrame:
-    """(SCHEMA) of the members of all archives `path` matches; larger members are reported, not read."""
+def archive_members(spark: SparkSession, path: str, ranges: int = 1, content: bool = False, max_member_bytes: int = 1 << 31, min_member_bytes: int = 1, **options) -> DataFrame:
+    """(SCHEMA) of the members of all archives `path` matches; larger and smaller members are reported, not read."""
     spark.dataSource.register(ZipMembers)
     reader = spark.read.format("zip_members").option("ranges", ranges).option("content", str(content).lower())
     folder, _, pattern = path.rpartition("/")
-    return reader.option("max_member_bytes", max_member_bytes).options(**options).load(f"{qualified(spark, folder)}/{pattern}")
+    reader = reader.option("max_member_bytes", max_member_bytes).option("min_member_bytes", min_member_bytes)
+    return reader.options(**options).load(f"{qualified(spark, folder)}/{pattern}")
 
 
 def archive_contract(members: DataFrame, expected: DataFrame) -> DataFrame:
