@@ -35,8 +35,11 @@ def ranked_partitions(df: DataFrame, part: str, digest: Column, limit: int | Non
 
 
 def candidate_order(eligible: DataFrame, group: str, group_digest: Column, member: str, member_digest: Column) -> DataFrame:
-    """Groups by their rank, members by theirs inside the group: group_rank and member_position."""
-    ranked = eligible.withColumn("group_sha256", group_digest).withColumn("member_sha256", member_digest)
+    """Groups by their rank, members by theirs inside the group: group_rank and member_position.
+
+    Rows without a group are not ordered and take no rank.
+    """
+    ranked = eligible.filter(F.col(group).isNotNull()).withColumn("group_sha256", group_digest).withColumn("member_sha256", member_digest)
     groups = hashed_rank(
         ranked.groupBy(group).agg(F.first("group_sha256").alias("group_sha256"), F.count(F.lit(1)).alias("n_members")),
         "group_sha256",
