@@ -115,11 +115,10 @@ def reserve_per_domain(
 
 
 def representatives(rows: DataFrame, group: str, domain: str, member: str, tag: str = K.TAG_REPRESENTATIVE) -> DataFrame:
-    """The member with the least digest per (group, domain)."""
-    digest = text_digest(tag, F.concat_ws(":", F.col(group), F.col(member)))
-    return rows.groupBy(group, domain).agg(F.min(F.struct(digest.alias("rank_sha256"), F.col(member).alias("representative"))).alias("_r")).select(
-        group, domain, "_r.representative", "_r.rank_sha256"
-    )
+    """The member with the least digest per (group, domain); rows without a group have no digest, there the id decides."""
+    digest = text_digest(tag, F.concat(F.col(group), F.lit(":"), F.col(member)))
+    order = F.struct(digest.isNull(), digest.alias("rank_sha256"), F.col(member).isNull(), F.col(member).alias("representative"))
+    return rows.groupBy(group, domain).agg(F.min(order).alias("_r")).select(group, domain, "_r.representative", "_r.rank_sha256")
 
 
 def stratified_cohort(members: DataFrame, group: str, domain: str, uid: str, per_domain: int) -> DataFrame:

@@ -201,3 +201,10 @@ def test_reservation_and_quota_errors(spark):
     assert got == {"a:1", "b:2"}
     with pytest.raises(ContractViolation):
         rank.reserve_per_domain(df, "uid", "domain", "g", {"a": 1, "b": 2})
+
+
+@pytest.mark.parametrize("name", ["wn2_candidate_order", "wn6_representatives"])
+def test_documents_without_words_are_ranked_as_in_sql(spark, tmp_path, name):
+    from test_files_images import assert_as_sql, odd_documents
+
+    assert_as_sql(spark, odd_documents(tmp_path), tmp_path, name)
