@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .skew import exact_quantiles, join_per_key, range_rank, range_scan
+from .skew import exact_quantiles, join_per_key, range_rank, range_scan, shuffled
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -109,6 +109,8 @@ def paired_effect(differences: DataFrame) -> DataFrame:
 # Share of a Poisson variable of mean 1 up to k events, k = 0, 1, ...; beyond the last it is 1 in 32 bits.
 POISSON_CUTS = [math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(12)]
 DRAWS_PER_DIGEST = 4
+# Draws of exactly n for n units that a task makes.
+DRAWS_PER_TASK = 500_000
 
 
 def bootstrap_multiplicity(unit: Column, sample: Column, seed: int) -> Column:
@@ -157,16 +159,20 @@ def drawn_means(units: DataFrame, unit: str, samples: int, seed: int) -> DataFra
 
     `units` hold a numeric `unit`, total and weight and are numbered in its order. Draw i of a sample is the unit
     at position md5(seed:sample:i) mod n; every unit makes its own draw of every sample, so the table of draws
-    grows where the units are. It meets the units by a join that Spark turns into a broadcast while they are few.
+    grows where the units are. Draws and units meet by a shuffle: the planner takes the draws for as many rows as there
+    are units, and a broadcast of them ends the driver.
     """
     numbered = range_rank(units, [], unit, name="position").select((F.col("position") - 1).alias("position"), "total", "weight")
     numbered = cut(numbered, "units")
-    slots = numbered.select(F.col("position").alias("slot")).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    n = numbered.count()
+    # The units are few bytes and their draws many rows, so they are dealt to tasks by their draws.
+    dealt = numbered.select(F.col("position").alias("slot")).repartition(max(1, n * samples // DRAWS_PER_TASK), "slot")
+    slots = dealt.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample"), F.col("slot")))
     number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    drawn = slots.select("sample", F.pmod(number, F.lit(numbered.count())).alias("position"))
+    drawn = slots.select("sample", F.pmod(number, F.lit(n)).alias("position"))
     weight = F.sum("weight")
-    return drawn.join(numbered, "position").groupBy("sample").agg(F.when(weight != 0, F.sum("total") / weight).alias("estimate"))
+    return drawn.join(shuffled(numbered), "position").groupBy("sample").agg(F.when(weight != 0, F.sum("total") / weight).alias("estimate"))
 
 
 def clustered_bootstrap(df: DataFrame, group: str, value: str, samples: int, seed: int) -> DataFrame:

@@ -266,6 +266,19 @@ def test_clustered_resamples_hold_exactly_as_many_draws_as_units(spark):
     assert got == pytest.approx({s: sum(draw(s, i) for i in range(40)) / 40 for s in range(25)})
 
 
+def test_draws_and_units_are_not_broadcast(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        units = spark.range(40).select(F.col("id").alias("u"), F.lit(2.0).alias("total"), F.lit(1.0).alias("weight"))
+        means = stats.drawn_means(units, "u", 25, 5)
+        plan = means._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert [r.estimate for r in means.collect()] == [2.0] * 25
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_every_silent_session_of_a_key_is_reported(spark, tmp_path):
     """A key with several pauses has several sessions; a final record ends its own session only."""
     rows = [("a", 0, False), ("a", 3, False), ("a", 20, True), ("a", 40, False), ("b", 1, True), ("b", 30, False), ("z", 100, False)]
