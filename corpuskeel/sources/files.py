@@ -20,6 +20,8 @@ from ..session import file_system, qualified
 # Files up to the first size are digested by Spark as one value, larger ones in blocks of the second.
 LOADED_BYTES = 64 << 20
 BLOCK_BYTES = 4 << 20
+# Spark lists the files of a scan on the driver; scans of more files than this go folder by folder.
+LISTED_FILES = 100_000
 ASSETS = "path string, bytes long, sha256 string, md5 string"
 RAW_INVENTORY = (
     "source string, source_id string, relative_path string, bytes string, sha256 string, width string, "
@@ -233,8 +235,20 @@ def write_once(df: DataFrame, path: str, fmt: str = "parquet", **options) -> boo
     return True
 
 
+def numbered_folder(name: str, folders: int) -> Column:
+    """Folder of a file among `folders` even ones, by its name."""
+    return F.pmod(F.xxhash64(name), F.lit(folders)).cast("string")
+
+
+def make_folders(spark: SparkSession, root: str, folders: int) -> None:
+    """The folders of `numbered_folder`, so that those without a file can be scanned too."""
+    system, base = file_system(qualified(spark, root))
+    for number in range(folders):
+        system.create_dir(f"{base}/{number}", recursive=True)
+
+
 def write_files(df: DataFrame, root: str) -> DataFrame:
-    """Write (name, content) rows as single files below `root` from the executors.
+    """Write (name, content) rows as single files below `root` from the executors, in an existing `folder` if there is one.
 
     A retried task writes the same bytes to the same names. Returns (name, bytes).
     """
@@ -244,12 +258,14 @@ def write_files(df: DataFrame, root: str) -> DataFrame:
         target, base = file_system(folder)
         target.create_dir(base, recursive=True)
         for pdf in batches:
-            for name, content in zip(pdf["name"], pdf["content"]):
-                with target.open_output_stream(f"{base}/{name}") as out:
+            places = pdf["folder"] + "/" + pdf["name"] if "folder" in pdf else pdf["name"]
+            for place, content in zip(places, pdf["content"]):
+                with target.open_output_stream(f"{base}/{place}") as out:
                     out.write(content)
             yield pd.DataFrame({"name": pdf["name"], "bytes": pdf["content"].map(len)})
 
-    return df.select("name", "content").mapInPandas(run, "name string, bytes long")
+    wanted = [c for c in ("folder", "name", "content") if c in df.columns]
+    return df.select(*wanted).mapInPandas(run, "name string, bytes long")
 
 
 def written_bytes(df: DataFrame, root: str) -> int:

@@ -218,3 +218,26 @@ def test_archive_contract_and_staging_of_empty_documents(spark, tmp_path, name):
     db.execute("UPDATE labels SET quality = CAST(doc_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 3 < 2) AS INTEGER)")
     db.execute(f"COPY labels TO '{tmp_path}/labels.parquet' (FORMAT parquet)")
     assert_as_sql(spark, db, tmp_path, name)
+
+
+def test_images_are_listed_folder_by_folder(spark, tmp_path, monkeypatch):
+    """No scan lists more files than the limit by much, an empty folder does no harm, and all images are there."""
+    listed, scan = [], S.image_scan
+
+    def counted(*args, **options):
+        out = scan(*args, **options)
+        listed.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "image_scan", counted)
+    monkeypatch.setattr(S, "LISTED_FILES", 20)
+    db = odd_documents(tmp_path)
+    db.execute("DELETE FROM documents WHERE text IS NULL")
+    db.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    assert_as_sql(spark, db, tmp_path, "io7_image_scan")
+    assert len(listed) == 7 and sum(listed) == 120 and max(listed) < 40
+    # A few files in many folders leave some without any.
+    monkeypatch.setattr(S, "LISTED_FILES", 1)
+    db.execute(f"COPY (SELECT * FROM documents LIMIT 6) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    db.execute("DELETE FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents LIMIT 6)")
+    assert_as_sql(spark, db, tmp_path, "io7_image_scan")
